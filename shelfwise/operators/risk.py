@@ -29,9 +29,10 @@ def risk_pipeline(trees: int = 100, seed: int = 42, max_depth: int = 10,
 
     Rows with a missing feature are skipped (the assembler's ``skip``).
     Every feature is considered at every split, as in the dashboard's
-    regressor; node ids are cached and checkpointed to the shared checkpoint
-    folder every 10 iterations so deep trees survive executor loss without
-    recomputing the whole lineage.
+    regressor.  Node ids are not cached: each level re-reads the persisted
+    bagged input with the current trees from the driver, so the lineage does
+    not grow across iterations and a lost executor only recomputes its own
+    input partitions.
     """
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features_raw",
                                 handleInvalid="skip")
@@ -39,8 +40,7 @@ def risk_pipeline(trees: int = 100, seed: int = 42, max_depth: int = 10,
                             withMean=True, withStd=True)
     forest = RandomForestRegressor(featuresCol="_features", labelCol=M.RISK, predictionCol=SCORE,
                                    numTrees=trees, maxDepth=max_depth, maxBins=max_bins,
-                                   seed=seed, featureSubsetStrategy="all",
-                                   cacheNodeIds=True, checkpointInterval=10)
+                                   seed=seed, featureSubsetStrategy="all")
     return Pipeline(stages=[assembler, scaler, forest])
 
 
@@ -55,7 +55,20 @@ def fit_risk_model(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: i
     train = df.select(*FEATURES, F.col(M.RISK).cast("double").alias(M.RISK))
     if sample_fraction is not None and sample_fraction < 1.0:
         train = train.sample(fraction=sample_fraction, seed=seed)
-    return risk_pipeline(trees, seed, max_depth).fit(train)
+    return risk_pipeline(trees, seed, max_depth).fit(spread(train))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give an iterative job at least one input partition per core.
+
+    Tree growing makes one pass over the input per level; when the input
+    arrives in fewer partitions than the session's parallelism (a few large
+    files), those passes would run on a few cores.  A table read from many
+    splits is left untouched, so at cluster scale this adds no shuffle.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
 
 
 def current_product_rows(df: DataFrame, which: str = "last") -> DataFrame:

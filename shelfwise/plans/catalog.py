@@ -1,7 +1,9 @@
 """The query catalog: one named report plan per operator group.
 
-Every entry takes ``(spark, sf_dir)``, derives the inventory table from the
-star-schema tables under ``sf_dir`` and returns a lazy DataFrame.
+``REPORTS`` maps a name to an operator over the enriched inventory table;
+``QUERIES`` wraps each one as ``(spark, sf_dir) -> DataFrame`` that first
+derives and enriches the inventory table from the star-schema tables under
+``sf_dir``.  Both return lazy DataFrames.
 """
 
 from __future__ import annotations
@@ -27,63 +29,70 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.enrich(star_schema_inventory(spark, sf_dir))
 
 
-def _on_enriched(op: Callable[[DataFrame], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(enriched(spark, sf_dir))
-    run.__doc__ = op.__doc__
-    return run
+Report = Callable[[DataFrame], DataFrame]
 
 
 SEASONAL_ROW_COLUMNS = (S.OBS_DATE, S.STORE, S.PRODUCT, S.CATEGORY, S.INV, S.SOLD, S.PRICE,
                         M.VALUE)
 
-QUERIES: dict[str, Query] = {
-    # enrichment
-    "m_enrich": enriched,
+REPORTS: dict[str, Report] = {
+    # enrichment (the enriched table itself)
+    "m_enrich": lambda df: df,
     # overview
-    "h1_stock_health": _on_enriched(H.stock_health),
-    "h3_critical_items": _on_enriched(H.critical_items),
-    "h5_lead_time_alerts": _on_enriched(H.lead_time_alerts),
-    "h7_category_weather_impact": _on_enriched(H.category_weather_impact),
-    "h8_top_weather_impacts": _on_enriched(H.top_weather_impacts),
-    "h9_weather_summary": _on_enriched(H.weather_impact_summary),
-    "h10_category_stock": _on_enriched(H.category_stock),
-    "h11_category_leaders": _on_enriched(H.category_leaders),
-    "h13_category_share": _on_enriched(H.category_share),
+    "h1_stock_health": H.stock_health,
+    "h3_critical_items": H.critical_items,
+    "h5_lead_time_alerts": H.lead_time_alerts,
+    "h7_category_weather_impact": H.category_weather_impact,
+    "h8_top_weather_impacts": H.top_weather_impacts,
+    "h9_weather_summary": H.weather_impact_summary,
+    "h10_category_stock": H.category_stock,
+    "h11_category_leaders": H.category_leaders,
+    "h13_category_share": H.category_share,
     # products
-    "p1_latest_snapshot": _on_enriched(
-        lambda df: P.latest_snapshot(df).select(*P.SNAPSHOT_COLUMNS)),
-    "p3_filter_options": _on_enriched(P.filter_options),
-    "p4_snapshot_kpis": _on_enriched(P.snapshot_kpis),
-    "p5_snapshot_category_stock": _on_enriched(P.snapshot_category_stock),
-    "p6_top_sellers": _on_enriched(lambda df: P.top_sellers(df, n=10)),
-    "p8_highest_stock": _on_enriched(lambda df: P.highest_stock(df, n=5)),
-    "p9_product_labels": _on_enriched(P.product_labels),
-    "p10_product_detail": _on_enriched(P.product_detail),
-    "p11_product_history": _on_enriched(P.product_history_counts),
-    "p12_cover_verdict": _on_enriched(P.cover_verdict),
+    "p1_latest_snapshot": lambda df: P.latest_snapshot(df).select(*P.SNAPSHOT_COLUMNS),
+    "p3_filter_options": P.filter_options,
+    "p4_snapshot_kpis": P.snapshot_kpis,
+    "p5_snapshot_category_stock": P.snapshot_category_stock,
+    "p6_top_sellers": lambda df: P.top_sellers(df, n=10),
+    "p8_highest_stock": lambda df: P.highest_stock(df, n=5),
+    "p9_product_labels": P.product_labels,
+    "p10_product_detail": P.product_detail,
+    "p11_product_history": P.product_history_counts,
+    "p12_cover_verdict": P.cover_verdict,
     # suppliers
-    "v1_vendor_metrics": _on_enriched(V.vendor_metrics),
-    "v5_vendor_scores": _on_enriched(V.vendor_scores),
-    "v7_vendor_summary": _on_enriched(V.vendor_summary),
-    "v10_vendor_cards": _on_enriched(V.vendor_cards),
+    "v1_vendor_metrics": V.vendor_metrics,
+    "v5_vendor_scores": V.vendor_scores,
+    "v7_vendor_summary": V.vendor_summary,
+    "v10_vendor_cards": V.vendor_cards,
     # procurement
-    "l4_urgency_counts": _on_enriched(L.urgency_counts),
-    "l5_order_today": _on_enriched(L.order_today),
-    "l6_order_this_week": _on_enriched(L.order_this_week),
-    "l7_vendor_speed": _on_enriched(L.vendor_speed),
-    "l8_vendor_speed_extremes": _on_enriched(L.vendor_speed_extremes),
-    "l9_order_budget": _on_enriched(L.order_budget),
-    "l10_product_order_status": _on_enriched(L.product_order_status),
-    "l11_coverage_plan": _on_enriched(L.coverage_plan),
+    "l4_urgency_counts": L.urgency_counts,
+    "l5_order_today": L.order_today,
+    "l6_order_this_week": L.order_this_week,
+    "l7_vendor_speed": L.vendor_speed,
+    "l8_vendor_speed_extremes": L.vendor_speed_extremes,
+    "l9_order_budget": L.order_budget,
+    "l10_product_order_status": L.product_order_status,
+    "l11_coverage_plan": L.coverage_plan,
     # seasonal
-    "w2_seasonal_items": _on_enriched(
-        lambda df: W.seasonal_items(df).select(*SEASONAL_ROW_COLUMNS)),
-    "w3_seasonal_exposure": _on_enriched(W.seasonal_exposure),
-    "w5_category_outlook": _on_enriched(W.category_outlook),
+    "w2_seasonal_items": lambda df: W.seasonal_items(df).select(*SEASONAL_ROW_COLUMNS),
+    "w3_seasonal_exposure": W.seasonal_exposure,
+    "w5_category_outlook": W.category_outlook,
     # risk model and order advice
-    "f4_current_product_rows": _on_enriched(F.current_product_rows),
-    "f5_risk_scores": _on_enriched(F.risk_scores),
-    "f7_order_recommendation": _on_enriched(F.order_recommendation),
-    "f10_supply_scenarios": _on_enriched(F.supply_scenarios),
+    "f4_current_product_rows": F.current_product_rows,
+    "f5_risk_scores": F.risk_scores,
+    "f7_order_recommendation": F.order_recommendation,
+    "f10_supply_scenarios": F.supply_scenarios,
 }
+
+
+def _query(op: Report) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op(enriched(spark, sf_dir))
+    run.__doc__ = op.__doc__
+    return run
+
+
+QUERIES: dict[str, Query] = {name: _query(op) for name, op in REPORTS.items()}
+
+# Reports whose result has no SQL oracle (a fitted model).
+MODEL_REPORTS = ("f5_risk_scores",)
