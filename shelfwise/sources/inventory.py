@@ -87,15 +87,20 @@ def read_inventory(spark: SparkSession, path: str | Sequence[str], fmt: str = "c
 
 
 def save_enriched(df: DataFrame, path: str, partition_by: Sequence[str] = (),
-                  mode: str = "overwrite") -> None:
+                  files: int | None = None, mode: str = "overwrite") -> None:
     """Store an (enriched) inventory table as Parquet.
 
-    Rows are clustered by date inside each file so that Parquet min/max
-    statistics let date filters (the latest snapshot) skip row groups; for a
-    table of many days, ``partition_by=("obs_date",)`` adds directory pruning.
-    No shuffle is introduced.
+    ``files``: range-cluster the rows by date into that many files (one
+    sampling pass plus one shuffle).  Each file then covers a date range, so
+    Parquet min/max statistics let date filters such as the latest snapshot
+    skip whole files, and later scans get one split per file.  Without it the
+    input partitioning is kept and no shuffle is added.  For a table of many
+    days, ``partition_by=("obs_date",)`` adds directory pruning instead.
+    Rows are sorted by date and file order inside each file.
     """
-    writer = df.sortWithinPartitions(S.OBS_DATE).write.mode(mode)
+    if files:
+        df = df.repartitionByRange(int(files), F.col(S.OBS_DATE), F.col(S.ROW_SEQ))
+    writer = df.sortWithinPartitions(S.OBS_DATE, S.ROW_SEQ).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
