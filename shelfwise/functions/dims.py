@@ -108,6 +108,28 @@ VENDOR_RECOMMENDATIONS = {
 # ---------------------------------------------------------------------------
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A LocalRelation of literal rows (SQL ``VALUES``).
+
+    Unlike ``createDataFrame`` on a Python list (an RDD scan of unknown
+    size), a LocalRelation carries exact statistics, so Catalyst sees that
+    it is tiny and broadcasts it without a hint, and no Python data is
+    shipped at execution time.
+    """
+    cols = [c.strip().split(" ", 1) for c in ddl.split(",")]
+
+    def lit(v, t):
+        if v is None:
+            return f"CAST(NULL AS {t})"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"CAST({v!r} AS {t})"
+
+    values = ", ".join("(" + ", ".join(lit(v, t) for v, (_, t) in zip(r, cols)) + ")" for r in rows)
+    names = ", ".join(n for n, _ in cols)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
 def _outlook_pct(text: str) -> int:
     head = text.split(" ", 1)[0]
     return 0 if head == "Normal" else int(head.rstrip("%"))
@@ -120,13 +142,13 @@ def _outlook_reason(text: str) -> str:
 def weather_sensitivity(spark: SparkSession) -> DataFrame:
     """(category, season, weather_multiplier): 20 rows."""
     rows = [(c, s, float(m)) for c, by in WEATHER_SENSITIVITY.items() for s, m in by.items()]
-    return spark.createDataFrame(rows, "category string, season string, weather_multiplier double")
+    return literal_table(spark, rows, "category string, season string, weather_multiplier double")
 
 
 def seasonal_categories(spark: SparkSession) -> DataFrame:
     """(season, category): 10 rows."""
     rows = [(s, c) for s, cats in SEASONAL_CATEGORIES.items() for c in cats]
-    return spark.createDataFrame(rows, "season string, category string")
+    return literal_table(spark, rows, "season string, category string")
 
 
 def season_profile(spark: SparkSession) -> DataFrame:
@@ -136,8 +158,8 @@ def season_profile(spark: SparkSession) -> DataFrame:
         pct, hot = SEASON_PROFILE[s]
         label, window, guide_hot, tip = PLANNING_GUIDE[s]
         rows.append((s, pct, ", ".join(hot), len(hot), label, window, guide_hot, tip))
-    return spark.createDataFrame(
-        rows,
+    return literal_table(
+        spark, rows,
         "season string, demand_change_pct int, hot_items string, hot_item_count int, "
         "season_label string, stock_up_in string, planning_hot_items string, tip string")
 
@@ -146,14 +168,14 @@ def category_outlook(spark: SparkSession) -> DataFrame:
     """(category, season, outlook_pct, outlook_reason, outlook): 20 rows."""
     rows = [(c, s, _outlook_pct(t), _outlook_reason(t), t)
             for c, by in CATEGORY_OUTLOOK.items() for s, t in by.items()]
-    return spark.createDataFrame(
-        rows, "category string, season string, outlook_pct int, outlook_reason string, outlook string")
+    return literal_table(
+        spark, rows, "category string, season string, outlook_pct int, outlook_reason string, outlook string")
 
 
 def seasons(spark: SparkSession) -> DataFrame:
     """(season, season_order): the four seasons."""
-    return spark.createDataFrame([(s, i) for i, s in enumerate(SEASONS)],
-                                 "season string, season_order int")
+    return literal_table(spark, [(s, i) for i, s in enumerate(SEASONS)],
+                         "season string, season_order int")
 
 
 def default_multiplier(season_col) -> F.Column:

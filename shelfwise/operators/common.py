@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +48,16 @@ def bounded_rank(df: DataFrame, score: str, rank_col: str, descending: bool = Tr
         F.col(score),
         (F.coalesce(F.sum("_n").over(w), F.lit(0)) + F.lit(1)).cast("int").alias(rank_col))
     return df.join(F.broadcast(ranks), on=score, how="left")
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Mark a small aggregate that several branches of one report consume.
+
+    Column pruning gives each consumer its own narrower variant of the
+    aggregate, so Spark cannot reuse the shuffle and would scan the fact
+    table once per branch.  Persisting (lazily, at the first action;
+    memory then disk; lost blocks recompute from lineage) makes all branches
+    read one computation.  Use only on aggregates whose row count is that of
+    a dimension (vendors, categories), never on fact rows.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

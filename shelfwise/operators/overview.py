@@ -10,7 +10,7 @@ from shelfwise.functions import dims
 from shelfwise.functions.exprs import (money_sum, order_keys, order_struct, round_half_even,
                                        with_order_cols)
 from shelfwise.operators import metrics as M
-from shelfwise.operators.common import DEFAULT_AS_OF, as_of_season, top_n
+from shelfwise.operators.common import DEFAULT_AS_OF, as_of_season, shared, top_n
 
 
 def stock_health(df: DataFrame, critical: float = 7, warning: float = 14) -> DataFrame:
@@ -166,7 +166,7 @@ def category_share(df: DataFrame) -> DataFrame:
     The one-row totals are cross joined back (a broadcast of one row); the
     category aggregate's shuffle is reused for both sides.
     """
-    totals = _category_totals(df)
+    totals = shared(_category_totals(df))
     grand = totals.agg(F.sum("total_units").alias("_all_units"),
                        F.sum("_value_dec").cast("double").alias("_all_value"))
     value = F.col("_value_dec").cast("double")

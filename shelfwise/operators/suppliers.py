@@ -11,7 +11,7 @@ from shelfwise import schema as S
 from shelfwise.functions.dims import VENDOR_RECOMMENDATIONS
 from shelfwise.functions.exprs import null_safe_clip, round_half_even, trunc_to_long
 from shelfwise.operators import metrics as M
-from shelfwise.operators.common import bounded_rank
+from shelfwise.operators.common import bounded_rank, shared
 
 SUB_SCORES = ("delivery_score", "volume_score", "reliability_score")
 
@@ -42,7 +42,7 @@ def vendor_scores(df: DataFrame, weights: Sequence[float] = (0.4, 0.3, 0.3),
     [0, 100] it has at most 1001 values.
     """
     w_del, w_vol, w_rel = (float(w) for w in weights)
-    m = vendor_metrics(df).withColumn(
+    m = shared(vendor_metrics(df)).withColumn(
         "_speed", F.lit(1.0) / null_safe_clip("avg_delivery_days", lower=min_delivery_days))
     top = m.agg(F.max("_speed").alias("_max_speed"), F.max("units_ordered").alias("_max_ordered"))
     j = m.crossJoin(F.broadcast(top))
