@@ -1,0 +1,21 @@
+"""Partition-layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a job at least one input partition per core.
+
+    A table stored as a few large files (or one Parquet row group) is read
+    in that many tasks, and every narrow operator after the scan inherits
+    them (the forest's per-level passes too).  When the input has fewer
+    partitions than the session's parallelism it is round-robin
+    repartitioned; a table read from many splits is left untouched, so at
+    cluster scale this adds no shuffle.  Only the scan is planned to count
+    partitions; nothing executes.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions.exprs import order_struct, trunc_to_long
+from shelfwise.functions.layout import spread
 from shelfwise.operators import metrics as M
 from shelfwise.session import ensure_checkpoint_dir
 
@@ -58,19 +59,6 @@ def fit_risk_model(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: i
     return risk_pipeline(trees, seed, max_depth).fit(spread(train))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give an iterative job at least one input partition per core.
-
-    Tree growing makes one pass over the input per level; when the input
-    arrives in fewer partitions than the session's parallelism (a few large
-    files), those passes would run on a few cores.  A table read from many
-    splits is left untouched, so at cluster scale this adds no shuffle.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
-
-
 def current_product_rows(df: DataFrame, which: str = "last") -> DataFrame:
     """the last (or first) row of every product in file order, all stores.
 
