@@ -19,6 +19,11 @@ GOLDEN = {
                  risk=15425, zero_sales=1150, value=14215315253.20, lt_risk=37124,
                  latest=(27, 6682, 660), urgency=(10372, 11676, 16691, 20111), half=46,
                  top=("Supplier#000000000", 93.4), tiers=(8, 17, 75)),
+    "0.1": dict(rows=600000, products=20000, stores=5, vendors=1000,
+                health=(206941, 173480, 219579), risk=152957, zero_sales=11908,
+                value=142431732929.70, lt_risk=375530, latest=(248, 58747, 5743),
+                urgency=(103221, 117286, 166628, 200957), half=426,
+                top=("Supplier#000000210", 90.2), tiers=(72, 133, 795)),
 }
 
 
