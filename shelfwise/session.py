@@ -48,8 +48,9 @@ def build_session(master: str | None = None, app: str = "shelfwise",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local runs and
-    tests) do we create a private folder and register it.
+    The cluster's setting always wins.  Only when it is unset on a local
+    master (local runs and tests) do we create a private folder and register
+    it; on a cluster an unset folder is an error, never a machine-local path.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or \
@@ -61,6 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+            "(checkpoints and intermediate tables must survive the loss of any machine)")
     local = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
