@@ -51,13 +51,21 @@ def _first_seen(df: DataFrame, key: str, kind: str) -> DataFrame:
 def filter_options(df: DataFrame) -> DataFrame:
     """Choices of the category, store and product pickers.
 
-    Categories and stores come from the whole table, products from the
-    latest snapshot.  Each value carries its first-seen position so a client
-    can list them in first-seen order.
+    Categories and stores come from the whole table in one pass (grouping
+    sets: the scan feeds one partial aggregation keyed by either column),
+    products from the latest snapshot.  Each value carries its first-seen
+    position so a client can list them in first-seen order.
     """
-    return (_first_seen(df, S.CATEGORY, "category")
-            .unionByName(_first_seen(df, S.STORE, "store"))
-            .unionByName(_first_seen(latest_snapshot(df), S.PRODUCT, "product")))
+    both = (df.groupingSets([[S.CATEGORY], [S.STORE]], S.CATEGORY, S.STORE)
+              .agg(F.min(order_struct()).alias("_f"),
+                   F.grouping(S.CATEGORY).alias("_by_store")))
+    is_store = F.col("_by_store") == 1
+    dims_part = both.select(
+        F.when(is_store, F.lit("store")).otherwise(F.lit("category")).alias("kind"),
+        F.when(is_store, F.col(S.STORE)).otherwise(F.col(S.CATEGORY)).cast("string").alias("value"),
+        F.col("_f").getField(S.OBS_DATE).alias("first_seen_date"),
+        F.col("_f").getField(S.ROW_SEQ).alias("first_seen_seq"))
+    return dims_part.unionByName(_first_seen(latest_snapshot(df), S.PRODUCT, "product"))
 
 
 def snapshot_kpis(df: DataFrame, category: str | None = None,
