@@ -45,18 +45,29 @@ def risk_pipeline(trees: int = 100, seed: int = 42, max_depth: int = 10,
     return Pipeline(stages=[assembler, scaler, forest])
 
 
+_MODELS: dict[tuple, PipelineModel] = {}
+
+
 def fit_risk_model(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = 10,
-                   sample_fraction: float | None = None) -> PipelineModel:
+                   sample_fraction: float | None = None, reuse: bool = True) -> PipelineModel:
     """Fit the risk model on all enriched rows (label = M2).
 
-    ``sample_fraction`` optionally fits on a seeded Bernoulli sample for very
-    large tables; the default fits on every row, as the dashboard does.
+    Like the dashboard, a model is trained once per session: a second call
+    with the same training plan (compared by semantic hash) and parameters
+    returns the fitted model.  ``sample_fraction`` optionally fits on a
+    seeded Bernoulli sample for very large tables; the default fits on every
+    row, as the dashboard does.
     """
     ensure_checkpoint_dir(df.sparkSession)
     train = df.select(*FEATURES, F.col(M.RISK).cast("double").alias(M.RISK))
     if sample_fraction is not None and sample_fraction < 1.0:
         train = train.sample(fraction=sample_fraction, seed=seed)
-    return risk_pipeline(trees, seed, max_depth).fit(spread(train))
+    key = (id(df.sparkSession), train.semanticHash(), trees, seed, max_depth, sample_fraction)
+    if reuse and key in _MODELS:
+        return _MODELS[key]
+    model = risk_pipeline(trees, seed, max_depth).fit(spread(train))
+    _MODELS[key] = model
+    return model
 
 
 def current_product_rows(df: DataFrame, which: str = "last") -> DataFrame:

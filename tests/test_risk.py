@@ -27,8 +27,10 @@ def test_scores_in_range_and_levels(df):
 
 def test_same_seed_same_predictions(df):
     rows = R.current_product_rows(df)
-    a = R.score_risk(R.fit_risk_model(df, trees=10, seed=7), rows).select("product_id", "risk_score")
-    b = R.score_risk(R.fit_risk_model(df, trees=10, seed=7), rows).select("product_id", "risk_score")
+    a = R.score_risk(R.fit_risk_model(df, trees=10, seed=7, reuse=False), rows) \
+        .select("product_id", "risk_score")
+    b = R.score_risk(R.fit_risk_model(df, trees=10, seed=7, reuse=False), rows) \
+        .select("product_id", "risk_score")
     assert sorted(a.collect()) == sorted(b.collect())
 
 
@@ -57,3 +59,8 @@ def test_supply_scenarios_long_form(df):
     s = R.supply_scenarios(df)
     per = s.groupBy("product_id").count().select(F.min("count"), F.max("count")).first()
     assert tuple(per) == (4, 4)
+
+
+def test_model_trained_once_per_session(df):
+    assert R.fit_risk_model(df, trees=5) is R.fit_risk_model(df, trees=5)
+    assert R.fit_risk_model(df, trees=5) is not R.fit_risk_model(df, trees=6)
