@@ -78,3 +78,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" in base:
         return base.rstrip("/") + "/" + name
     return os.path.join(base, name)
+
+
+def cluster_conf(input_bytes: int, total_cores: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Suggested sizes for a cluster run over ``input_bytes`` of Parquet.
+
+    Scan splits of ``target_partition_bytes``; enough shuffle partitions that
+    a full-width fact shuffle (the star-schema adapter, a range-clustered
+    write) stays near the split size per task, and never fewer than two
+    waves of the cluster's cores.  AQE then coalesces the small post-aggregate
+    shuffles of the reports and splits skewed join partitions.
+    """
+    shuffle = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
