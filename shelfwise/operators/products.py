@@ -45,7 +45,7 @@ def _first_seen(df: DataFrame, key: str, kind: str) -> DataFrame:
     return (df.groupBy(key).agg(first.alias("_f"))
               .select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("value"),
                       F.col("_f").getField(S.OBS_DATE).alias("first_seen_date"),
-                      F.col("_f").getField(S.ROW_SEQ).alias("first_seen_seq")))
+                      F.col("_f").getField(S.ROW_SEQ).cast("string").alias("first_seen_seq")))
 
 
 def filter_options(df: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def filter_options(df: DataFrame) -> DataFrame:
     Categories and stores come from the whole table in one pass (grouping
     sets: the scan feeds one partial aggregation keyed by either column),
     products from the latest snapshot.  Each value carries its first-seen
-    position so a client can list them in first-seen order.
+    position (date, and the row sequence as text) so a client can list them
+    in first-seen order.
     """
     both = (df.groupingSets([[S.CATEGORY], [S.STORE]], S.CATEGORY, S.STORE)
               .agg(F.min(order_struct()).alias("_f"),
@@ -64,7 +65,7 @@ def filter_options(df: DataFrame) -> DataFrame:
         F.when(is_store, F.lit("store")).otherwise(F.lit("category")).alias("kind"),
         F.when(is_store, F.col(S.STORE)).otherwise(F.col(S.CATEGORY)).cast("string").alias("value"),
         F.col("_f").getField(S.OBS_DATE).alias("first_seen_date"),
-        F.col("_f").getField(S.ROW_SEQ).alias("first_seen_seq"))
+        F.col("_f").getField(S.ROW_SEQ).cast("string").alias("first_seen_seq"))
     return dims_part.unionByName(_first_seen(latest_snapshot(df), S.PRODUCT, "product"))
 
 

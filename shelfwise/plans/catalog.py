@@ -36,8 +36,8 @@ SEASONAL_ROW_COLUMNS = (S.OBS_DATE, S.STORE, S.PRODUCT, S.CATEGORY, S.INV, S.SOL
                         M.VALUE)
 
 REPORTS: dict[str, Report] = {
-    # enrichment (the enriched table itself)
-    "m_enrich": lambda df: df,
+    # enrichment (the enriched table itself; the row sequence shown as text)
+    "m_enrich": lambda df: df.withColumn(S.ROW_SEQ, df[S.ROW_SEQ].cast("string")),
     # overview
     "h1_stock_health": H.stock_health,
     "h3_critical_items": H.critical_items,

@@ -21,7 +21,8 @@ SELECT CAST(l.l_shipdate AS DATE) AS obs_date, r.r_name AS store_id, l.l_partkey
  CAST((CAST(l.l_quantity AS BIGINT) - 1) * 5 + l.l_partkey % 11 AS DOUBLE) AS demand_forecast,
  p.p_retailprice AS price, s.s_name AS vendor,
  CAST(1 + s.s_suppkey % 14 AS DOUBLE) AS vendor_avg_delivery_days,
- ((l.l_orderkey*8 + l.l_linenumber)*100000 + l.l_partkey)*10000 + l.l_suppkey AS row_seq
+ CAST(((CAST(l.l_orderkey AS DECIMAL(38,0))*8 + l.l_linenumber)*100000 + l.l_partkey)*10000 + l.l_suppkey
+   AS DECIMAL(38,0)) AS row_seq
 FROM lineitem l
 JOIN orders o ON l.l_orderkey=o.o_orderkey
 JOIN customer c ON o.o_custkey=c.c_custkey
@@ -118,7 +119,7 @@ AS_OF_SEASON = "'Summer'"  # season of the default as-of date 2025-08-07
 
 SQL: dict[str, str] = {}
 
-SQL["m_enrich"] = _with("SELECT * FROM enr")
+SQL["m_enrich"] = _with("SELECT * REPLACE (CAST(row_seq AS VARCHAR) AS row_seq) FROM enr")
 
 SQL["h1_stock_health"] = _with(f"""
 SELECT CAST(count_if(days_to_stockout <= 7) AS BIGINT) AS critical_rows,
@@ -232,7 +233,7 @@ FROM snap""", SNAP_CTE)
 def _first_seen_sql(col: str, kind: str, src: str) -> str:
     return f"""
 SELECT '{kind}' AS kind, CAST({col} AS VARCHAR) AS value,
- struct_extract(f, 'd') AS first_seen_date, struct_extract(f, 's') AS first_seen_seq
+ struct_extract(f, 'd') AS first_seen_date, CAST(struct_extract(f, 's') AS VARCHAR) AS first_seen_seq
 FROM (SELECT {col}, {FIRST_SEEN} AS f FROM {src} GROUP BY {col})"""
 
 

@@ -29,6 +29,7 @@ PART_TYPE_CATEGORY = {
     "SMALL": "Electronics",
 }
 OTHER_CATEGORY = "Other"
+SEQ_TYPE = "decimal(38,0)"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,5 +85,8 @@ def star_schema_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias(S.PRICE),
         F.col("s_name").alias(S.VENDOR),
         (F.lit(1) + sk % 14).cast("double").alias(S.DELIVERY),
-        (((ok * 8 + ln) * 100000 + pk) * 10000 + sk).alias(S.ROW_SEQ),
+        # FIXTURES.md's packed row sequence, evaluated in DECIMAL(38,0): the
+        # same values at test scale, and no BIGINT overflow (ANSI error) once
+        # order keys pass ~10^9, i.e. beyond scale factor ~1000.
+        (((ok.cast(SEQ_TYPE) * 8 + ln) * 100000 + pk) * 10000 + sk).cast(SEQ_TYPE).alias(S.ROW_SEQ),
     )

@@ -14,6 +14,7 @@ from shelfwise.streaming.inventory_stream import enriched_stream, start_stock_he
 def test_streamed_health_equals_batch(spark):
     src = os.path.join(tempfile.mkdtemp(prefix="shelfwise-stream-"), "in")
     inv = star_schema_inventory(spark, sf_dir("0.001"))
+    inv = inv.withColumn("row_seq", inv["row_seq"].cast("bigint"))  # fits at this scale
     inv.select(*[f.name for f in INVENTORY_SCHEMA.fields]).repartition(3).write.parquet(src)
     q = start_stock_health(spark, src, "health_test", max_files_per_trigger=1)
     try:
@@ -28,6 +29,7 @@ def test_streamed_health_equals_batch(spark):
 
 def test_enriched_stream_is_streaming(spark):
     src = os.path.join(tempfile.mkdtemp(prefix="shelfwise-stream-"), "in")
-    star_schema_inventory(spark, sf_dir("0.001")).limit(10).write.parquet(src)
+    inv = star_schema_inventory(spark, sf_dir("0.001")).limit(10)
+    inv.withColumn("row_seq", inv["row_seq"].cast("bigint")).write.parquet(src)
     s = enriched_stream(spark, src)
     assert s.isStreaming and "days_to_stockout" in s.columns
