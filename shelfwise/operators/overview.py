@@ -163,18 +163,18 @@ def category_leaders(df: DataFrame) -> DataFrame:
 def category_share(df: DataFrame) -> DataFrame:
     """Each category's share of units and of value, in percent.
 
-    The one-row totals are cross joined back (a broadcast of one row); the
-    category aggregate's shuffle is reused for both sides.
+    The grand totals are scalar subqueries over the (shared) category
+    aggregate, so the fact is scanned once and nothing is joined.
     """
     totals = shared(_category_totals(df))
-    grand = totals.agg(F.sum("total_units").alias("_all_units"),
-                       F.sum("_value_dec").cast("double").alias("_all_value"))
+    all_units = totals.select(F.sum("total_units")).scalar()
+    all_value = totals.select(F.sum("_value_dec").cast("double")).scalar()
     value = F.col("_value_dec").cast("double")
-    out = totals.crossJoin(F.broadcast(grand)).select(
+    out = totals.select(
         S.CATEGORY, "total_units", value.alias("total_value"),
-        round_half_even(F.try_divide(F.col("total_units"), F.col("_all_units")) * F.lit(100.0), 6)
+        round_half_even(F.try_divide(F.col("total_units"), all_units) * F.lit(100.0), 6)
         .alias("unit_share_pct"),
-        round_half_even(F.try_divide(value, F.col("_all_value")) * F.lit(100.0), 6)
+        round_half_even(F.try_divide(value, all_value) * F.lit(100.0), 6)
         .alias("value_share_pct"),
     )
     return out.orderBy(F.col("total_units").desc(), F.col(S.CATEGORY))

@@ -80,13 +80,14 @@ def seasonal_exposure(df: DataFrame, as_of: str = DEFAULT_AS_OF,
 def category_outlook(df: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """Every category present x four seasons with the demand outlook.
 
-    Categories without an outlook get the generic fallback text.  The
-    distinct categories (one aggregation) are crossed with the four literal
-    seasons and looked up in the 20-row outlook table.
+    Categories without an outlook get the generic fallback text.  Each
+    distinct category (one aggregation) is expanded to the four seasons by
+    exploding a literal array, then looked up in the 20-row outlook table.
     """
     spark = df.sparkSession
     cats = df.groupBy(S.CATEGORY).agg(F.count(F.lit(1)).alias("_n")).select(S.CATEGORY)
-    grid = cats.crossJoin(F.broadcast(dims.seasons(spark)))
+    grid = cats.select(S.CATEGORY, F.posexplode(F.array(*[F.lit(s) for s in dims.SEASONS]))
+                       .alias("season_order", "season"))
     look = F.broadcast(dims.category_outlook(spark)).select(
         F.col("category").alias("_c"), F.col("season").alias("_s"),
         "outlook_pct", "outlook_reason", "outlook")

@@ -35,24 +35,23 @@ def vendor_scores(df: DataFrame, weights: Sequence[float] = (0.4, 0.3, 0.3),
                   min_delivery_days: float = 0.1) -> DataFrame:
     """V2-V6: delivery, volume, reliability and overall score with rank.
 
-    Normalising by the best vendor needs two global maxima; they come from
-    a one-row aggregate of the vendor table that is cross joined back (a
-    broadcast of one row).  The overall rank (SQL ``RANK`` by score,
+    Normalising by the best vendor needs two global maxima over the vendor
+    table; they are scalar subqueries, evaluated once and used as constants
+    (no join).  The overall rank (SQL ``RANK`` by score,
     descending) uses the score's bounded domain: rounded to one place in
     [0, 100] it has at most 1001 values.
     """
     w_del, w_vol, w_rel = (float(w) for w in weights)
     m = shared(vendor_metrics(df)).withColumn(
         "_speed", F.lit(1.0) / null_safe_clip("avg_delivery_days", lower=min_delivery_days))
-    top = m.agg(F.max("_speed").alias("_max_speed"), F.max("units_ordered").alias("_max_ordered"))
-    j = m.crossJoin(F.broadcast(top))
-    delivery = F.coalesce(F.try_divide(F.col("_speed"), F.col("_max_speed")) * F.lit(100.0),
-                          F.lit(0.0))
-    volume = F.coalesce(F.try_divide(F.col("units_ordered"), F.col("_max_ordered")) * F.lit(100.0),
+    max_speed = m.select(F.max("_speed")).scalar()
+    max_ordered = m.select(F.max("units_ordered")).scalar()
+    delivery = F.coalesce(F.try_divide(F.col("_speed"), max_speed) * F.lit(100.0), F.lit(0.0))
+    volume = F.coalesce(F.try_divide(F.col("units_ordered"), max_ordered) * F.lit(100.0),
                         F.lit(0.0))
     reliability = F.coalesce(
         (F.lit(1.0) - null_safe_clip("stockout_rate", 0.0, 1.0)) * F.lit(100.0), F.lit(0.0))
-    scored = j.select(
+    scored = m.select(
         S.VENDOR, "avg_delivery_days", "units_ordered", "stockout_rate", "product_count",
         delivery.alias("delivery_score"), volume.alias("volume_score"),
         reliability.alias("reliability_score"))
