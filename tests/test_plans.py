@@ -52,3 +52,13 @@ def test_broadcasts_are_bounded(table):
             head = chunk.split("\n")[1:4]
             assert not any("FileScan" in line or "Scan parquet" in line for line in head), \
                 (name, head)
+
+
+def test_latest_snapshot_prunes_date_partitions(spark):
+    """On a table partitioned by date, the latest-date subquery prunes partitions."""
+    out = os.path.join(tempfile.mkdtemp(prefix="shelfwise-part-"), "enriched")
+    save_enriched(enriched(spark, sf_dir("0.001")), out, partition_by=("obs_date",))
+    snap = P.latest_snapshot(load_enriched(spark, out))
+    text = plan(snap)
+    assert "PartitionFilters: [isnotnull(obs_date" in text and "= Subquery" in text
+    assert snap.count() == 2
