@@ -13,8 +13,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     them (the forest's per-level passes too).  When the input has fewer
     partitions than the session's parallelism it is round-robin
     repartitioned; a table read from many splits is left untouched, so at
-    cluster scale this adds no shuffle.  Only the scan is planned to count
-    partitions; nothing executes.
+    cluster scale this adds no shuffle.  For a stored table (a plain scan)
+    counting partitions only plans the scan.  For an input that still
+    contains a shuffle, adaptive execution runs those shuffle stages to learn
+    the final partitioning, so pass a stored table to iterative jobs.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
