@@ -1,7 +1,8 @@
 """Run a catalog query in Spark and its SQL oracle in DuckDB, and compare.
 
-Columns are compared by name (sorted), rows as an unordered multiset, values
-exactly (floats by bit-for-bit equality after normalising -0.0 and NaN).
+Columns are compared by name (sorted) and type, rows as an unordered
+multiset, values exactly (floats by bit-for-bit equality after normalising
+-0.0 and NaN).
 Usage: ``python -m shelfwise.plans.verify SF_DIR [name ...]``.
 """
 
@@ -54,6 +55,11 @@ def _rows(records, cols):
     return sorted(tuple(_norm(r[c]) for c in cols) for r in records)
 
 
+# Spark type name -> DuckDB type name, for the types the reports produce.
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+            "date": "DATE", "boolean": "BOOLEAN"}
+
+
 def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     from shelfwise.plans.catalog import QUERIES
     from shelfwise.plans.oracle import SQL
@@ -62,9 +68,10 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     sdf = QUERIES[name](spark, sf_dir)
     srows = [r.asDict(recursive=True) for r in sdf.collect()]
     t1 = time.time()
-    cur = con.execute(SQL[name])
-    dcols = [d[0] for d in cur.description]
-    drows = [dict(zip(dcols, r)) for r in cur.fetchall()]
+    rel = con.sql(SQL[name])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    dcols = list(rel.columns)
+    drows = [dict(zip(dcols, r)) for r in rel.fetchall()]
     t2 = time.time()
     scols = sorted(sdf.columns)
     out = {"name": name, "spark_rows": len(srows), "oracle_rows": len(drows),
@@ -72,6 +79,12 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     if scols != sorted(dcols):
         out.update(ok=False, reason=f"columns differ: spark={scols} oracle={sorted(dcols)}")
         return out
+    stypes = dict(sdf.dtypes)
+    bad_types = [(c, stypes[c], dtypes[c]) for c in scols
+                 if TYPE_MAP.get(stypes[c], stypes[c]) != dtypes[c]]
+    if bad_types:
+        out.update(ok=False, reason=f"types differ: {bad_types}")
+        return out
     a, b = _rows(srows, scols), _rows(drows, scols)
     if len(a) != len(b):
         out.update(ok=False, reason="row counts differ")
