@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfwise.schema import ORDER_COLS
+from shelfwise.schema import OBS_DATE, ORDER_COLS, ROW_SEQ
 
 ColumnOrName = Column | str
 
@@ -132,3 +132,36 @@ def order_keys(order_cols: Sequence[str] = ORDER_COLS, descending: bool = False)
     if descending:
         return [F.col(c).desc_nulls_last() for c in order_cols]
     return [F.col(c).asc_nulls_last() for c in order_cols]
+
+
+# Packing of (date, row sequence) into one DECIMAL(38,0) that orders like the
+# pair: (days since 0001-01-01) * 10^30 + (row_seq + 10^29).  Valid for any
+# DATE and any |row_seq| < 10^29; the largest value is below 4 * 10^36.
+_DAY_OFFSET = 719162  # days from 0001-01-01 to 1970-01-01
+_SEQ_SCALE = "CAST('1" + "0" * 30 + "' AS DECIMAL(38,0))"
+_SEQ_OFFSET = "CAST('1" + "0" * 29 + "' AS DECIMAL(38,0))"
+
+
+def order_number(date_col: str = OBS_DATE, seq_col: str = ROW_SEQ) -> Column:
+    """The (date, row sequence) position of a row as one orderable number.
+
+    ``min``/``max`` of it plan as a hash aggregation (a fixed-width decimal
+    buffer), where the same over a struct needs a sort-based aggregation.
+    Use it where only the position is needed, not other fields of the row.
+    """
+    days = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")) + F.lit(_DAY_OFFSET)
+    return (days.cast("decimal(38,0)") * F.expr(_SEQ_SCALE)
+            + (F.col(seq_col).cast("decimal(38,0)") + F.expr(_SEQ_OFFSET))).cast("decimal(38,0)")
+
+
+def order_number_date(number: ColumnOrName) -> Column:
+    """The date packed in an :func:`order_number`."""
+    n = col(number)
+    days = F.floor(n / F.expr(_SEQ_SCALE)).cast("int") - F.lit(_DAY_OFFSET)
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+
+
+def order_number_seq(number: ColumnOrName) -> Column:
+    """The row sequence packed in an :func:`order_number` (as DECIMAL(38,0))."""
+    n = col(number)
+    return (n % F.expr(_SEQ_SCALE) - F.expr(_SEQ_OFFSET)).cast("decimal(38,0)")

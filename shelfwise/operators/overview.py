@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions import dims
-from shelfwise.functions.exprs import (money_sum, order_keys, order_struct, round_half_even,
+from shelfwise.functions.exprs import (money_sum, order_keys, order_number, round_half_even,
                                        with_order_cols)
 from shelfwise.operators import metrics as M
 from shelfwise.operators.common import DEFAULT_AS_OF, as_of_season, shared, top_n
@@ -65,14 +65,14 @@ def category_weather_impact(df: DataFrame, as_of: str = DEFAULT_AS_OF,
                             min_abs: float = 2.0, with_order: bool = False) -> DataFrame:
     """H6, H7: current-season multiplier and impact for every category present.
 
-    One aggregation over the fact (row count and first-seen position per
-    category, partial + final); the category lookup is then a join of two
-    tiny tables.  A missing category is listed with the default multiplier
+    One hash aggregation over the fact (row count and first-seen position
+    per category, partial + final); the category lookup is then a join of
+    two tiny tables.  A missing category is listed with the default multiplier
     and 0 rows, as equality never matches it.
     """
     season = as_of_season(as_of)
     per_cat = (df.groupBy(S.CATEGORY)
-                 .agg(F.count(F.lit(1)).alias("_n"), F.min(order_struct()).alias("_first_seen"))
+                 .agg(F.count(F.lit(1)).alias("_n"), F.min(order_number()).alias("_first_seen"))
                  .withColumn(M.SEASON, season))
     sens = F.broadcast(dims.weather_sensitivity(df.sparkSession)).select(
         F.col("category").alias("_c"), F.col("season").alias("_s"),

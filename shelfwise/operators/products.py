@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import schema as S
-from shelfwise.functions.exprs import (money_sum, order_keys, order_struct, round_half_even,
+from shelfwise.functions.exprs import (money_sum, order_keys, order_number, order_number_date,
+                                       order_number_seq, order_struct, round_half_even,
                                        trunc_to_long, with_order_cols)
 from shelfwise.operators import metrics as M
 from shelfwise.operators.common import top_n
@@ -40,32 +41,35 @@ def latest_snapshot(df: DataFrame, category: str | None = None,
     return scope(df.where(F.col(S.OBS_DATE) == latest), category, store)
 
 
+def _first_seen_columns() -> list:
+    return [order_number_date("_f").alias("first_seen_date"),
+            order_number_seq("_f").cast("string").alias("first_seen_seq")]
+
+
 def _first_seen(df: DataFrame, key: str, kind: str) -> DataFrame:
-    first = F.min(order_struct())
-    return (df.groupBy(key).agg(first.alias("_f"))
+    return (df.groupBy(key).agg(F.min(order_number()).alias("_f"))
               .select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("value"),
-                      F.col("_f").getField(S.OBS_DATE).alias("first_seen_date"),
-                      F.col("_f").getField(S.ROW_SEQ).cast("string").alias("first_seen_seq")))
+                      *_first_seen_columns()))
 
 
 def filter_options(df: DataFrame) -> DataFrame:
     """Choices of the category, store and product pickers.
 
     Categories and stores come from the whole table in one pass (grouping
-    sets: the scan feeds one partial aggregation keyed by either column),
-    products from the latest snapshot.  Each value carries its first-seen
+    sets: the scan feeds one partial hash aggregation keyed by either
+    column), products from the latest snapshot.  The first-seen position is
+    the minimum of the packed (date, row sequence) number.  Each value carries its first-seen
     position (date, and the row sequence as text) so a client can list them
     in first-seen order.
     """
     both = (df.groupingSets([[S.CATEGORY], [S.STORE]], S.CATEGORY, S.STORE)
-              .agg(F.min(order_struct()).alias("_f"),
+              .agg(F.min(order_number()).alias("_f"),
                    F.grouping(S.CATEGORY).alias("_by_store")))
     is_store = F.col("_by_store") == 1
     dims_part = both.select(
         F.when(is_store, F.lit("store")).otherwise(F.lit("category")).alias("kind"),
         F.when(is_store, F.col(S.STORE)).otherwise(F.col(S.CATEGORY)).cast("string").alias("value"),
-        F.col("_f").getField(S.OBS_DATE).alias("first_seen_date"),
-        F.col("_f").getField(S.ROW_SEQ).cast("string").alias("first_seen_seq"))
+        *_first_seen_columns())
     return dims_part.unionByName(_first_seen(latest_snapshot(df), S.PRODUCT, "product"))
 
 
