@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions.dims import URGENCY_STATUSES
-from shelfwise.functions.exprs import ladder, money_sum, order_keys, order_struct, with_order_cols
+from shelfwise.functions.exprs import ladder, order_keys, order_struct, with_order_cols
 from shelfwise.operators.common import top_n
 
 DAYS_LEFT = "days_left"

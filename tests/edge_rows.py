@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import types as T
 
 from shelfwise.schema import INVENTORY_SCHEMA
 
