@@ -70,8 +70,10 @@ def read_inventory(spark: SparkSession, path: str | Sequence[str], fmt: str = "c
 
     CSV is read with every column as text (no schema inference pass over the
     data), missing-value text is normalised, then columns are cast.  Parquet
-    is read with its own types.  Without a ``row_seq`` column, the read order
-    (partition id, then position in the split) stands in for file order.
+    is read with its own types.  A ``row_seq`` column in the file is kept as
+    the file order; without one, the read order (partition id, then
+    position in the split) stands in for it.  Other extra columns are
+    dropped.
     """
     if fmt == "csv":
         raw = (spark.read.option("header", True).option("inferSchema", False)
