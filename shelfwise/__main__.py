@@ -13,6 +13,7 @@ import argparse
 import sys
 
 from shelfwise.operators import overview as H
+from shelfwise.operators import products as P
 from shelfwise.operators import seasonal as W
 from shelfwise.operators.metrics import enrich
 from shelfwise.plans.catalog import MODEL_REPORTS, REPORTS
@@ -30,7 +31,23 @@ AS_OF_REPORTS = {
 }
 
 
-def build(name: str, df, as_of: str | None):
+# Product reports with the dashboard's category / store pickers.
+SCOPED_REPORTS = {
+    "p1_latest_snapshot": lambda df, c, s: P.latest_snapshot(df, c, s).select(*P.SNAPSHOT_COLUMNS),
+    "p4_snapshot_kpis": P.snapshot_kpis,
+    "p5_snapshot_category_stock": P.snapshot_category_stock,
+    "p6_top_sellers": lambda df, c, s: P.top_sellers(df, 10, c, s),
+    "p8_highest_stock": lambda df, c, s: P.highest_stock(df, 5, c, s),
+    "p10_product_detail": P.product_detail,
+    "p11_product_history": P.product_history_counts,
+    "p12_cover_verdict": P.cover_verdict,
+}
+
+
+def build(name: str, df, as_of: str | None = None, category: str | None = None,
+          store: str | None = None):
+    if (category or store) and name in SCOPED_REPORTS:
+        return SCOPED_REPORTS[name](df, category, store)
     if as_of and name in AS_OF_REPORTS:
         return AS_OF_REPORTS[name](df, as_of)
     return REPORTS[name](df)
@@ -43,6 +60,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--report", action="append", choices=sorted(REPORTS),
                     help="report to run (repeatable); default: all")
     ap.add_argument("--as-of", help="date deciding the current season (default 2025-08-07)")
+    ap.add_argument("--category", help="product reports: only this category")
+    ap.add_argument("--store", help="product reports: only this store")
     ap.add_argument("--show", type=int, default=20, help="rows to print per report")
     ap.add_argument("--out", help="write each report as Parquet under this folder instead")
     ap.add_argument("--lenient", action="store_true", help="bad numbers/dates become NULL")
@@ -52,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
     inv = enrich(read_inventory(spark, args.input, fmt=args.format, strict=not args.lenient))
     names = args.report or [n for n in REPORTS if n != "m_enrich"]
     for name in names:
-        df = build(name, inv, args.as_of)
+        df = build(name, inv, args.as_of, args.category, args.store)
         if args.out:
             df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
         else:

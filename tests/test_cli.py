@@ -27,3 +27,15 @@ def test_cli_writes_every_report(spark):
         assert spark.read.parquet(os.path.join(out, r)).count() > 0
     seasons = spark.read.parquet(os.path.join(out, "w3_seasonal_exposure"))
     assert [r.season for r in seasons.where("is_current").collect()] == ["Winter"]
+
+
+def test_cli_scope_filters(spark):
+    d = tempfile.mkdtemp(prefix="shelfwise-cli-")
+    path = os.path.join(d, "inventory.csv")
+    with open(path, "w") as fh:
+        fh.write(HEADER + "\n".join(ROWS) + "\n")
+    out = os.path.join(d, "reports")
+    assert main(["--input", path, "--out", out, "--report", "p1_latest_snapshot",
+                 "--category", "Toys", "--store", "S001"]) == 0
+    rows = spark.read.parquet(os.path.join(out, "p1_latest_snapshot")).collect()
+    assert rows and all(r.category == "Toys" and r.store_id == "S001" for r in rows)
