@@ -62,7 +62,8 @@ def fit_risk_model(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: i
     train = df.select(*FEATURES, F.col(M.RISK).cast("double").alias(M.RISK))
     if sample_fraction is not None and sample_fraction < 1.0:
         train = train.sample(fraction=sample_fraction, seed=seed)
-    key = (id(df.sparkSession), train.semanticHash(), trees, seed, max_depth, sample_fraction)
+    app = df.sparkSession.sparkContext.applicationId  # unique per running context
+    key = (app, train.semanticHash(), trees, seed, max_depth, sample_fraction)
     if reuse and key in _MODELS:
         return _MODELS[key]
     model = risk_pipeline(trees, seed, max_depth).fit(spread(train))
