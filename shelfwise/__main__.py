@@ -57,8 +57,8 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="python -m shelfwise", description=__doc__.split("\n")[0])
     ap.add_argument("--input", required=True, help="inventory file or folder")
     ap.add_argument("--format", default="csv", choices=("csv", "parquet"))
-    ap.add_argument("--report", action="append", choices=sorted(REPORTS),
-                    help="report to run (repeatable); default: all")
+    ap.add_argument("--report", action="append", choices=sorted(REPORTS), metavar="NAME",
+                    help="report to run (repeatable; default: all): " + ", ".join(sorted(REPORTS)))
     ap.add_argument("--as-of", help="date deciding the current season (default 2025-08-07)")
     ap.add_argument("--category", help="product reports: only this category")
     ap.add_argument("--store", help="product reports: only this store")
