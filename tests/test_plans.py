@@ -64,3 +64,9 @@ def test_latest_snapshot_prunes_date_partitions(spark):
     text = plan(snap)
     assert "PartitionFilters: [isnotnull(obs_date" in text and "= Subquery" in text
     assert snap.count() == 2
+
+
+@pytest.mark.parametrize("name", [n for n in REPORTS if n not in MODEL_REPORTS])
+def test_no_cross_join(table, name):
+    p = plan(REPORTS[name](table))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
