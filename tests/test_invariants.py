@@ -75,3 +75,13 @@ def test_first_and_last_rows_differ_by_direction(df):
     last = {r.product_id: r.obs_date for r in R.current_product_rows(df, which="last").collect()}
     assert first.keys() == last.keys()
     assert all(first[k] <= last[k] for k in first)
+
+
+def test_vendor_ranking_order(df):
+    desc = [r.overall_score for r in V.vendor_ranking(df).collect()]
+    asc = [r.overall_score for r in V.vendor_ranking(df, ascending=True).collect()]
+    assert desc == sorted(desc, reverse=True) and asc == sorted(asc)
+
+
+def test_lead_time_alert_count_matches_health(df):
+    assert H.lead_time_alert_count(df).first()[0] == H.stock_health(df).first().lead_time_alert_rows
