@@ -33,3 +33,22 @@ def test_enriched_stream_is_streaming(spark):
     inv.withColumn("row_seq", inv["row_seq"].cast("bigint")).write.parquet(src)
     s = enriched_stream(spark, src)
     assert s.isStreaming and "days_to_stockout" in s.columns
+
+
+def test_csv_stream_health_equals_batch(spark):
+    from pyspark.sql import functions as F
+    src = os.path.join(tempfile.mkdtemp(prefix="shelfwise-stream-"), "csv")
+    inv = star_schema_inventory(spark, sf_dir("0.001"))
+    inv = inv.withColumn("row_seq", inv["row_seq"].cast("bigint"))
+    cols = [f.name for f in INVENTORY_SCHEMA.fields]
+    inv.select(*[F.col(c).cast("string") for c in cols]).repartition(2) \
+       .write.option("header", True).csv(src)
+    health = stock_health(enriched_stream(spark, src, fmt="csv"))
+    q = (health.writeStream.outputMode("complete").format("memory").queryName("health_csv")
+         .option("checkpointLocation", os.path.join(os.path.dirname(src), "ckpt")).start())
+    try:
+        q.processAllAvailable()
+        streamed = spark.sql("SELECT * FROM health_csv").first()
+    finally:
+        q.stop()
+    assert streamed.asDict() == stock_health(enrich(inv)).first().asDict()
