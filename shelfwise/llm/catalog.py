@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import level_dedup, mixing, packing, quality_rules, setsketch
+from shelfwise.llm import (collisions, count_viterbi, language_cnn, level_dedup, line_blocks, mixing, packing,
+                           quality_rules, quotations, setsketch)
 
 QUERIES = {
+    "op1_main_text": line_blocks.op1_main_text,
+    "op2_quotations": quotations.op2_quotations,
     "op3_substring_dedup": level_dedup.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op7_token_counts": count_viterbi.op7_token_counts,
+    "op8_embedding_dedup": collisions.op8_embedding_dedup,
     "op9_near_dedup": setsketch.op9_near_dedup,
+    "op10_language": language_cnn.op10_language,
 }
 
 SQL = dict(quality_rules.ORACLE_SQL)
