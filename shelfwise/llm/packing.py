@@ -4,9 +4,10 @@ Each document is its tokens and a closing id.  Documents longer than a sequence
 are cut into whole sequences, the first piece taking the remainder.  The pieces
 shorter than a sequence are dealt to shards of bounded size; within one, longest
 first, each goes where the sum over gaps g of N(g) squared, N(g) being the open
-sequences with g places left, becomes smallest (a tie: the smaller gap).  Then
-the sequences that stayed far from full are opened again and packed together,
-many shards at a time, until one group is left.
+sequences with g places left, becomes smallest (a tie: the smaller gap); a new
+sequence is begun only if no open one has room.  Then the sequences that stayed
+far from full are opened again and packed together, many shards at a time, until
+one group is left.
 
 Only (id, piece, length) reach the packing; the tokens stay behind, told apart
 by their checksum.  ``sequences`` brings pieces and tokens together.
@@ -110,18 +111,16 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]  # sequences by gap
     count = np.zeros(capacity + 1, np.int64)
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    made = 0
+    made, none = 0, np.iinfo(np.int64).max
     for i, n in enumerate(lengths.tolist()):
-        # the change of the sum: the sequence leaves gap g and enters gap g - n (full ones don't count)
-        entered = count[:capacity - n + 1].copy()
-        entered[0] = 0
-        entered[1:] += 1
-        change = entered - count[n:]
-        change[count[n:] == 0] = np.iinfo(np.int64).max
-        change[capacity - n] = entered[capacity - n]  # a new sequence
+        # the change of the sum: 1 - 2 N(g) for leaving gap g, 1 + 2 N(g - n) for entering gap g - n,
+        # nothing for entering the full ones
+        change = 2 * (count[:capacity - n + 1] - count[n:]) + 2
+        change[0] = 1 - 2 * count[n]
+        change[count[n:] == 0] = none
         g = int(change.argmin()) + n
-        if g == capacity:
-            s, made = made, made + 1
+        if change[g - n] == none:
+            g, s, made = capacity, made, made + 1
         else:
             s = open_[g].pop()
             count[g] -= 1
