@@ -14,7 +14,9 @@ of at least their Jaccard similarity.  Steps:
 3. estimate the similarity jointly by likelihood from the registers, drop pairs
    far below the bound, and verify the rest on the full shingle sets;
 4. link up; buckets whose members are still in different components are then
-   compared completely, in blocks of members, again estimate first.
+   compared completely, again estimate first: small buckets pair by pair, larger
+   ones in blocks of members, where a pair is verified only while its components
+   are apart, so a block returns fewer links than it has members.
 
 At similarity 0.8 a pair shares none of the 32 bands with probability 5e-8, and
 the estimate drops it with 1e-5.
@@ -43,7 +45,11 @@ B = 1.001
 TOP = 65535
 #: -log_B(1 / OFFSET) places the scale so that sets of 1 to 1e9 shingles use the middle of it.
 OFFSET = 1e12
-BLOCK = 512
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
+#: buckets of so few members are compared pair by pair
+SMALL = 8
+TASK = ("band", "value", "b1", "b2")
 #: standard errors of the estimate below the bound at which a pair is dropped
 MARGIN = 4.5
 
@@ -210,36 +216,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 sets(batch.column(3), b)
                 ok = []
                 for x, y in zip(a, b):
-                    p, q = cache[x], cache[y]
-                    common = len(p) + len(q) - len(np.union1d(p, q))
-                    ok.append(100 * common >= percent * (len(p) + len(q) - common))
+                    ok.append(_near(cache[x], cache[y], percent))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]) \
                     .filter(pa.array(ok))
 
     return both.mapInArrow(run, schema)
 
 
-def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, bound: float) -> DataFrame:
-    """Estimated pairs, from different components, of the buckets that still hold several.
+def _open(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that still hold several components."""
+    named = cut(members.join(labels, members["rep"] == labels["node"], "left").join(reps.select("rep", "n"), "rep")
+                .select("band", "value", "rep", "n", F.coalesce("component", "rep").alias("component")), "named")
+    open_ = named.groupBy("band", "value").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"),
+        F.sum("n").alias("total")).where("lo < hi").select("band", "value", "c", "total")
+    return cut(named.join(cut(open_, "open"), ["band", "value"]), "rest")
 
-    A bucket is compared in blocks of BLOCK members, so a task holds two blocks
-    at most, and a pair counts in the first band it shares only.
+
+def _small(rows: DataFrame) -> DataFrame:
+    """All pairs from different components of the buckets of at most SMALL members."""
+    groups = rows.where(F.col("c") <= SMALL).groupBy("band", "value") \
+        .agg(F.collect_list(F.struct("rep", "component")).alias("g"))
+    one = groups.select("g", F.explode("g").alias("x"))
+    return one.select("x", F.explode("g").alias("y")).where("x.rep < y.rep and x.component <> y.component") \
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def _partners(rows: DataFrame, reps: DataFrame, bound: float) -> DataFrame:
+    """Of the larger buckets, in blocks: (band, value, b1, b2, rep, component, partners).
+
+    A task holds two blocks of at most BLOCK members and BLOCK_SHINGLES shingles
+    on average.  Partners are members of other components whose estimate isn't far
+    below the bound, best first; a pair is taken in the first band it shares.
     """
-    named = members.join(labels, members["rep"] == labels["node"], "left") \
-        .select("band", "value", "rep", F.coalesce("component", "rep").alias("component"))
-    named = cut(named, "named")
-    open_ = named.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                               F.count("*").alias("c")).where("lo < hi").select("band", "value", "c")
-    rows = named.join(cut(open_, "open"), ["band", "value"])
-    n_blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    n_blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     mine = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
-    rows = rows.select("band", "value", "rep", "component", n_blocks.alias("nb"), mine.alias("mine"))
+    rows = rows.where(F.col("c") > SMALL).select("band", "value", "rep", "component", n_blocks.alias("nb"), mine.alias("mine"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
         .select("band", "value", "rep", "component", "mine", F.least("mine", "other").alias("b1"),
                 F.greatest("mine", "other").alias("b2"))
     rows = rows.join(reps.select("rep", "n", "regs"), "rep")
     ids = reps.schema["rep"].dataType
-    schema = T.StructType([T.StructField("a", ids), T.StructField("b", ids)])
+    schema = T.StructType([rows.schema[c] for c in (*TASK, "rep", "component")] + [
+        T.StructField("partners", T.ArrayType(ids))])
     floor = _floor(bound)
 
     def run(group: pa.Table) -> pa.Table:
@@ -251,7 +270,8 @@ def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, bound: float)
         regs = np.concatenate([_unpack(c) for c in group.column("regs").chunks])
         bands = regs.view(np.int64)
         key = rep.to_numpy(zero_copy_only=False)
-        left, right = [], []
+        partners = [np.empty(0, np.int64)] * len(key)
+        used = np.zeros(len(key), bool)
         cols = np.flatnonzero(mine == b2)
         for i in np.flatnonzero(mine == b1):
             js = cols[comp[cols] != comp[i]]
@@ -262,13 +282,60 @@ def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, bound: float)
             js = js[(regs[js] == regs[i]).mean(axis=1) >= floor - 0.02]  # cheaper than the likelihood
             if len(js):
                 est = similarity(np.repeat(regs[i:i + 1], len(js), 0), regs[js], np.full(len(js), n[i]), n[js])
-                js = js[est >= floor]
-                left += [i] * len(js)
-                right += js.tolist()
-        a, b = rep.take(pa.array(left, pa.int64())), rep.take(pa.array(right, pa.int64()))
-        return pa.table({"a": a, "b": b})
+                js = js[np.argsort(-est, kind="stable")][:int((est >= floor).sum())]
+                partners[i] = js
+                used[i] |= len(js) > 0
+                used[js] = True
+        kept = np.flatnonzero(used)
+        lists = [partners[i] for i in kept]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+        flat = rep.take(pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
+        out = group.select([*TASK, "rep", "component"]).take(pa.array(kept))
+        return out.append_column("partners", pa.ListArray.from_arrays(pa.array(at), flat))
+
+    return rows.groupBy(*TASK).applyInArrow(run, schema)
 
-    return rows.groupBy("band", "value", "b1", "b2").applyInArrow(run, schema)
+
+def _joined(partners: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join the components of a task's members whose full sets are near enough.
+
+    Members of one component, as found so far, aren't compared again.
+    """
+    rows = partners.join(texts.select("rep", "text"), "rep").select(*TASK, "rep", "component", "partners", "text")
+    schema = T.StructType([T.StructField("a", rows.schema["rep"].dataType), T.StructField("b", rows.schema["rep"].dataType)])
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, component = group.column("rep").to_pylist(), group.column("component").to_pylist()
+        found, root = {}, {c: c for c in component}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for w in scan(group.column("text"), fold=True):
+            s, o = shingles(w, size)
+            at = np.searchsorted(o, np.arange(w.n_texts + 1))
+            for k in range(w.n_texts):
+                found[rep[w.first + k]] = s[at[k]:at[k + 1]]
+        of = dict(zip(rep, component))
+        a, b = [], []
+        for x, partners in zip(rep, group.column("partners").to_pylist()):
+            for y in partners:
+                cx, cy = top(of[x]), top(of[y])
+                if cx != cy and _near(found[x], found[y], percent):
+                    root[cx] = cy
+                    a.append(x)
+                    b.append(y)
+        kind = group.schema.field("rep").type
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+    return rows.groupBy(*TASK).applyInArrow(run, schema)
+
+
+def _near(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    common = len(p) + len(q) - len(np.union1d(p, q))
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80,
@@ -294,11 +361,13 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80,
                 .join(ids, "rep"), "texts")
     links = cut(_verified(near, texts, size, percent), "links")
     labels = components(links)
-    rest = cut(_rest(members, reps, labels, bound).distinct(), "rest")
-    if not rest.isEmpty():
-        more = cut(_verified(rest, texts, size, percent), "more")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    rest = _open(members, reps, labels)
+    few = cut(_estimated(cut(_small(rest), "few"), reps, bound), "few-near")
+    more = _verified(few, texts, size, percent) \
+        .union(_joined(cut(_partners(rest, reps, bound), "partners"), texts, size, percent))
+    more = cut(more, "more")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     of = reps.join(labels, reps["rep"] == labels["node"], "left") \
         .select(*same, F.coalesce("component", "rep").alias("component"))
     rows = sk.select("doc_id", *same).join(cut(of, "of"), same, "left")

@@ -1,0 +1,92 @@
+import itertools
+import random
+
+import numpy as np
+
+from helpers_llm import by_id, doc, frame, prose, words
+from shelfwise.llm import setsketch as s
+
+
+def sets(rows, size):
+    out = {}
+    for r in rows:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or ""))
+        out[r[0]] = {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+    return out
+
+
+def brute(rows, size, percent):
+    found = sets(rows, size)
+    root = {i: i for i in found}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(found), 2):
+        common, union = len(found[a] & found[b]), len(found[a] | found[b])
+        if common and 100 * common >= percent * union:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {i: (len(found[i]), top(i)) for i in found}
+
+
+def corpus():
+    rng, rows = random.Random(5), []
+    for base in range(12):
+        text = prose(base, rng.choice([8, 30, 60, 200, 900])).split()
+        for k in range(8):  # near copies on both sides of the bound, and chains of them
+            w = list(text)
+            for _ in range(rng.choice([0, 1, 2, len(w) // 30, len(w) // 20])):
+                w[rng.randrange(len(w))] = f"x{rng.random()}"
+            rows.append(doc(len(rows) * 7 + 3, " ".join(w)))
+            text = w if k % 3 == 2 else text
+    rows += [doc(900, None), doc(901, ""), doc(902, " \n"), doc(903, "one two"), doc(904, "ONE  Two"),
+             doc(905, "one"), doc(906, "É one two three"), doc(907, "é one two three"), doc(908, prose(3, 40000))]
+    return rows
+
+
+def test_against_brute_force(spark):
+    rows = corpus()
+    for size in (4, 5):
+        got = by_id(s.near_dedup(frame(spark, rows), size=size))
+        want = brute(rows, size, 80)
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+        assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_repeated_rows_null_ids_empty_table(spark):
+    text = prose(1, 80)
+    rows = [doc(5, text), doc(5, text), doc(2, text), doc(None, text), doc(9, prose(2, 80)), doc(None, None)]
+    got = sorted(tuple(r) for r in s.near_dedup(frame(spark, rows)).where("doc_id is not null").collect())
+    assert got == [(2, 76, 2, True), (5, 76, 2, False), (5, 76, 2, False), (9, 76, 9, True)]
+    nulls = s.near_dedup(frame(spark, rows)).where("doc_id is null").collect()
+    assert len(nulls) == 2 and all(r["component_id"] is None and r["kept"] for r in nulls)
+    assert s.near_dedup(frame(spark, [])).collect() == []
+
+
+def test_large_group_without_a_common_centre(spark, monkeypatch):
+    # copies that differ from the base in one passage each: most pairs of copies are below the bound
+    monkeypatch.setattr(s, "BLOCK", 16)
+    monkeypatch.setattr(s, "SMALL", 3)
+    base = prose(77, 60).split()
+    rows = []
+    for k in range(60):
+        w = list(base)
+        w[k % 56:k % 56 + 2] = [f"y{k}", f"z{k}"]
+        rows.append(doc(1000 + k, " ".join(w)))
+    got = by_id(s.near_dedup(frame(spark, rows), size=4))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute(rows, 4, 80)
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    b = np.concatenate([a[:2400], rng.integers(0, 1 << 63, 600, dtype=np.uint64)])
+    zero = np.zeros(3000, np.int64)
+    ra, rb = s.registers(a, zero, 1), s.registers(b, zero, 1)
+    both = np.union1d(a, b)
+    assert (np.maximum(ra, rb) == s.registers(both, np.zeros(len(both), np.int64), 1)).all()
+    est = s.similarity(ra, rb, np.array([3000.0]), np.array([3000.0]))[0]
+    assert abs(est - 2400 / 3600) < 0.15
