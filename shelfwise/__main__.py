@@ -1,7 +1,7 @@
 """Run the reports over an inventory file: ``python -m shelfwise --input PATH``.
 
 The dashboard's workflow without the browser: read the inventory CSV (or
-Parquet), enrich it once, then show or write any or all reports.
+Parquet), enrich and store it once, then show or write any or all reports.
 
   python -m shelfwise --input data/inventory.csv --report v10_vendor_cards --show 20
   python -m shelfwise --input s3://bucket/inventory/ --format parquet --out s3://bucket/reports/
@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from shelfwise.operators import overview as H
 from shelfwise.operators import products as P
 from shelfwise.operators import seasonal as W
 from shelfwise.operators.metrics import enrich
 from shelfwise.plans.catalog import MODEL_REPORTS, REPORTS
-from shelfwise.session import build_session
-from shelfwise.sources.inventory import read_inventory
+from shelfwise.session import build_session, scratch_path
+from shelfwise.sources.inventory import load_enriched, read_inventory, save_enriched
 
 # Reports that depend on "today" (the season); the rest ignore --as-of.
 AS_OF_REPORTS = {
@@ -64,12 +65,18 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--store", help="product reports: only this store")
     ap.add_argument("--show", type=int, default=20, help="rows to print per report")
     ap.add_argument("--out", help="write each report as Parquet under this folder instead")
+    ap.add_argument("--date-format", help="Spark date pattern (default: ISO or month/day/year)")
     ap.add_argument("--lenient", action="store_true", help="bad numbers/dates become NULL")
     args = ap.parse_args(argv)
 
     spark = build_session()
-    inv = enrich(read_inventory(spark, args.input, fmt=args.format, strict=not args.lenient))
+    inv = enrich(read_inventory(spark, args.input, fmt=args.format, strict=not args.lenient,
+                                date_format=args.date_format))
     names = args.report or [n for n in REPORTS if n != "m_enrich"]
+    if len(names) > 1:  # read, parse and enrich once; each report then reads what it needs
+        store = scratch_path(spark, f"enriched-{uuid.uuid4().hex}")
+        save_enriched(inv, store, files=0)
+        inv = load_enriched(spark, store)
     for name in names:
         df = build(name, inv, args.as_of, args.category, args.store)
         if args.out:

@@ -178,6 +178,17 @@ def seasons(spark: SparkSession) -> DataFrame:
                          "season string, season_order int")
 
 
+def multiplier(category, season):
+    """The weather multiplier as an expression; NULL if the table has none."""
+    out = F.lit(None).cast("double")
+    for name, by in WEATHER_SENSITIVITY.items():
+        one = F.lit(None).cast("double")
+        for s, value in by.items():
+            one = F.when(season == s, F.lit(value)).otherwise(one)
+        out = F.when(category == name, one).otherwise(out)
+    return out
+
+
 def default_multiplier(season_col) -> F.Column:
     """Multiplier of an unknown category by season; NULL for unknown season."""
     out = None

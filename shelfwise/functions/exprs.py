@@ -63,19 +63,14 @@ def trunc_to_long(c: ColumnOrName) -> Column:
     return F.when(~F.isnan(c), c.cast("bigint"))
 
 
-def safe_ratio(num: ColumnOrName, den: ColumnOrName) -> Column:
-    """``num / den`` with NULL for a zero denominator (ANSI raises on x/0)."""
-    return F.try_divide(col(num), col(den))
+# Money is summed as a decimal, whose partial sums merge exactly: doubles summed
+# in another order differ in the last bits.  Six places keep an amount unrounded.
+MONEY = "decimal(28,6)"
 
 
 def money_sum(c: ColumnOrName) -> Column:
-    """Exact sum of cent amounts, returned as a double.
-
-    Summing doubles in a different order changes the last bits, so each
-    value is rounded to cents and summed as a decimal (partial sums merge
-    exactly), then converted back.
-    """
-    return F.sum(col(c).cast("decimal(18,2)")).cast("double")
+    """Exact sum of amounts, returned as a double."""
+    return F.sum(col(c).cast(MONEY)).cast("double")
 
 
 def season_of_month(month: ColumnOrName) -> Column:
@@ -113,14 +108,10 @@ def ladder(value: ColumnOrName, steps: Sequence[tuple[float, str]],
     return out
 
 
-def order_struct(*extra: str, order_cols: Sequence[str] = ORDER_COLS) -> Column:
-    """A struct whose natural ordering is file order, carrying ``extra``.
-
-    ``min``/``max`` of it give the first/last row of a group in one partial
-    aggregation, without a window or a sort of the group.
-    """
-    names = list(order_cols) + [c for c in extra if c not in order_cols]
-    return F.struct(*[F.col(c) for c in names])
+def order_struct(order_cols: Sequence[str] = ORDER_COLS) -> Column:
+    """A struct that orders like ``order_keys``: ascending, a missing value last."""
+    return F.struct(*[x for i, c in enumerate(order_cols)
+                      for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"c{i}"))])
 
 
 def with_order_cols(*cols: str, order_cols: Sequence[str] = ORDER_COLS) -> list[str]:
@@ -136,8 +127,11 @@ def order_keys(order_cols: Sequence[str] = ORDER_COLS, descending: bool = False)
 
 # Packing of (date, row sequence) into one DECIMAL(38,0) that orders like the
 # pair: (days since 0001-01-01) * 10^30 + (row_seq + 10^29).  Valid for any
-# DATE and any |row_seq| < 10^29; the largest value is below 4 * 10^36.
+# DATE and any |row_seq| < 10^29; a missing date or sequence sorts last, as a day
+# or a sequence beyond all others.  The largest value is below 10^37.
 _DAY_OFFSET = 719162  # days from 0001-01-01 to 1970-01-01
+_NO_DAY = 9_000_000
+_NO_SEQ = "CAST('8" + "0" * 29 + "' AS DECIMAL(38,0))"
 _SEQ_SCALE = "CAST('1" + "0" * 30 + "' AS DECIMAL(38,0))"
 _SEQ_OFFSET = "CAST('1" + "0" * 29 + "' AS DECIMAL(38,0))"
 
@@ -150,18 +144,20 @@ def order_number(date_col: str = OBS_DATE, seq_col: str = ROW_SEQ) -> Column:
     Use it where only the position is needed, not other fields of the row.
     """
     days = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")) + F.lit(_DAY_OFFSET)
-    return (days.cast("decimal(38,0)") * F.expr(_SEQ_SCALE)
-            + (F.col(seq_col).cast("decimal(38,0)") + F.expr(_SEQ_OFFSET))).cast("decimal(38,0)")
+    days = F.coalesce(days, F.lit(_NO_DAY))
+    seq = F.coalesce(F.col(seq_col).cast("decimal(38,0)"), F.expr(_NO_SEQ))
+    return (days.cast("decimal(38,0)") * F.expr(_SEQ_SCALE) + (seq + F.expr(_SEQ_OFFSET))).cast("decimal(38,0)")
 
 
 def order_number_date(number: ColumnOrName) -> Column:
     """The date packed in an :func:`order_number`."""
     n = col(number)
-    days = F.floor(n / F.expr(_SEQ_SCALE)).cast("int") - F.lit(_DAY_OFFSET)
-    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+    days = F.floor(n / F.expr(_SEQ_SCALE)).cast("int")
+    return F.when(days != _NO_DAY, F.date_add(F.lit("1970-01-01").cast("date"), days - F.lit(_DAY_OFFSET)))
 
 
 def order_number_seq(number: ColumnOrName) -> Column:
     """The row sequence packed in an :func:`order_number` (as DECIMAL(38,0))."""
     n = col(number)
-    return (n % F.expr(_SEQ_SCALE) - F.expr(_SEQ_OFFSET)).cast("decimal(38,0)")
+    seq = (n % F.expr(_SEQ_SCALE) - F.expr(_SEQ_OFFSET)).cast("decimal(38,0)")
+    return F.when(seq != F.expr(_NO_SEQ), seq)

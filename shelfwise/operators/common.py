@@ -9,7 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.exprs import season_of_month
+from shelfwise.functions.exprs import order_number, order_struct, season_of_month
+from shelfwise.schema import ORDER_COLS
 
 # The dashboard's fixed "today" for seasonal pages; reports take it as an
 # argument so that results are repeatable.
@@ -38,8 +39,9 @@ def bounded_rank(df: DataFrame, score: str, rank_col: str, descending: bool = Tr
     An unpartitioned window pulls every row into one task.  Instead the
     distinct scores are counted (partial aggregation), the running count over
     the *distinct scores* gives each score its rank, and that small table is
-    joined back.  Use only where the score has a proven small domain (e.g. a
-    0-100 score rounded to one place: at most 1001 values).
+    joined back.  For scores of a small domain (e.g. a 0-100 score rounded to
+    one place: at most 1001 values).  The join's strategy is left to Spark, which
+    broadcasts the table of scores after checking its size.
     """
     counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
     order = F.col(score).desc() if descending else F.col(score).asc()
@@ -47,7 +49,32 @@ def bounded_rank(df: DataFrame, score: str, rank_col: str, descending: bool = Tr
     ranks = counts.select(
         F.col(score),
         (F.coalesce(F.sum("_n").over(w), F.lit(0)) + F.lit(1)).cast("int").alias(rank_col))
-    return df.join(F.broadcast(ranks), on=score, how="left")
+    return df.join(ranks, on=score, how="left")
+
+
+def order_position(order_cols: Sequence[str] = ORDER_COLS) -> Column:
+    """The file-order position as one value: packed for the default columns, else a struct."""
+    return order_number(*ORDER_COLS) if tuple(order_cols) == ORDER_COLS else order_struct(order_cols)
+
+
+def end_rows(df: DataFrame, by: str, numbers: Sequence[str], texts: Sequence[str] = (),
+             which: str = "first", order_cols: Sequence[str] = ORDER_COLS) -> DataFrame:
+    """The first or last row, in file order, of every ``by`` group.
+
+    Fixed-width columns are picked by ``min_by``/``max_by`` on the packed
+    position, a hash aggregation that is partial per map task.  Text columns
+    need a sort-based aggregation, so they first join the grouping key: the
+    fact rows are hashed, and only one row per (group, texts) is sorted.
+    """
+    if which not in ("first", "last"):
+        raise ValueError(f"which must be 'first' or 'last', not {which!r}")
+    end, pick = (F.min, F.min_by) if which == "first" else (F.max, F.max_by)
+    at = order_position(order_cols)
+    rows = df.where(F.col(by).isNotNull()).groupBy(by, *texts).agg(
+        end(at).alias("_at"), *[pick(c, at).alias(c) for c in numbers])
+    if texts:
+        rows = rows.groupBy(by).agg(*[pick(c, "_at").alias(c) for c in (*numbers, *texts)])
+    return rows.select(by, *numbers, *texts)
 
 
 def shared(df: DataFrame) -> DataFrame:

@@ -1,9 +1,8 @@
 """Row metrics M1-M16 and ``enrich``.
 
-All metrics are row-local expressions; the only non-local step is a lookup of
-the weather multiplier in a 20-row table, done as a broadcast hash join that
-stays inside the scan's whole-stage-codegen span.  ``enrich`` therefore adds
-no shuffle and works unchanged on a streaming DataFrame.
+All metrics are row-local expressions, the lookup of the built-in weather
+multipliers included.  ``enrich`` therefore adds no join or shuffle and works
+unchanged on a streaming DataFrame.
 """
 
 from __future__ import annotations
@@ -124,23 +123,28 @@ def with_weather(df: DataFrame, sensitivity: DataFrame | None = None) -> DataFra
     """Category x season multiplier, adjusted demand, impact score.
 
     Unknown category -> default multiplier of the season; unknown season -> 1.0.
-    The built-in table is 20 literal rows and is broadcast explicitly; a
-    caller-supplied table is left to Spark's size-checked broadcast choice.
+    The built-in table is a literal expression, which a report that doesn't use
+    it drops.  A caller's table is joined, by Spark's size-checked choice; its
+    (category, season) must be unique, or rows would be multiplied.
     """
     if sensitivity is None:
-        sensitivity = F.broadcast(dims.weather_sensitivity(df.sparkSession))
+        return _impact(df.withColumn(MULT, F.coalesce(
+            dims.multiplier(F.col(S.CATEGORY), F.col(SEASON)), dims.default_multiplier(F.col(SEASON)), F.lit(1.0))))
+    twice = sensitivity.groupBy("category", "season").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"more than one weather multiplier for {twice[0][0]}, {twice[0][1]}")
     lookup = sensitivity.select(
         F.col("category").alias("_w_category"), F.col("season").alias("_w_season"),
         F.col("weather_multiplier").alias("_w_mult"))
     joined = df.join(lookup, (F.col(S.CATEGORY) == F.col("_w_category"))
                      & (F.col(SEASON) == F.col("_w_season")), "left")
     mult = F.coalesce(F.col("_w_mult"), dims.default_multiplier(F.col(SEASON)), F.lit(1.0))
-    return (joined.withColumn(MULT, mult)
-                  .drop("_w_category", "_w_season", "_w_mult")
-                  .withColumns({
-                      ADJ_DEMAND: F.col(S.FORECAST) * F.col(MULT),
-                      IMPACT: (F.col(MULT) - F.lit(1.0)) * F.lit(100.0),
-                  }))
+    return _impact(joined.withColumn(MULT, mult).drop("_w_category", "_w_season", "_w_mult"))
+
+
+def _impact(df: DataFrame) -> DataFrame:
+    return df.withColumns({ADJ_DEMAND: F.col(S.FORECAST) * F.col(MULT),
+                           IMPACT: (F.col(MULT) - F.lit(1.0)) * F.lit(100.0)})
 
 
 def enrich(df: DataFrame, sensitivity: DataFrame | None = None) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions import dims
-from shelfwise.functions.exprs import (money_sum, order_keys, order_number, round_half_even,
-                                       with_order_cols)
+from shelfwise.functions.exprs import MONEY, money_sum, order_keys, round_half_even, with_order_cols
 from shelfwise.operators import metrics as M
-from shelfwise.operators.common import DEFAULT_AS_OF, as_of_season, shared, top_n
+from shelfwise.operators.common import DEFAULT_AS_OF, as_of_season, order_position, shared, top_n
 
 
 def stock_health(df: DataFrame, critical: float = 7, warning: float = 14) -> DataFrame:
@@ -30,12 +31,13 @@ def stock_health(df: DataFrame, critical: float = 7, warning: float = 14) -> Dat
     )
 
 
-def critical_items(df: DataFrame, n: int = 5, critical: float = 7) -> DataFrame:
+def critical_items(df: DataFrame, n: int = 5, critical: float = 7,
+                   order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """H3: the ``n`` rows with the fewest days of stock (M1 <= critical)."""
     rows = df.where(F.col(M.DAYS) <= critical).select(*with_order_cols(
         S.PRODUCT, S.CATEGORY, M.DAYS, S.INV, S.SOLD, M.TARGET, M.SUGGESTED, S.DELIVERY,
-        S.VENDOR))
-    keys = [F.col(M.DAYS).asc_nulls_last(), *order_keys()]
+        S.VENDOR, order_cols=order_cols))
+    keys = [F.col(M.DAYS).asc_nulls_last(), *order_keys(order_cols)]
     return top_n(rows, keys, n).select(
         "rank", S.PRODUCT, S.CATEGORY, M.DAYS, S.INV, S.SOLD, M.TARGET, M.SUGGESTED,
         S.DELIVERY, S.VENDOR)
@@ -46,7 +48,7 @@ def lead_time_alert_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col(M.LT_RISK) == 1).alias("lead_time_alert_rows"))
 
 
-def lead_time_alerts(df: DataFrame, n: int = 3) -> DataFrame:
+def lead_time_alerts(df: DataFrame, n: int = 3, order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """H5: first ``n`` rows (file order) below their reorder point.
 
     ``days_to_order = int(max(0, (rop - stock) / sales))``; zero sales give
@@ -54,15 +56,16 @@ def lead_time_alerts(df: DataFrame, n: int = 3) -> DataFrame:
     """
     q = F.try_divide(F.col(M.ROP) - F.col(S.INV), F.col(S.SOLD))
     rows = df.where(F.col(M.LT_RISK) == 1).select(
-        *with_order_cols(S.PRODUCT, M.ROP, S.INV, S.SOLD))
-    out = top_n(rows, order_keys(), n)
+        *with_order_cols(S.PRODUCT, M.ROP, S.INV, S.SOLD, order_cols=order_cols))
+    out = top_n(rows, order_keys(order_cols), n)
     return out.select(
         "rank", S.PRODUCT, M.ROP, S.INV, S.SOLD,
         F.when(q.isNotNull(), F.greatest(F.lit(0.0), q)).cast("bigint").alias("days_to_order"))
 
 
 def category_weather_impact(df: DataFrame, as_of: str = DEFAULT_AS_OF,
-                            min_abs: float = 2.0, with_order: bool = False) -> DataFrame:
+                            min_abs: float = 2.0, with_order: bool = False,
+                            order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """H6, H7: current-season multiplier and impact for every category present.
 
     One hash aggregation over the fact (row count and first-seen position
@@ -72,7 +75,7 @@ def category_weather_impact(df: DataFrame, as_of: str = DEFAULT_AS_OF,
     """
     season = as_of_season(as_of)
     per_cat = (df.groupBy(S.CATEGORY)
-                 .agg(F.count(F.lit(1)).alias("_n"), F.min(order_number()).alias("_first_seen"))
+                 .agg(F.count(F.lit(1)).alias("_n"), F.min(order_position(order_cols)).alias("_first_seen"))
                  .withColumn(M.SEASON, season))
     sens = F.broadcast(dims.weather_sensitivity(df.sparkSession)).select(
         F.col("category").alias("_c"), F.col("season").alias("_s"),
@@ -92,9 +95,9 @@ def category_weather_impact(df: DataFrame, as_of: str = DEFAULT_AS_OF,
 
 
 def top_weather_impacts(df: DataFrame, as_of: str = DEFAULT_AS_OF, n: int = 3,
-                        min_abs: float = 2.0) -> DataFrame:
+                        min_abs: float = 2.0, order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """H8: the ``n`` largest absolute impacts; ties keep first-seen order."""
-    impacts = category_weather_impact(df, as_of, min_abs, with_order=True).withColumn(
+    impacts = category_weather_impact(df, as_of, min_abs, True, order_cols).withColumn(
         "abs_impact_pct", F.abs(F.col("impact_pct")))
     keys = [F.col("abs_impact_pct").desc(), F.col("_first_seen").asc()]
     return top_n(impacts, keys, n).select(
@@ -127,8 +130,8 @@ def _category_totals(df: DataFrame) -> DataFrame:
     return (df.where(F.col(S.CATEGORY).isNotNull())
               .groupBy(S.CATEGORY)
               .agg(F.coalesce(F.sum(S.INV), F.lit(0.0)).alias("total_units"),
-                   F.coalesce(F.sum(F.col(M.VALUE).cast("decimal(18,2)")),
-                              F.lit(0).cast("decimal(28,2)")).alias("_value_dec"),
+                   F.coalesce(F.sum(F.col(M.VALUE).cast(MONEY)),
+                              F.lit(0).cast("decimal(38,6)")).alias("_value_dec"),
                    F.count_distinct(S.PRODUCT).alias("product_count")))
 
 
@@ -155,13 +158,16 @@ def category_leaders(df: DataFrame) -> DataFrame:
          .alias("top_units_category"),
         F.max("total_units").alias("top_units"),
         F.min_by("product_count", F.col(S.CATEGORY)).alias("first_category_products"),
-        F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,2)")).cast("double")
+        F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).cast("double")
          .alias("grand_total_value"),
     )
 
 
-def category_share(df: DataFrame) -> DataFrame:
-    """Each category's share of units and of value, in percent.
+def category_share(df: DataFrame, by: str = "units") -> DataFrame:
+    """Each category's share of units and of value, in percent, and its rank by either.
+
+    Listed by units or, ``by="value"``, by value, both descending.  The ranks
+    number one row per category.
 
     The grand totals are scalar subqueries over the (shared) category
     aggregate, so the fact is scanned once and nothing is joined.
@@ -177,4 +183,7 @@ def category_share(df: DataFrame) -> DataFrame:
         round_half_even(F.try_divide(value, all_value) * F.lit(100.0), 6)
         .alias("value_share_pct"),
     )
-    return out.orderBy(F.col("total_units").desc(), F.col(S.CATEGORY))
+    for name, key in (("unit_rank", "total_units"), ("value_rank", "total_value")):
+        order = Window.orderBy(F.col(key).desc(), F.col(S.CATEGORY))
+        out = out.withColumn(name, F.row_number().over(order).cast("bigint"))
+    return out.orderBy("value_rank" if by == "value" else "unit_rank")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions.dims import URGENCY_STATUSES
-from shelfwise.functions.exprs import ladder, order_keys, order_struct, with_order_cols
-from shelfwise.operators.common import top_n
+from shelfwise.functions.exprs import MONEY, ladder, order_keys, with_order_cols
+from shelfwise.operators.common import end_rows, top_n
 
 DAYS_LEFT = "days_left"
 URGENCY = "urgency"
@@ -53,24 +53,26 @@ def urgency_counts(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*parts)))
 
 
-def _order_list(df: DataFrame, status: str, n: int, days: float) -> DataFrame:
+def _order_list(df: DataFrame, status: str, n: int, days: float, order_cols: Sequence[str]) -> DataFrame:
     items = order_items(df).where(F.col(URGENCY) == status)
-    rows = items.select(*with_order_cols(S.PRODUCT, S.INV, DAYS_LEFT, S.SOLD, S.PRICE))
-    keys = [F.col(DAYS_LEFT).asc_nulls_last(), *order_keys()]
+    rows = items.select(*with_order_cols(S.PRODUCT, S.INV, DAYS_LEFT, S.SOLD, S.PRICE, order_cols=order_cols))
+    keys = [F.col(DAYS_LEFT).asc_nulls_last(), *order_keys(order_cols)]
     qty = F.col(S.SOLD) * F.lit(float(days))
     return top_n(rows, keys, n).select(
         "rank", S.PRODUCT, S.INV, DAYS_LEFT, S.SOLD, S.PRICE,
         qty.alias("order_qty"), (qty * F.col(S.PRICE)).alias("order_cost"))
 
 
-def order_today(df: DataFrame, n: int = 5, days: float = 30) -> DataFrame:
+def order_today(df: DataFrame, n: int = 5, days: float = 30,
+                order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """The ``n`` most urgent 'Order Today!' rows with a 30-day order."""
-    return _order_list(df, TODAY, n, days)
+    return _order_list(df, TODAY, n, days, order_cols)
 
 
-def order_this_week(df: DataFrame, n: int = 10, days: float = 30) -> DataFrame:
+def order_this_week(df: DataFrame, n: int = 10, days: float = 30,
+                    order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """The ``n`` most urgent 'Order This Week' rows with a 30-day order."""
-    return _order_list(df, THIS_WEEK, n, days)
+    return _order_list(df, THIS_WEEK, n, days, order_cols)
 
 
 def vendor_speed(df: DataFrame) -> DataFrame:
@@ -99,32 +101,31 @@ def order_budget(df: DataFrame, days: float = 30) -> DataFrame:
     """Money for today's and this week's 30-day orders (gross of stock)."""
     items = order_items(df)
     cost = (F.col(S.SOLD) * F.lit(float(days))) * F.col(S.PRICE)
-    cents = cost.cast("decimal(18,2)")
-    today = F.sum(F.when(F.col(URGENCY) == TODAY, cents))
-    week = F.sum(F.when(F.col(URGENCY) == THIS_WEEK, cents))
-    zero = F.lit(0).cast("decimal(28,2)")
+    money = cost.cast(MONEY)
+    today = F.sum(F.when(F.col(URGENCY) == TODAY, money))
+    week = F.sum(F.when(F.col(URGENCY) == THIS_WEEK, money))
+    zero = F.lit(0).cast("decimal(38,6)")
     return items.agg(F.coalesce(today, zero).alias("_t"), F.coalesce(week, zero).alias("_w")).select(
         F.col("_t").cast("double").alias("today_budget"),
         F.col("_w").cast("double").alias("week_budget"),
         (F.col("_t") + F.col("_w")).cast("double").alias("total_budget"))
 
 
-def product_order_status(df: DataFrame) -> DataFrame:
-    """First selling row of every product with days left and urgency."""
-    items = order_items(df).where(F.col(S.PRODUCT).isNotNull())
-    return (items.groupBy(S.PRODUCT)
-                 .agg(F.min(order_struct(S.INV, S.PRICE, DAYS_LEFT, URGENCY)).alias("_f"))
-                 .select(S.PRODUCT, *[F.col("_f").getField(c).alias(c)
-                                      for c in (S.INV, S.SOLD, S.PRICE, DAYS_LEFT, URGENCY)]))
+def product_order_status(df: DataFrame, which: str = "first", thresholds: Sequence[float] = (3, 7, 14),
+                         order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
+    """First (or last) selling row of every product with days left and urgency."""
+    rows = end_rows(selling_items(df), S.PRODUCT, (S.INV, S.SOLD, S.PRICE), which=which, order_cols=order_cols)
+    return with_urgency(with_days_left(rows), thresholds)
 
 
-def coverage_plan(df: DataFrame, coverages: Sequence[int] = (14, 21, 30, 45, 60)) -> DataFrame:
+def coverage_plan(df: DataFrame, coverages: Sequence[int] = (14, 21, 30, 45, 60),
+                  which: str = "first", order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """Order needed for each coverage option, its cost and advice.
 
     ``need = max(0, sales * coverage - stock)`` (a missing operand gives 0).
     Five rows per product from exploding a literal array.
     """
-    status = product_order_status(df)
+    status = product_order_status(df, which, order_cols=order_cols)
     cov = F.explode(F.array(*[F.lit(int(c)) for c in coverages])).alias("coverage_days")
     rows = status.select("*", cov)
     target = F.col(S.SOLD) * F.col("coverage_days")

@@ -6,15 +6,17 @@ answer for every product at once, and a pick is a ``where`` on the result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions.exprs import (money_sum, order_keys, order_number, order_number_date,
-                                       order_number_seq, order_struct, round_half_even,
-                                       trunc_to_long, with_order_cols)
+                                       order_number_seq, round_half_even, trunc_to_long,
+                                       with_order_cols)
 from shelfwise.operators import metrics as M
-from shelfwise.operators.common import top_n
+from shelfwise.operators.common import end_rows, top_n
 
 SNAPSHOT_COLUMNS = (S.OBS_DATE, S.STORE, S.PRODUCT, S.CATEGORY, S.INV, S.SOLD, S.PRICE,
                     M.VALUE, S.VENDOR, M.DAYS, M.STATUS)
@@ -107,49 +109,45 @@ def _days_left(inv, sold):
 
 
 def top_sellers(df: DataFrame, n: int = 10, category: str | None = None,
-                store: str | None = None) -> DataFrame:
-    """The ``n`` snapshot rows with the highest sales (ties: file order)."""
-    snap = latest_snapshot(df, category, store).where(F.col(S.SOLD).isNotNull())
-    rows = snap.select(*with_order_cols(S.PRODUCT, S.CATEGORY, S.SOLD, S.INV, S.STORE))
-    keys = [F.col(S.SOLD).desc(), *order_keys()]
+                store: str | None = None, order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
+    """The ``n`` snapshot rows with the highest sales (ties: file order; missing sales last)."""
+    snap = latest_snapshot(df, category, store)
+    rows = snap.select(*with_order_cols(S.PRODUCT, S.CATEGORY, S.SOLD, S.INV, S.STORE, order_cols=order_cols))
+    keys = [F.col(S.SOLD).desc_nulls_last(), *order_keys(order_cols)]
     return top_n(rows, keys, n).select(
         "rank", S.PRODUCT, S.CATEGORY, S.SOLD, S.INV, S.STORE,
         _days_left(F.col(S.INV), F.col(S.SOLD)).alias("days_left"))
 
 
 def highest_stock(df: DataFrame, n: int = 5, category: str | None = None,
-                  store: str | None = None) -> DataFrame:
-    """The ``n`` snapshot rows with the most stock."""
-    snap = latest_snapshot(df, category, store).where(F.col(S.INV).isNotNull())
-    rows = snap.select(*with_order_cols(S.PRODUCT, S.CATEGORY, S.SOLD, S.INV, S.STORE))
-    keys = [F.col(S.INV).desc(), *order_keys()]
+                  store: str | None = None, order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
+    """The ``n`` snapshot rows with the most stock (ties: file order; missing stock last)."""
+    snap = latest_snapshot(df, category, store)
+    rows = snap.select(*with_order_cols(S.PRODUCT, S.CATEGORY, S.SOLD, S.INV, S.STORE, order_cols=order_cols))
+    keys = [F.col(S.INV).desc_nulls_last(), *order_keys(order_cols)]
     return top_n(rows, keys, n).select("rank", S.PRODUCT, S.CATEGORY, S.SOLD, S.INV, S.STORE)
 
 
-def product_labels(df: DataFrame) -> DataFrame:
+def product_labels(df: DataFrame, order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """Each product with the category of its first row."""
-    return (df.where(F.col(S.PRODUCT).isNotNull())
-              .groupBy(S.PRODUCT)
-              .agg(F.min(order_struct(S.CATEGORY)).alias("_f"))
-              .select(S.PRODUCT, F.col("_f").getField(S.CATEGORY).alias(S.CATEGORY)))
+    return end_rows(df, S.PRODUCT, (), (S.CATEGORY,), order_cols=order_cols)
 
 
-def product_detail(df: DataFrame, category: str | None = None,
-                   store: str | None = None) -> DataFrame:
+def product_detail(df: DataFrame, category: str | None = None, store: str | None = None,
+                   order_cols: Sequence[str] = S.ORDER_COLS, with_category: bool = False) -> DataFrame:
     """P10: first snapshot row of every product in scope.
 
-    ``min`` of a struct led by the file-order keys picks the first row in a
-    partial aggregation, with no sort or window over the group.
+    ``with_category`` adds the category of that row, the product's label
+    within the filtered snapshot.
     """
-    snap = latest_snapshot(df, category, store).where(F.col(S.PRODUCT).isNotNull())
-    first = (snap.groupBy(S.PRODUCT)
-                 .agg(F.min(order_struct(S.INV, S.PRICE, S.STORE)).alias("_f"))
-                 .select(S.PRODUCT, "_f.*"))
+    snap = latest_snapshot(df, category, store)
+    texts = (S.STORE, S.CATEGORY) if with_category else (S.STORE,)
+    first = end_rows(snap, S.PRODUCT, (S.INV, S.SOLD, S.PRICE), texts, order_cols=order_cols)
     inv, sold = F.col(S.INV), F.col(S.SOLD)
     return first.select(
         S.PRODUCT, S.INV, S.SOLD,
         trunc_to_long(_days_left(inv, sold)).alias("days_left"),
-        S.PRICE, (inv * F.col(S.PRICE)).alias("stock_value"), S.STORE)
+        S.PRICE, (inv * F.col(S.PRICE)).alias("stock_value"), *texts)
 
 
 def product_history_counts(df: DataFrame, category: str | None = None,
@@ -161,7 +159,8 @@ def product_history_counts(df: DataFrame, category: str | None = None,
 
 
 def cover_verdict(df: DataFrame, category: str | None = None, store: str | None = None,
-                  plenty_days: int = 14, good_days: int = 7) -> DataFrame:
+                  plenty_days: int = 14, good_days: int = 7,
+                  order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """Stock-cover verdict for products shown with history.
 
     Whole units as the dashboard uses them: ``stock > 14*sales`` plenty,
@@ -169,7 +168,8 @@ def cover_verdict(df: DataFrame, category: str | None = None, store: str | None
     NULL meaning infinite.  The product detail and the history gate are
     both keyed by product, so the join reuses their partitioning.
     """
-    detail = product_detail(df, category, store)
+    detail = end_rows(latest_snapshot(df, category, store), S.PRODUCT, (S.INV, S.SOLD),
+                      order_cols=order_cols)
     gate = product_history_counts(df, category, store)
     stock = trunc_to_long(F.col(S.INV))
     sales = trunc_to_long(F.col(S.SOLD))

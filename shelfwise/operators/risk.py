@@ -7,6 +7,9 @@ every product in one ``transform`` pass.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -14,30 +17,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import schema as S
-from shelfwise.functions.exprs import order_struct, trunc_to_long
-from shelfwise.functions.layout import spread
+from shelfwise.functions.exprs import round_half_even, trunc_to_long
 from shelfwise.operators import metrics as M
+from shelfwise.operators.common import end_rows
 from shelfwise.session import ensure_checkpoint_dir
 
 FEATURES = (S.INV, S.SOLD, S.PRICE, S.DELIVERY)
 SCORE = "risk_score"
-CURRENT_COLUMNS = (S.CATEGORY, S.STORE, S.INV, S.SOLD, S.PRICE, S.DELIVERY, S.FORECAST, M.DAYS)
+CURRENT_NUMBERS = (S.OBS_DATE, S.INV, S.SOLD, S.PRICE, S.DELIVERY, S.FORECAST, M.DAYS)
+CURRENT_TEXTS = (S.CATEGORY, S.STORE)
+#: Bound of the labelled rows the forest is fitted on, and their partitions.  The rows
+#: are chosen, dealt and sorted by a hash of their values, so neither the input's
+#: layout nor the number of cores changes the model.
+MAX_TRAIN_ROWS = 600_000
+TRAIN_PARTITIONS = 16
 
 
-def risk_pipeline(trees: int = 100, seed: int = 42, max_depth: int = 10,
-                  max_bins: int = 32) -> Pipeline:
+def risk_pipeline(trees: int = 100, seed: int = 42, max_depth: int = 12,
+                  max_bins: int = 64) -> Pipeline:
     """F1-F3 as an unfitted pipeline.
 
-    Rows with a missing feature are skipped (the assembler's ``skip``).
-    Every feature is considered at every split, as in the dashboard's
+    The caller leaves out or fills rows with a missing feature.  The dashboard's
+    trees grow without a limit; Spark's stop at depth 30 at most, and each level
+    is a pass over the rows, so depth and bins are parameters.  Every feature is considered at every split, as in the dashboard's
     regressor.  Each row's current node in every tree is cached, so a level's
     pass does not re-walk every tree from the root (about 1.6-2x faster at
     sf0.1 on 8 cores).  That cache's lineage grows by one step per level, so
     it is checkpointed to the shared checkpoint folder every 10 iterations;
     a lost executor recomputes from the last checkpoint, not from the start.
     """
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features_raw",
-                                handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features_raw")
     scaler = StandardScaler(inputCol="_features_raw", outputCol="_features",
                             withMean=True, withStd=True)
     forest = RandomForestRegressor(featuresCol="_features", labelCol=M.RISK, predictionCol=SCORE,
@@ -47,73 +56,123 @@ def risk_pipeline(trees: int = 100, seed: int = 42, max_depth: int = 10,
     return Pipeline(stages=[assembler, scaler, forest])
 
 
-_MODELS: dict[tuple, PipelineModel] = {}
+_MODELS: list[tuple] = []
+_KEPT_MODELS = 4
 
 
-def fit_risk_model(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = 10,
-                   sample_fraction: float | None = None, reuse: bool = True) -> PipelineModel:
-    """Fit the risk model on all enriched rows (label = M2).
+def training_rows(df: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
+                  partitions: int = TRAIN_PARTITIONS, seed: int = 42) -> DataFrame:
+    """the complete labelled rows, at most about ``max_rows`` of them.
 
-    Like the dashboard, a model is trained once per session: a second call
-    with the same training plan (compared by semantic hash) and parameters
-    returns the fitted model.  ``sample_fraction`` optionally fits on a
-    seeded Bernoulli sample for very large tables; the default fits on every
-    row, as the dashboard does.
+    The share that is kept follows from one count; a row is in it by a hash of
+    its key, and its partition and place in it by the same hash.
+    """
+    rows = df.select(S.PRODUCT, S.OBS_DATE, S.STORE, S.ROW_SEQ, *FEATURES, F.col(M.RISK).cast("double").alias(M.RISK)) \
+        .dropna(subset=[*FEATURES, M.RISK])
+    place = F.xxhash64(F.lit(seed), S.PRODUCT, S.OBS_DATE, S.STORE, F.col(S.ROW_SEQ).cast("decimal(38,0)"))
+    rows = rows.select(*FEATURES, M.RISK, place.alias("_place"))
+    n = rows.count()
+    if n > max_rows:
+        rows = rows.where(F.pmod("_place", F.lit(1 << 40)) < int(max_rows / n * (1 << 40)))
+    # pmod of the place, not a hash partitioner, so that equal counts of partitions mean equal contents
+    part = F.pmod(F.shiftright("_place", 20), F.lit(partitions)).cast("int")
+    return rows.withColumn("_part", part).repartitionById(partitions, "_part") \
+        .sortWithinPartitions("_place", *FEATURES, M.RISK).select(*FEATURES, M.RISK)
+
+
+def fit_risk_model(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = 12,
+                   max_train_rows: int = MAX_TRAIN_ROWS, reuse: bool = True) -> PipelineModel:
+    """Fit the risk model on enriched rows (label = M2), at most ``max_train_rows``.
+
+    Like the dashboard, a model is trained once per session: a call with the
+    same table (``sameSemantics``) and parameters returns the fitted model; the
+    last few are kept.  The training rows are held in memory or on disk while
+    the forest's passes read them, and released after.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    train = df.select(*FEATURES, F.col(M.RISK).cast("double").alias(M.RISK))
-    if sample_fraction is not None and sample_fraction < 1.0:
-        train = train.sample(fraction=sample_fraction, seed=seed)
     app = df.sparkSession.sparkContext.applicationId  # unique per running context
-    key = (app, train.semanticHash(), trees, seed, max_depth, sample_fraction)
-    if reuse and key in _MODELS:
-        return _MODELS[key]
-    model = risk_pipeline(trees, seed, max_depth).fit(spread(train))
-    _MODELS[key] = model
+    asked = (app, trees, seed, max_depth, max_train_rows)
+    for known, table, model in _MODELS:
+        if reuse and known == asked and table.sameSemantics(df):
+            return model
+    train = training_rows(df, max_train_rows, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = risk_pipeline(trees, seed, max_depth).fit(train)
+    finally:
+        train.unpersist()
+    _MODELS[:] = [*[m for m in _MODELS if m[0][0] == app], (asked, df, model)][-_KEPT_MODELS:]
     return model
 
 
-def current_product_rows(df: DataFrame, which: str = "last") -> DataFrame:
+def feature_scaling(df: DataFrame) -> DataFrame:
+    """mean and population deviation of each feature over the complete rows, and their number."""
+    rows = df.select(*FEATURES).dropna()
+    one = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in FEATURES
+                                                   for k, f in (("mean", F.avg), ("dev", F.stddev_pop))])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), round_half_even(F.col(f"mean_{c}"), 6).alias("mean"),
+                 round_half_even(F.col(f"dev_{c}"), 6).alias("deviation"), F.col("n").alias("row_count"))
+        for c in FEATURES])))
+
+
+def current_product_rows(df: DataFrame, which: str = "last", columns: Sequence[str] | None = None,
+                         order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """the last (or first) row of every product in file order, all stores.
 
-    ``max``/``min`` of a struct led by the file-order keys: partial
-    aggregation, no window and no sort of a product's history.
+    ``columns`` narrows the result, and with it the scan.
     """
-    pick = F.max if which == "last" else F.min
-    return (df.where(F.col(S.PRODUCT).isNotNull())
-              .groupBy(S.PRODUCT)
-              .agg(pick(order_struct(*CURRENT_COLUMNS)).alias("_r"))
-              .select(S.PRODUCT, *[F.col("_r").getField(c).alias(c)
-                                   for c in (S.OBS_DATE, *CURRENT_COLUMNS)]))
+    wanted = columns or (*CURRENT_NUMBERS, *CURRENT_TEXTS)
+    return end_rows(df, S.PRODUCT, [c for c in wanted if c not in CURRENT_TEXTS],
+                    [c for c in wanted if c in CURRENT_TEXTS], which, order_cols)
 
 
 def with_risk_level(df: DataFrame, high: float = 0.7, medium: float = 0.3) -> DataFrame:
-    """> 0.7 High, > 0.3 Medium, else Low."""
+    """> 0.7 High, > 0.3 Medium, else Low; none without a score."""
     s = F.col(SCORE)
     return df.withColumn("risk_level", F.when(s > high, F.lit("High"))
-                         .when(s > medium, F.lit("Medium")).otherwise(F.lit("Low")))
+                         .when(s > medium, F.lit("Medium")).when(s.isNotNull(), F.lit("Low")))
 
 
 def score_risk(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """predicted risk in [0, 1] and its level for each row."""
-    scored = model.transform(rows).drop("_features_raw", "_features")
-    return with_risk_level(scored)
+    """predicted risk in [0, 1] and its level for each row.
 
-
-def risk_scores(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = 10) -> DataFrame:
+    A row that lacks a feature stays, with no score and no level.
+    """
+    whole = F.lit(True)
+    for c in FEATURES:
+        whole = whole & F.col(c).isNotNull()
+    filled = rows.withColumns({"_whole": whole, **{f"_own_{c}": F.col(c) for c in FEATURES},
+                               **{c: F.coalesce(c, F.lit(0.0)) for c in FEATURES}})
+    scored = model.transform(filled).withColumns({
+        **{c: F.col(f"_own_{c}") for c in FEATURES}, SCORE: F.when(F.col("_whole"), F.col(SCORE))})
+    return with_risk_level(scored).drop("_features_raw", "_features", "_whole", *[f"_own_{c}" for c in FEATURES])
+
+
+def risk_scores(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = 12,
+                max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """F1-F6 end to end: fit on the table, score every product's current row."""
-    model = fit_risk_model(df, trees, seed, max_depth)
-    scored = score_risk(model, current_product_rows(df))
-    return scored.select(S.PRODUCT, S.OBS_DATE, *FEATURES, SCORE, "risk_level")
+    model = fit_risk_model(df, trees, seed, max_depth, max_train_rows)
+    return score_risk(model, current_product_rows(df, columns=(S.OBS_DATE, *FEATURES))).select(
+        S.PRODUCT, S.OBS_DATE, *FEATURES, SCORE, "risk_level")
+
+
+def risk_inputs(df: DataFrame) -> DataFrame:
+    """F5 without the fitted score: the rows it scores, and whether it can."""
+    rows = current_product_rows(df, columns=(S.OBS_DATE, *FEATURES))
+    whole = F.lit(True)
+    for c in FEATURES:
+        whole = whole & F.col(c).isNotNull()
+    return rows.select(S.PRODUCT, S.OBS_DATE, *FEATURES, whole.alias("scored"))
 
 
-def order_recommendation(df: DataFrame, window_days: int = 7, reorder_days: int = 14) -> DataFrame:
+def order_recommendation(df: DataFrame, window_days: int = 7, reorder_days: int = 14,
+                         order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """Order quantity, timing and reorder delta for every product.
 
     ``qty = int(max(0, forecast - stock))`` (missing gives 0); timing and
     expected delivery only when ``qty > 0``; delta ``days - 14`` below 14.
     """
-    cur = current_product_rows(df)
+    cur = current_product_rows(df, columns=(S.INV, S.SOLD, S.FORECAST, S.DELIVERY, M.DAYS), order_cols=order_cols)
     qty = trunc_to_long(F.greatest(F.lit(0.0), F.col(S.FORECAST) - F.col(S.INV)))
     days = trunc_to_long(F.col(M.DAYS))
     out = cur.select(S.PRODUCT, S.INV, S.SOLD, S.FORECAST, S.DELIVERY,
@@ -126,14 +185,14 @@ def order_recommendation(df: DataFrame, window_days: int = 7, reorder_days: int
         F.when(d < reorder_days, d - F.lit(reorder_days)).alias("reorder_delta"))
 
 
-def supply_scenarios(df: DataFrame) -> DataFrame:
+def supply_scenarios(df: DataFrame, order_cols: Sequence[str] = S.ORDER_COLS) -> DataFrame:
     """stock now vs 1-week, 2-week and 1-month supply, long form.
 
     Daily sales are ``int(sales)``, or 1 when sales are not positive.  The
     verdict compares stock with the three supplies (>= month Excellent,
     >= 2 weeks Good, >= 1 week Watch Out, else Order Now).
     """
-    cur = current_product_rows(df)
+    cur = current_product_rows(df, columns=(S.INV, S.SOLD), order_cols=order_cols)
     sold = F.col(S.SOLD)
     daily = F.when(sold > 0, trunc_to_long(sold)).otherwise(F.lit(1).cast("bigint"))
     wide = cur.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions import dims
-from shelfwise.functions.exprs import next_season, round_half_even
+from shelfwise.functions.exprs import MONEY, next_season, round_half_even
 from shelfwise.operators import metrics as M
 from shelfwise.operators.common import DEFAULT_AS_OF, as_of_season
 
@@ -40,7 +40,7 @@ def seasonal_exposure(df: DataFrame, as_of: str = DEFAULT_AS_OF,
     ratio = F.when(sold > 0, F.try_divide(inv, sold))
     per_cat = (df.where(F.col(S.CATEGORY).isNotNull()).groupBy(S.CATEGORY).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.sum(F.col(M.VALUE).cast("decimal(18,2)")).alias("_value"),
+        F.sum(F.col(M.VALUE).cast(MONEY)).alias("_value"),
         F.sum(inv).alias("_units"),
         F.count_if(sold > 0).alias("_sellers"),
         F.sum(ratio).alias("_ratio_sum"),

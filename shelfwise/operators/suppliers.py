@@ -42,6 +42,8 @@ def vendor_scores(df: DataFrame, weights: Sequence[float] = (0.4, 0.3, 0.3),
     [0, 100] it has at most 1001 values.
     """
     w_del, w_vol, w_rel = (float(w) for w in weights)
+    if min(w_del, w_vol, w_rel) < 0 or w_del + w_vol + w_rel > 1 + 1e-9:
+        raise ValueError("weights must not be negative and must sum to 1 at most")
     m = shared(vendor_metrics(df)).withColumn(
         "_speed", F.lit(1.0) / null_safe_clip("avg_delivery_days", lower=min_delivery_days))
     max_speed = m.select(F.max("_speed")).scalar()

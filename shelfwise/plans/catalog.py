@@ -1,16 +1,18 @@
 """The query catalog: one named report plan per operator group.
 
 ``REPORTS`` maps a name to an operator over the enriched inventory table;
-``QUERIES`` wraps each one as ``(spark, sf_dir) -> DataFrame`` that first
-derives and enriches the inventory table from the star-schema tables under
-``sf_dir``.  Both return lazy DataFrames.
+``QUERIES`` wraps each one as ``(spark, sf_dir) -> DataFrame`` over the
+inventory table that is derived from the star-schema tables under ``sf_dir``,
+enriched and stored once per session.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as sf
 
 from shelfwise import schema as S
 from shelfwise.operators import metrics as M
@@ -20,21 +22,43 @@ from shelfwise.operators import products as P
 from shelfwise.operators import risk as F
 from shelfwise.operators import seasonal as W
 from shelfwise.operators import suppliers as V
+from shelfwise.session import scratch_path
+from shelfwise.sources.inventory import load_enriched, normalise_missing, save_enriched
 from shelfwise.sources.star import star_schema_inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched inventory table, derived from the star-schema tables."""
     return M.enrich(star_schema_inventory(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched table, written once per session and folder under the shared checkpoint folder.
+
+    Clustered by date, so that the latest snapshot is found by the files' statistics.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, f"enriched-{uuid.uuid4().hex}")
+        save_enriched(enriched(spark, sf_dir), path, files=0)
+        _STORED[key] = path
+    return load_enriched(spark, _STORED[key])
+
+
 Report = Callable[[DataFrame], DataFrame]
 
 
 SEASONAL_ROW_COLUMNS = (S.OBS_DATE, S.STORE, S.PRODUCT, S.CATEGORY, S.INV, S.SOLD, S.PRICE,
                         M.VALUE)
 
+# The pick that the scoped reports are registered with.
+SCOPE = ("Toys", "EUROPE")
+
 REPORTS: dict[str, Report] = {
     # enrichment (the enriched table itself; the row sequence shown as text)
     "m_enrich": lambda df: df.withColumn(S.ROW_SEQ, df[S.ROW_SEQ].cast("string")),
@@ -48,8 +72,12 @@ REPORTS: dict[str, Report] = {
     "h10_category_stock": H.category_stock,
     "h11_category_leaders": H.category_leaders,
     "h13_category_share": H.category_share,
+    "h14_value_share": lambda df: H.category_share(df, by="value"),
     # products
     "p1_latest_snapshot": lambda df: P.latest_snapshot(df).select(*P.SNAPSHOT_COLUMNS),
+    "p2_scoped_history": lambda df: P.product_history_counts(df, *SCOPE),
+    "p2_scoped_kpis": lambda df: P.snapshot_kpis(df, category=SCOPE[0]),
+    "p2_scoped_top_sellers": lambda df: P.top_sellers(df, 10, store=SCOPE[1]),
     "p3_filter_options": P.filter_options,
     "p4_snapshot_kpis": P.snapshot_kpis,
     "p5_snapshot_category_stock": P.snapshot_category_stock,
@@ -78,7 +106,9 @@ REPORTS: dict[str, Report] = {
     "w3_seasonal_exposure": W.seasonal_exposure,
     "w5_category_outlook": W.category_outlook,
     # risk model and order advice
+    "f2_feature_scaling": F.feature_scaling,
     "f4_current_product_rows": F.current_product_rows,
+    "f5_risk_inputs": F.risk_inputs,
     "f5_risk_scores": F.risk_scores,
     "f7_order_recommendation": F.order_recommendation,
     "f10_supply_scenarios": F.supply_scenarios,
@@ -87,12 +117,27 @@ REPORTS: dict[str, Report] = {
 
 def _query(op: Report) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(enriched(spark, sf_dir))
+        return op(stored(spark, sf_dir))
     run.__doc__ = op.__doc__
     return run
 
 
 QUERIES: dict[str, Query] = {name: _query(op) for name, op in REPORTS.items()}
 
+def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 over the given line items: quantities of 13 marked NaN, flags of R marked missing, then normalised."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    marked = li.withColumns({
+        "l_quantity": sf.when(sf.col("l_quantity") == 13, sf.lit(float("nan"))).otherwise(sf.col("l_quantity").cast("double")),
+        "l_returnflag": sf.when(sf.col("l_returnflag") == "R", sf.lit("NA")).when(
+            sf.col("l_returnflag") == "A", sf.lit(" NA ")).otherwise(sf.col("l_returnflag"))})
+    done = normalise_missing(marked, text=True)
+    return done.groupBy("l_returnflag").agg(
+        sf.count("*").alias("row_count"), sf.count("l_quantity").alias("with_quantity"),
+        sf.sum("l_quantity").alias("quantity"))
+
+
+QUERIES["s5_missing_values"] = missing_values
+
 # Reports whose result has no SQL oracle (a fitted model).
 MODEL_REPORTS = ("f5_risk_scores",)

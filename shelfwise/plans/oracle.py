@@ -4,7 +4,7 @@ Each query is written independently of the Spark code: the inventory view
 (``inv``) and the enriched view (``enr``) are common table expressions over
 the driver's star-schema tables, and the report logic is plain SQL.
 Conventions shared with the Spark side (so values compare bit for bit):
-money is summed as DECIMAL(18,2) and returned as DOUBLE; counts are BIGINT;
+money is summed as DECIMAL(28,6) and returned as DOUBLE; counts are BIGINT;
 non-exact ratios are rounded half-even to 6 places as ``rint(x*1e6)/1e6``;
 Python ``int()`` is ``trunc`` (a DuckDB cast would round).
 """
@@ -106,14 +106,14 @@ def round6(expr: str) -> str:
 
 
 def money(expr: str) -> str:
-    return f"CAST(SUM(CAST({expr} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({expr} AS DECIMAL(28,6))) AS DOUBLE)"
 
 
 def int_of(expr: str) -> str:
     return f"CAST(trunc({expr}) AS BIGINT)"
 
 
-ORDER = "obs_date, row_seq, units_sold"
+ORDER = "obs_date NULLS LAST, row_seq NULLS LAST"
 AS_OF_SEASON = "'Summer'"  # season of the default as-of date 2025-08-07
 
 
@@ -192,7 +192,7 @@ FROM impacts""", IMPACTS_CTE)
 CATEGORY_CTE = """
 ct AS (
  SELECT category, COALESCE(SUM(inventory_level), CAST(0 AS DOUBLE)) AS total_units,
-  COALESCE(SUM(CAST(total_value AS DECIMAL(18,2))), 0) AS value_dec,
+  COALESCE(SUM(CAST(total_value AS DECIMAL(28,6))), 0) AS value_dec,
   CAST(count(DISTINCT product_id) AS BIGINT) AS product_count
  FROM enr WHERE category IS NOT NULL GROUP BY category)
 """
@@ -215,8 +215,11 @@ SQL["h13_category_share"] = _with(f"""
 SELECT category, total_units, CAST(value_dec AS DOUBLE) AS total_value,
  {round6('total_units / (SELECT SUM(total_units) FROM ct) * CAST(100 AS DOUBLE)')} AS unit_share_pct,
  {round6('CAST(value_dec AS DOUBLE) / (SELECT CAST(SUM(value_dec) AS DOUBLE) FROM ct) * CAST(100 AS DOUBLE)')}
-  AS value_share_pct
+  AS value_share_pct,
+ row_number() OVER (ORDER BY total_units DESC, category) AS unit_rank,
+ row_number() OVER (ORDER BY value_dec DESC, category) AS value_rank
 FROM ct""", CATEGORY_CTE)
+SQL["h14_value_share"] = SQL["h13_category_share"] + " ORDER BY value_rank"
 
 # ---------------------------------------------------------------------------
 # Products
@@ -257,15 +260,15 @@ SELECT category, COALESCE(SUM(inventory_level), CAST(0 AS DOUBLE)) AS total_stoc
 FROM snap WHERE category IS NOT NULL GROUP BY category""", SNAP_CTE)
 
 SQL["p6_top_sellers"] = _with(f"""
-SELECT CAST(row_number() OVER (ORDER BY units_sold DESC, {ORDER}) AS INTEGER) AS rank,
+SELECT CAST(row_number() OVER (ORDER BY units_sold DESC NULLS LAST, {ORDER}) AS INTEGER) AS rank,
  product_id, category, units_sold, inventory_level, store_id,
  CASE WHEN units_sold > 0 THEN inventory_level / units_sold END AS days_left
-FROM snap WHERE units_sold IS NOT NULL ORDER BY rank LIMIT 10""", SNAP_CTE)
+FROM snap ORDER BY rank LIMIT 10""", SNAP_CTE)
 
 SQL["p8_highest_stock"] = _with(f"""
-SELECT CAST(row_number() OVER (ORDER BY inventory_level DESC, {ORDER}) AS INTEGER) AS rank,
+SELECT CAST(row_number() OVER (ORDER BY inventory_level DESC NULLS LAST, {ORDER}) AS INTEGER) AS rank,
  product_id, category, units_sold, inventory_level, store_id
-FROM snap WHERE inventory_level IS NOT NULL ORDER BY rank LIMIT 5""", SNAP_CTE)
+FROM snap ORDER BY rank LIMIT 5""", SNAP_CTE)
 
 SQL["p9_product_labels"] = _with("""
 SELECT product_id,
@@ -430,9 +433,9 @@ SQL["l9_order_budget"] = _with("""
 SELECT CAST(t AS DOUBLE) AS today_budget, CAST(w AS DOUBLE) AS week_budget, CAST(t + w AS DOUBLE) AS total_budget
 FROM (SELECT
   COALESCE(SUM(CASE WHEN urgency = 'Order Today!'
-    THEN CAST((units_sold * CAST(30 AS DOUBLE)) * price AS DECIMAL(18,2)) END), 0) AS t,
+    THEN CAST((units_sold * CAST(30 AS DOUBLE)) * price AS DECIMAL(28,6)) END), 0) AS t,
   COALESCE(SUM(CASE WHEN urgency = 'Order This Week'
-    THEN CAST((units_sold * CAST(30 AS DOUBLE)) * price AS DECIMAL(18,2)) END), 0) AS w
+    THEN CAST((units_sold * CAST(30 AS DOUBLE)) * price AS DECIMAL(28,6)) END), 0) AS w
  FROM items)""", ITEMS_CTE)
 
 SQL["l10_product_order_status"] = _with("SELECT * FROM pos", ITEMS_CTE)
@@ -473,7 +476,7 @@ sc AS (SELECT * FROM (VALUES {_values(_SC_ROWS)}) AS t(season, category)),
 prof AS (SELECT * FROM (VALUES {_values(_PROFILE_ROWS)}) AS t(season, season_order, demand_change_pct,
   hot_items, hot_item_count, season_label, stock_up_in, planning_hot_items, tip)),
 sagg AS (
- SELECT sc.season, count(*) AS n_rows, SUM(CAST(total_value AS DECIMAL(18,2))) AS v,
+ SELECT sc.season, count(*) AS n_rows, SUM(CAST(total_value AS DECIMAL(28,6))) AS v,
   SUM(inventory_level) AS u, count_if(units_sold > 0) AS sellers,
   SUM(CASE WHEN units_sold > 0 THEN inventory_level / units_sold END) AS rs,
   count(CASE WHEN units_sold > 0 THEN inventory_level / units_sold END) AS rn
@@ -567,3 +570,32 @@ sw AS (
    ELSE 'Order Now' END AS verdict
  FROM sw0)
 """)
+
+_FEATURES = ("inventory_level", "units_sold", "price", "vendor_avg_delivery_days")
+_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in _FEATURES)
+
+SQL["f2_feature_scaling"] = _with(" UNION ALL ".join(f"""
+SELECT '{c}' AS feature, {round6(f'avg({c})')} AS mean, {round6(f'stddev_pop({c})')} AS deviation,
+ CAST(count(*) AS BIGINT) AS row_count FROM enr WHERE {_WHOLE}""" for c in _FEATURES))
+
+SQL["f5_risk_inputs"] = _with(
+    f"SELECT product_id, obs_date, {', '.join(_FEATURES)}, {_WHOLE} AS scored FROM cur", CURRENT_CTE)
+
+# ---------------------------------------------------------------------------
+# Scope (P2) and missing values
+# ---------------------------------------------------------------------------
+
+SQL["p2_scoped_history"] = _with("""
+SELECT product_id, CAST(count(*) AS BIGINT) AS history_rows FROM enr
+WHERE category = 'Toys' AND store_id = 'EUROPE' AND product_id IS NOT NULL
+GROUP BY product_id HAVING count(*) >= 2""")
+
+SQL["p2_scoped_kpis"] = SQL["p4_snapshot_kpis"].replace("FROM snap", "FROM snap WHERE category = 'Toys'")
+
+SQL["p2_scoped_top_sellers"] = SQL["p6_top_sellers"].replace("FROM snap", "FROM snap WHERE store_id = 'EUROPE'")
+
+SQL["s5_missing_values"] = """
+SELECT CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN ' NA ' ELSE l_returnflag END AS l_returnflag,
+ CAST(count(*) AS BIGINT) AS row_count, CAST(count(CASE WHEN l_quantity <> 13 THEN 1 END) AS BIGINT) AS with_quantity,
+ SUM(CASE WHEN l_quantity <> 13 THEN CAST(l_quantity AS DOUBLE) END) AS quantity
+FROM lineitem GROUP BY 1"""

@@ -56,10 +56,11 @@ REQUIRED = tuple(f.name for f in INVENTORY_SCHEMA.fields)
 
 # "File order" of the observations.  A distributed read has none, so every
 # first/last/top-N breaks ties on these keys: date-major, then the row
-# sequence assigned at ingest, then units sold for duplicated sequences.
+# sequence assigned at ingest, which is unique within a date.  A missing date or
+# sequence comes last.  Operators take other columns as ``order_cols``.
 # ``row_seq`` may be any orderable numeric type: BIGINT from
 # ``read_inventory``, DECIMAL(38,0) from the star-schema adapter.
-ORDER_COLS = (OBS_DATE, ROW_SEQ, SOLD)
+ORDER_COLS = (OBS_DATE, ROW_SEQ)
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)

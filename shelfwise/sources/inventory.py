@@ -16,19 +16,21 @@ NA_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
             "nan", "null")
 
 
-def normalise_missing(df: DataFrame) -> DataFrame:
-    """Missing-value text -> NULL on strings, NaN -> NULL on doubles.
+def normalise_missing(df: DataFrame, text: bool = False) -> DataFrame:
+    """NaN -> NULL on doubles and, with ``text`` (CSV), missing-value text -> NULL.
 
     Spark (and SQL) order NaN above every number, while a NaN comparison is
     false in the dashboard; turning NaN into NULL at ingest makes every later
-    comparison and aggregate skip it the same way.
+    comparison and aggregate skip it the same way.  Text is compared as it
+    stands, blanks included, and only where it comes from CSV: a typed table
+    says itself what is missing, so a vendor named ``NA`` stays there.
     """
     exprs = []
     for f in df.schema.fields:
         c = F.col(f.name)
         t = f.dataType.typeName()
-        if t == "string":
-            c = F.when(~F.trim(c).isin(*NA_TEXTS), c)
+        if t == "string" and text:
+            c = F.when(~c.isin(*NA_TEXTS), c)
         elif t in ("double", "float"):
             c = F.nanvl(c, F.lit(None).cast(t))
         exprs.append(c.alias(f.name))
@@ -40,11 +42,26 @@ def _rename_headers(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
-def _typed(df: DataFrame, strict: bool) -> DataFrame:
-    """Cast text columns to the inventory types.
+def _date(c: str, date_format: str | None, strict: bool):
+    """A date from ISO text or month/day/year, or only from ``date_format``."""
+    formats = (date_format,) if date_format else ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy")
+    found = [F.try_to_timestamp(F.col(c), F.lit(f)).cast("date") for f in formats]
+    if not date_format:
+        found.insert(0, F.expr(f"try_cast(`{c}` AS date)"))
+    parsed = F.coalesce(*found)
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("not a date: "), F.col(c))).cast("date")
+        parsed = F.when(F.col(c).isNotNull() & parsed.isNull(), bad).otherwise(parsed)
+    return parsed
 
-    ``strict``: ANSI casts, so one malformed number or date fails the whole
-    load (S2/S3).  Otherwise ``try_cast`` leaves NULL.
+
+def _typed(df: DataFrame, strict: bool, date_format: str | None = None) -> DataFrame:
+    """Cast text columns to the inventory types; other columns are dropped.
+
+    A row number made at the read is no text and stays as it is.
+
+    ``strict``: one malformed number or date fails the whole load (S2/S3).
+    Otherwise it becomes NULL.
     """
     def cast(c: str, t: str):
         return F.col(c).cast(t) if strict else F.expr(f"try_cast(`{c}` AS {t})")
@@ -54,37 +71,78 @@ def _typed(df: DataFrame, strict: bool) -> DataFrame:
         if f.name not in df.columns:
             continue
         if f.name == S.OBS_DATE:
-            exprs.append(cast(f.name, "date").alias(f.name))
+            exprs.append(_date(f.name, date_format, strict).alias(f.name))
         elif f.name in S.MEASURES:
             exprs.append(cast(f.name, "double").alias(f.name))
         elif f.name == S.ROW_SEQ:
-            exprs.append(cast(f.name, "bigint").alias(f.name))
+            made = df.schema[f.name].dataType.typeName() != "string"
+            exprs.append(F.col(f.name) if made else cast(f.name, "bigint").alias(f.name))
         else:
             exprs.append(F.col(f.name).cast("string").alias(f.name))
     return df.select(*exprs)
 
 
+# Places of (file number, offset of the split in the file, row in the task) in row_seq:
+# tasks of up to 10^10 rows, files of up to 10^12 bytes, 10^7 files.
+_FILE_PLACE, _SPLIT_PLACE = 10 ** 22, 10 ** 10
+
+
+def _in_file_order(df: DataFrame, files: Sequence[str], number_from: int = 0) -> DataFrame:
+    """Adds ``row_seq``: files in the order given, then the rows' order in each file.
+
+    A task may read its splits in any order, but it reads each from start to
+    end, so the split's offset in its file and the running number of the row
+    place a row.  The number of a file comes from a join with the listing.
+    """
+    rows = df.select("*", F.input_file_name().alias("_file"),
+                     F.col("_metadata.file_block_start").cast("decimal(38,0)").alias("_at"),
+                     F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    numbers = df.sparkSession.createDataFrame(
+        list(enumerate(files, number_from)), "_number long, _file string")
+    known = F.coalesce("_number", F.raise_error(F.concat(F.lit("not in the listing: "), F.col("_file"))).cast("long"))
+    seq = (known.cast("decimal(38,0)") * F.expr(f"CAST('{_FILE_PLACE}' AS DECIMAL(38,0))")
+           + F.col("_at") * F.expr(f"CAST('{_SPLIT_PLACE}' AS DECIMAL(38,0))") + F.col("_row"))
+    return rows.join(numbers, "_file", "left").withColumn(S.ROW_SEQ, seq.cast("decimal(38,0)")) \
+        .drop("_file", "_at", "_row", "_number")
+
+
+def _read_csv(spark: SparkSession, path: str, number_from: int) -> tuple[DataFrame, int]:
+    """The rows of one path as text, numbered if they bring no numbers, and the files counted so far."""
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("enforceSchema", False).option("mode", "FAILFAST").csv(path))
+    if S.ROW_SEQ in raw.columns:
+        return raw, number_from
+    files = sorted(raw.inputFiles())
+    return _in_file_order(raw, files, number_from), number_from + len(files)
+
+
 def read_inventory(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
-                   strict: bool = True) -> DataFrame:
+                   strict: bool = True, date_format: str | None = None) -> DataFrame:
     """Read an inventory table; returns the typed, validated DataFrame.
 
     CSV is read with every column as text (no schema inference pass over the
-    data), missing-value text is normalised, then columns are cast.  Parquet
-    is read with its own types.  A ``row_seq`` column in the file is kept as
-    the file order; without one, the read order (partition id, then
-    position in the split) stands in for it.  Other extra columns are
-    dropped.
+    data), missing-value text is normalised, then columns are cast.  The files
+    of one path must share one header, or the read fails; several paths may
+    have their columns in different order.  Dates are ISO or month/day/year,
+    or as ``date_format`` (a Spark pattern) says.  Parquet is read with its own
+    types.  A ``row_seq`` column in the file is kept as the file order; without
+    one, rows are numbered by path, file name and place in the file.  Other
+    extra columns are dropped from CSV.
     """
+    paths = [path] if isinstance(path, str) else list(path)
     if fmt == "csv":
-        raw = (spark.read.option("header", True).option("inferSchema", False)
-               .option("mode", "FAILFAST").csv(path))
-        df = _typed(normalise_missing(_rename_headers(raw)), strict)
+        df, files = None, 0
+        for p in paths:
+            raw, files = _read_csv(spark, p, files)
+            part = _typed(normalise_missing(_rename_headers(raw), text=True), strict, date_format)
+            df = part if df is None else df.unionByName(part)
     elif fmt == "parquet":
-        df = normalise_missing(_rename_headers(spark.read.parquet(path)))
+        raw = spark.read.parquet(*paths)
+        if S.ROW_SEQ not in raw.columns:
+            raw = _in_file_order(raw, sorted(raw.inputFiles()))
+        df = normalise_missing(_rename_headers(raw))
     else:
         raise ValueError(f"unsupported inventory format: {fmt}")
-    if S.ROW_SEQ not in df.columns:
-        df = df.withColumn(S.ROW_SEQ, F.monotonically_increasing_id())
     return S.validate_schema(df)
 
 
@@ -92,16 +150,19 @@ def save_enriched(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                   files: int | None = None, mode: str = "overwrite") -> None:
     """Store an (enriched) inventory table as Parquet.
 
-    ``files``: range-cluster the rows by date into that many files (one
-    sampling pass plus one shuffle).  Each file then covers a date range, so
+    ``files``: range-cluster the rows by date into that many files, or as many
+    as adaptive execution finds right if 0 (one sampling pass plus one shuffle).  Each file then covers a date range, so
     Parquet min/max statistics let date filters such as the latest snapshot
     skip whole files, and later scans get one split per file.  Without it the
     input partitioning is kept and no shuffle is added.  For a table of many
     days, ``partition_by=("obs_date",)`` adds directory pruning instead.
     Rows are sorted by date and file order inside each file.
     """
-    if files:
-        df = df.repartitionByRange(int(files), F.col(S.OBS_DATE), F.col(S.ROW_SEQ))
+    if files is not None:
+        keys = [F.col(S.OBS_DATE), F.col(S.ROW_SEQ)]
+        df = df.repartitionByRange(int(files), *keys) if files else df.repartitionByRange(*keys)
+    elif partition_by:  # else each task writes a file for each of its dates
+        df = df.repartition(*partition_by)
     writer = df.sortWithinPartitions(S.OBS_DATE, S.ROW_SEQ).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

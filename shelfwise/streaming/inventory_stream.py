@@ -10,8 +10,6 @@ without re-reading processed files.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,18 +29,23 @@ def enriched_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
     """
     reader = spark.readStream.schema(S.INVENTORY_SCHEMA).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        # a file whose header differs fails the batch instead of being read by position
+        reader = reader.option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return enrich(normalise_missing(reader.load(source_dir)))
+    return enrich(normalise_missing(reader.load(source_dir), text=fmt == "csv"))
 
 
 def start_stock_health(spark: SparkSession, source_dir: str, query_name: str,
                        checkpoint: str | None = None, sink: str = "memory",
                        max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Run H1/H2/H4 continuously; the sink holds the latest complete result."""
+    """Run H1/H2/H4 continuously; the sink holds the latest complete result.
+
+    The checkpoint is found by the query's name, so a restart under the same
+    name goes on where the last run stopped.
+    """
     health = stock_health(enriched_stream(spark, source_dir,
                                           max_files_per_trigger=max_files_per_trigger))
-    checkpoint = checkpoint or scratch_path(spark, f"stream-{query_name}-{uuid.uuid4().hex[:8]}")
+    checkpoint = checkpoint or scratch_path(spark, f"stream-{query_name}")
     return (health.writeStream.outputMode("complete").format(sink).queryName(query_name)
             .option("checkpointLocation", checkpoint).start())

@@ -9,7 +9,7 @@ from conftest import sf_dir
 from shelfwise.operators import overview as H
 from shelfwise.operators import products as P
 from shelfwise.operators import suppliers as V
-from shelfwise.plans.catalog import MODEL_REPORTS, REPORTS, enriched
+from shelfwise.plans.catalog import MODEL_REPORTS, QUERIES, REPORTS, enriched
 from shelfwise.sources.inventory import load_enriched, save_enriched
 
 
@@ -35,23 +35,84 @@ def test_latest_snapshot_filter_reaches_scan(table):
     assert "PushedFilters: [IsNotNull(obs_date), EqualTo(obs_date,ScalarSubquery" in text
 
 
+def nodes(jplan):
+    """Every node of an executed plan, subqueries left out, with its parent's name."""
+    out, todo = [], [(jplan, "")]
+    while todo:
+        node, above = todo.pop()
+        name = node.nodeName()
+        out.append((node, name, above))
+        if name == "AdaptiveSparkPlan":
+            kids = [node.executedPlan()]
+        elif name in ("InMemoryTableScan",):
+            kids = [node.relation().cachedPlan()]
+        else:
+            children = node.children()
+            kids = [children.apply(i) for i in range(children.size())]
+        todo += [(k, name) for k in kids]
+    return out
+
+
+def below(node):
+    return [name for _, name, _ in nodes(node)]
+
+
+FACT_AGGREGATES = ["p9_product_labels", "p10_product_detail", "p12_cover_verdict", "l10_product_order_status",
+                   "l11_coverage_plan", "f4_current_product_rows", "f7_order_recommendation", "f10_supply_scenarios"]
+
+
+@pytest.mark.parametrize("name", FACT_AGGREGATES)
+def test_fact_rows_are_hashed_not_sorted(table, name):
+    """A sort-based aggregation stands only above a hash aggregation of the fact rows."""
+    found = [n for n, kind, _ in nodes(REPORTS[name](table)._jdf.queryExecution().executedPlan()) if kind == "SortAggregate"]
+    assert all("HashAggregate" in below(n) for n in found)
+
+
+@pytest.mark.parametrize("name,columns", [
+    ("p9_product_labels", "obs_date product_id category row_seq"),
+    ("l10_product_order_status", "obs_date product_id inventory_level units_sold price row_seq"),
+    ("f10_supply_scenarios", "obs_date product_id inventory_level units_sold row_seq"),
+    ("f7_order_recommendation", "obs_date product_id inventory_level units_sold demand_forecast "
+                                "vendor_avg_delivery_days row_seq days_to_stockout")])
+def test_scans_read_only_what_is_used(table, name, columns):
+    scans = [n for n, kind, _ in nodes(REPORTS[name](table)._jdf.queryExecution().executedPlan())
+             if kind.startswith("Scan parquet")]
+    assert scans
+    for scan in scans:
+        assert set(scan.requiredSchema().fieldNames()) <= set(columns.split())
+
+
 def test_aggregations_are_partial_before_shuffle(table):
-    for df in (H.category_stock(table), V.vendor_metrics(table)):
-        p = plan(df)
-        assert "partial_" in p, p
-
-
-def test_broadcasts_are_bounded(table):
-    """Every broadcast in the reports is a literal table or a one-row/bounded aggregate."""
-    for name in ("h7_category_weather_impact", "v5_vendor_scores", "w3_seasonal_exposure",
-                 "h13_category_share", "w2_seasonal_items"):
-        df = REPORTS[name](table)
-        jplan = df._jdf.queryExecution().executedPlan()
-        text = jplan.toString()
-        for chunk in text.split("BroadcastExchange")[1:]:
-            head = chunk.split("\n")[1:4]
-            assert not any("FileScan" in line or "Scan parquet" in line for line in head), \
-                (name, head)
+    """Below each shuffle that an aggregation needs stands its partial half."""
+    for df in (H.category_stock(table), V.vendor_metrics(table), P.product_labels(table), H.stock_health(table)):
+        shuffles = [n for n, kind, above in nodes(df._jdf.queryExecution().executedPlan())
+                    if kind == "Exchange" and "Aggregate" in above]
+        assert shuffles
+        for n in shuffles:
+            child = n.children().apply(0)
+            assert "Aggregate" in child.nodeName() and ("partial_" in child.toString().split("\n")[0]
+                                                        or "functions=[]" in child.toString().split("\n")[0])
+
+
+@pytest.mark.parametrize("name", ["h7_category_weather_impact", "v5_vendor_scores", "w3_seasonal_exposure",
+                                  "h13_category_share", "w2_seasonal_items"])
+def test_broadcasts_are_bounded(table, name):
+    """Nothing below a broadcast scans the table unless it is aggregated first."""
+    for n, kind, _ in nodes(REPORTS[name](table)._jdf.queryExecution().executedPlan()):
+        if kind == "BroadcastExchange":
+            kinds = below(n)
+            assert not any("Scan parquet" in k for k in kinds) or any("Aggregate" in k for k in kinds), kinds
+
+
+def test_snapshot_queries_read_line_items_once(spark):
+    """The registered queries run over one stored table, and the date filter reaches its scan."""
+    for name in ("p1_latest_snapshot", "p4_snapshot_kpis", "p6_top_sellers", "p12_cover_verdict"):
+        text = plan(QUERIES[name](spark, sf_dir("0.001")))
+        assert "lineitem" not in text and "EqualTo(obs_date,ScalarSubquery" in text
+
+
+def test_unused_weather_is_not_looked_up(table):
+    assert "Join" not in plan(H.stock_health(table))
 
 
 def test_latest_snapshot_prunes_date_partitions(spark):

@@ -87,3 +87,60 @@ def test_csv_ingest_of_whole_table_matches_parquet_path(spark):
     assert df.count() == inv.count()
     assert stock_health(enrich(df)).first() == stock_health(enrich(inv)).first()
     assert sorted(urgency_counts(enrich(df)).collect()) == sorted(urgency_counts(enrich(inv)).collect())
+
+
+def _files(texts):
+    d = tempfile.mkdtemp(prefix="shelfwise-csv-")
+    for name, text in texts.items():
+        with open(os.path.join(d, name), "w") as fh:
+            fh.write(text)
+    return d
+
+
+def test_headers_in_different_order(spark):
+    cols = HEADER.strip().split(",")
+    row = dict(zip(cols, "2024-01-01,S1,P1,Toys,10,2,3,4,5,V,6".split(",")))
+    other = [*cols[:4], "Units Sold", "Inventory Level", *cols[6:]]
+    d = _files({"1.csv": HEADER + ",".join(row[c] for c in cols) + "\n",
+                "2.csv": ",".join(other) + "\n" + ",".join(row[c] for c in other) + "\n"})
+    with pytest.raises(Exception):
+        read_inventory(spark, d).collect()
+    both = read_inventory(spark, [os.path.join(d, "1.csv"), os.path.join(d, "2.csv")]).collect()
+    assert [(r.inventory_level, r.units_sold) for r in both] == [(10.0, 2.0), (10.0, 2.0)]
+
+
+def test_row_numbers_follow_files_and_lines(spark):
+    line = "2024-01-01,S1,{0},Toys,10,2,3,4,5,V,6\n"
+    d = _files({"1.csv": HEADER + "".join(line.format(f"a{k:04d}") for k in range(10)),
+                "2.csv": HEADER + "".join(line.format(f"b{k:04d}") for k in range(3000))})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("8k", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for path in (d, [os.path.join(d, "1.csv"), os.path.join(d, "2.csv")]):
+                ids = [r.product_id for r in read_inventory(spark, path).orderBy("row_seq").collect()]
+                assert ids == sorted(ids) and len(ids) == 3010
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_date_formats(spark):
+    rest = ",S1,P1,Toys,1,1,1,1,1,V,1"
+    got = [r.obs_date.isoformat() for r in read_inventory(
+        spark, _csv(["01/02/2024" + rest, "2024-01-02" + rest, "2024-01-02 10:00:00" + rest])).collect()]
+    assert got == ["2024-01-02"] * 3
+    one = read_inventory(spark, _csv(["02.01.2024" + rest]), date_format="dd.MM.yyyy").first()
+    assert one.obs_date.isoformat() == "2024-01-02"
+    with pytest.raises(Exception):
+        read_inventory(spark, _csv(["2024-01-02" + rest]), date_format="dd.MM.yyyy").collect()
+
+
+def test_missing_text_is_exact_and_only_in_csv(spark):
+    p = _csv(["2024-01-01, NA ,P1,NA,1,1,1,1,1,None,1", "2024-01-01,  ,P1,Toys,1,1,1,1,1,V,1"])
+    a, b = read_inventory(spark, p).orderBy("row_seq").collect()
+    assert (a.store_id, a.category, a.vendor, b.store_id) == (" NA ", None, None, "  ")
+    out = os.path.join(tempfile.mkdtemp(prefix="shelfwise-pq-"), "t")
+    df = read_inventory(spark, p).withColumn("vendor", F.lit("NA")).withColumn("price", F.lit(float("nan")))
+    df.write.parquet(out)
+    rows = read_inventory(spark, out, fmt="parquet").collect()
+    assert [r.vendor for r in rows] == ["NA", "NA"] and [r.price for r in rows] == [None, None]
