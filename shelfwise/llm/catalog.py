@@ -18,4 +18,4 @@ QUERIES = {
     "op10_language": language_cnn.op10_language,
 }
 
-SQL = dict(quality_rules.ORACLE_SQL)
+SQL = {**quality_rules.ORACLE_SQL, **level_dedup.ORACLE_SQL, **collisions.ORACLE_SQL, **setsketch.ORACLE_SQL}

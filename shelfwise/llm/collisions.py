@@ -98,7 +98,7 @@ def _coded(reps: DataFrame, bits: int, tables: int) -> DataFrame:
         T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("along", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
             dims = pc.divide(pc.binary_length(batch.column("v")), 8).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
@@ -205,3 +205,20 @@ def near_vectors(vectors: DataFrame, bound: float = 0.9, recall: float = RECALL,
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+ORACLE_SQL = {
+    "op8_embedding_dedup": """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) as n from v
+      where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as materialized (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+          where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join links l on l.a = r.b),
+low as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n from links group by a)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, low.component_id, v.vec_id = low.component_id as kept
+from v join low on low.a = v.vec_id left join n on n.a = v.vec_id
+""",
+}

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from shelfwise.session import scratch_path
 
 
+#: Bytes of rows that go to a Python worker at a time, however long the texts are.
+BATCH_BYTES = "4m"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared checkpoint folder and read it back.
 
@@ -17,7 +22,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_KEY, None)
+    spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_KEY, before) if before else spark.conf.unset(_BATCH_KEY)
     return spark.read.schema(df.schema).parquet(path)
 
 

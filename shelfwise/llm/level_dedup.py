@@ -285,3 +285,21 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as g
+        from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+lo as (select g, min(doc_id) as lo from win group by g),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from win join lo using (g) where lo.lo < win.doc_id),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select word.doc_id, string_agg(x, ' ' order by word.p) as t
+         from word left join gone on gone.doc_id = word.doc_id and gone.p = word.p where gone.p is null group by word.doc_id),
+n as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n.n, 0)::bigint as n_removed,
+  sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join n on n.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
+""",
+}

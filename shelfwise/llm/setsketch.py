@@ -379,3 +379,23 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80,
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), size=4)
+
+
+ORACLE_SQL = {
+    "op9_near_dedup": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - 2)) as i from d where len(w) >= 4)
+  union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 3),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b
+                       where 100 * c >= 80 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from d union select r.a, l.b from reach r join links l on l.a = r.b),
+low as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, low.component_id, d.doc_id = low.component_id as kept
+from d join low on low.a = d.doc_id left join n on n.doc_id = d.doc_id
+""",
+}

@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than space and ``\\t``..``\\r``, which is
 ``[^\\x20\\x09-\\x0D]+`` on UTF-8.  Texts are scanned as whole byte buffers, a few
-megabytes at a time, so no Python object is made per word.
+hundred kilobytes at a time, so no Python object is made per word.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
-HASH_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+HASH_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
