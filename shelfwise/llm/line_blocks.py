@@ -38,7 +38,8 @@ MOST = 0.7
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+    # a quote counts where it begins a value, elsewhere it is a character of a name or a bare value
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: their content is text for the parser up to the end tag, and never article text
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -56,7 +57,7 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 _EDGE = r"(?:[-_]*(?:area|bar|block|box|btn|button|bottom|box|container|content|footer|form|group|header|inner|item|items|" \
         r"label|left|link|links|list|main|message|module|outer|overlay|panel|right|row|section|slot|text|thread|title|" \
         r"top|unit|widget|wrap|wrapper|\d+))*"
-_NAMES = (r"ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|banner|breadcrumbs?|comments?|commentary|"
+_NAMES = (r"ads?|alerts?|adverts?|advertisements?|advertising|adsense|adsbygoogle|banner|breadcrumbs?|comments?|commentary|"
           r"consent|cookies?|disclaimer|disqus|footer|gdpr|header|hidden|login|masthead|menu|menus|modal|nav|navbar|"
           r"navigation|navi|newsletter|notice|notices|notification|notifications|outbrain|pager|pagination|popup|popover|"
           r"privacy|promo|promos|promoted|promotion|recommended|recommendations|related|replies|reply|respond|"
@@ -65,6 +66,8 @@ _NAMES = (r"ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|banner
 _HINT = re.compile(
     rf"(?:(?:site|page|global|top|bottom|main|left|right|user|reader|post|article|blog|web|mobile|sticky|fixed|inline|"
     rf"primary|secondary|js|google)[-_]*)?(?:{_NAMES}){_EDGE}", re.I)
+#: the title of a text, wherever it stands
+_TITLE = re.compile(r"(?:(?:post|article|entry|blog|story|content)[-_]*)(?:header|title)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
 
@@ -86,8 +89,8 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             for word in value.split():
-                if _HINT.fullmatch(_CAMEL.sub("-", word)) and not (in_article and re.fullmatch(
-                        r"(?:\w+[-_])?(?:header|title)", word, re.I)):
+                word = _CAMEL.sub("-", word)
+                if _HINT.fullmatch(word) and not _TITLE.fullmatch(word) and not (in_article and word.lower() == "header"):
                     return True
     return False
 
@@ -139,12 +142,12 @@ def lines(page: str) -> list[_Line]:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        attrs = m[3] or m[6] or ""
+        attrs = m[3] or ""
         block = tag in _BLOCK
-        if m[1] or m[4]:
+        if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag == "br" or tag == "p" and not any(s[0] == "p" for s in stack):
@@ -176,7 +179,8 @@ def lines(page: str) -> list[_Line]:
             at = end.end() if end else len(page)
             continue
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
-            line.parts.append(" " if tag in ("br", "img", "wbr") and tag != "wbr" else "")
+            if tag == "br":
+                line.parts.append(" ")
             continue
         unwanted = not dropped and _unwanted(tag, attrs, articles > 0)
         if unwanted and block:

@@ -25,6 +25,8 @@ def test_unclosed_and_odd_markup():
     assert extract("<p>x</p><script>never closed <p>y</p>") == "x"
     assert extract("<div>one<span> two</span>three</div>") == "one twothree"
     assert extract("<p>5 < 6 and 7 > 6</p>") == "5 < 6 and 7 > 6"
+    assert extract("<p title=it's>Don't <b class='a\"b'>stop</b> it's fine</p>") == "Don't stop it's fine"
+    assert extract("<p data-a=\"x > y\">text</p>") == "text"
     for junk in ("<", "<a", "<!--", "</", "<p title=\"", "\x00", "<>", "&#xZZ; &#0;"):
         extract(junk)
 
