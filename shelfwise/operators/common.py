@@ -77,6 +77,10 @@ def end_rows(df: DataFrame, by: str, numbers: Sequence[str], texts: Sequence[str
     return rows.select(by, *numbers, *texts)
 
 
+_SHARED: list[DataFrame] = []
+_KEPT_SHARED = 8
+
+
 def shared(df: DataFrame) -> DataFrame:
     """Mark a small aggregate that several branches of one report consume.
 
@@ -85,6 +89,15 @@ def shared(df: DataFrame) -> DataFrame:
     table once per branch.  Persisting (lazily, at the first action;
     memory then disk; lost blocks recompute from lineage) makes all branches
     read one computation.  Use only on aggregates whose row count is that of
-    a dimension (vendors, categories), never on fact rows.
+    a dimension (vendors, categories), never on fact rows.  The last few are
+    kept; an older one is released, and a report that still reads it computes
+    it again.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    # tables of a session that has ended are gone with it
+    _SHARED[:] = [d for d in _SHARED if d.sparkSession is df.sparkSession]
+    _SHARED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    while len(_SHARED) > _KEPT_SHARED:
+        old = _SHARED.pop(0)
+        if not any(old.sameSemantics(d) for d in _SHARED):
+            old.unpersist()
+    return df

@@ -11,6 +11,61 @@ Python ``int()`` is ``trunc`` (a DuckDB cast would round).
 
 from __future__ import annotations
 
+# ---------------------------------------------------------------------------
+# Fixed values (the dashboard's, held here apart from the engine's own copy, so
+# that a slip in either shows).
+# ---------------------------------------------------------------------------
+
+_SEASONS = ('Winter', 'Spring', 'Summer', 'Fall')
+_SEASONAL_CATEGORIES = {'Summer': ['Toys', 'Electronics', 'Furniture'],
+ 'Winter': ['Clothing', 'Electronics', 'Toys'],
+ 'Spring': ['Furniture', 'Groceries'],
+ 'Fall': ['Clothing', 'Electronics']}
+_SEASON_PROFILE = {'Summer': (25, ['Toys', 'Electronics (AC/Fans)', 'Outdoor Furniture', 'Summer Clothing']),
+ 'Winter': (15, ['Clothing', 'Electronics (Heaters)', 'Holiday Items', 'Comfort Products']),
+ 'Fall': (10, ['Clothing', 'Electronics', 'School Supplies', 'Furniture']),
+ 'Spring': (5, ['Furniture', 'Home Improvement', 'Gardening', 'Cleaning Products'])}
+_PLANNING_GUIDE = {'Spring': ('Spring (Mar-May)',
+            'January-February',
+            'Furniture, Home improvement, Gardening supplies',
+            'People clean and redecorate homes'),
+ 'Summer': ('Summer (Jun-Aug)',
+            'April-May',
+            'Toys, Outdoor furniture, Cooling electronics',
+            'Kids on vacation, hot weather needs'),
+ 'Fall': ('Fall (Sep-Nov)',
+          'July-August',
+          'Clothing, Electronics, Back-to-school items',
+          'Back to school and preparing for winter'),
+ 'Winter': ('Winter (Dec-Feb)',
+            'October-November',
+            'Clothing, Electronics, Holiday gifts',
+            'Cold weather and holiday shopping')}
+_CATEGORY_OUTLOOK = {'Electronics': {'Summer': '+10% (Air conditioning, fans)',
+                 'Winter': '+20% (Heaters, holiday gifts)',
+                 'Spring': 'Normal (Steady demand)',
+                 'Fall': '+15% (Back to school, new models)'},
+ 'Clothing': {'Summer': '-20% (Less layers needed)',
+              'Winter': '+40% (Warm clothes needed)',
+              'Spring': '+10% (New season wardrobe)',
+              'Fall': '+20% (Back to school, layers)'},
+ 'Toys': {'Summer': '+30% (Kids on vacation)',
+          'Winter': '+25% (Holiday gifts)',
+          'Spring': 'Normal (Steady demand)',
+          'Fall': '+10% (Back to school)'},
+ 'Furniture': {'Summer': '+20% (Outdoor furniture)',
+               'Winter': '-10% (Less moving/decorating)',
+               'Spring': '+30% (Spring cleaning, redecorating)',
+               'Fall': 'Normal (Steady demand)'},
+ 'Groceries': {'Summer': '-5% (People eat out more)',
+               'Winter': '+5% (More home cooking)',
+               'Spring': 'Normal (Steady demand)',
+               'Fall': 'Normal (Steady demand)'}}
+_OUTLOOK_FALLBACK = 'most products see +10-15% increase during peak seasons'
+_VENDOR_RECOMMENDATIONS = {'delivery': 'Delivery: Consider negotiating faster delivery options',
+ 'volume': 'Volume: Explore bulk ordering opportunities',
+ 'reliability': 'Reliability: Monitor stock levels more closely'}
+
 ADAPTER_SQL = """
 SELECT CAST(l.l_shipdate AS DATE) AS obs_date, r.r_name AS store_id, l.l_partkey AS product_id,
  CASE p.p_type WHEN 'ECONOMY' THEN 'Groceries' WHEN 'LARGE' THEN 'Furniture' WHEN 'MEDIUM' THEN 'Clothing'
@@ -134,7 +189,6 @@ FROM enr""")
 # Overview
 # ---------------------------------------------------------------------------
 
-from shelfwise.functions import dims as _dims  # noqa: E402  (text constants only)
 
 AS_OF = "DATE '2025-08-07'"
 CUR_SEASON = _SEASON_CASE.format(m=f"month({AS_OF})")
@@ -355,7 +409,7 @@ def _band_sql(c: str) -> str:
             f"ELSE 'red' END")
 
 
-_RECS = _dims.VENDOR_RECOMMENDATIONS
+_RECS = _VENDOR_RECOMMENDATIONS
 SQL["v10_vendor_cards"] = _with(f"""
 SELECT vendor, overall_score, overall_rank,
  CASE WHEN overall_score >= 80 THEN 'Excellent' WHEN overall_score >= 60 THEN 'Good'
@@ -464,12 +518,12 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
-_SC_ROWS = [(s, c) for s, cats in _dims.SEASONAL_CATEGORIES.items() for c in cats]
+_SC_ROWS = [(s, c) for s, cats in _SEASONAL_CATEGORIES.items() for c in cats]
 _PROFILE_ROWS = []
-for _i, _s in enumerate(_dims.SEASONS):
-    _pct, _hot = _dims.SEASON_PROFILE[_s]
-    _PROFILE_ROWS.append((_s, _i, _pct, ", ".join(_hot), len(_hot), *_dims.PLANNING_GUIDE[_s]))
-_OUTLOOK_ROWS = [(c, s, t) for c, by in _dims.CATEGORY_OUTLOOK.items() for s, t in by.items()]
+for _i, _s in enumerate(_SEASONS):
+    _pct, _hot = _SEASON_PROFILE[_s]
+    _PROFILE_ROWS.append((_s, _i, _pct, ", ".join(_hot), len(_hot), *_PLANNING_GUIDE[_s]))
+_OUTLOOK_ROWS = [(c, s, t) for c, by in _CATEGORY_OUTLOOK.items() for s, t in by.items()]
 
 SEASONAL_CTE = f"""
 sc AS (SELECT * FROM (VALUES {_values(_SC_ROWS)}) AS t(season, category)),
@@ -513,7 +567,7 @@ SELECT c.category, p.season, CAST(p.season_order AS INTEGER) AS season_order,
    ELSE CAST(replace(split_part(o.txt, ' ', 1), '%', '') AS INTEGER) END AS INTEGER) AS outlook_pct,
  CASE WHEN o.txt IS NULL THEN NULL
    ELSE substr(o.txt, strpos(o.txt, '(') + 1, length(o.txt) - strpos(o.txt, '(') - 1) END AS outlook_reason,
- COALESCE(o.txt, '{_dims.OUTLOOK_FALLBACK}') AS outlook
+ COALESCE(o.txt, '{_OUTLOOK_FALLBACK}') AS outlook
 FROM (SELECT DISTINCT category FROM enr) c
 CROSS JOIN prof p
 LEFT JOIN (SELECT * FROM (VALUES {_values(_OUTLOOK_ROWS)}) AS t(category, season, txt)) o
