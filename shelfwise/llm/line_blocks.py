@@ -5,7 +5,7 @@ names itself as no article text (menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles, comments, hidden parts) leaves an
 empty line, and link text does not count towards a line's length.  The lines are
 those of the page's articles if it marks any, else those of the smallest
-container with most of the text.  Over these lines the lengths are summed in
+container with most of the text and the title right before it.  Over these lines the lengths are summed in
 sliding windows; a run of lines begins where the sums surge from zero and ends
 where they dive to zero again, and the text between is kept if the surge is
 strong enough, measured against the page's strongest.
@@ -96,10 +96,11 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "text", "size", "path", "article")
+    __slots__ = ("parts", "linked", "text", "size", "path", "article", "title")
 
-    def __init__(self, path: tuple[int, ...], article: bool):
-        self.parts, self.linked, self.text, self.size, self.path, self.article = [], [], "", 0, path, article
+    def __init__(self, path: tuple[int, ...], article: bool, title: bool = False):
+        self.parts, self.linked, self.text, self.size = [], [], "", 0
+        self.path, self.article, self.title = path, article, title
 
 
 def lines(page: str) -> list[_Line]:
@@ -198,7 +199,7 @@ def lines(page: str) -> list[_Line]:
                 articles += 1
             dropped += unwanted
             stack.append((tag, unwanted, container))
-            line = _Line(path, articles > 0) if block else line
+            line = _Line(path, articles > 0, tag in ("h1", "h2")) if block else line
     close_line()
     return out
 
@@ -216,7 +217,11 @@ def _content(all_lines: list[_Line]) -> list[_Line]:
     for c, size in held.items():
         if size and size >= MOST * total and c > best:
             best = c
-    return [x for x in all_lines if not best or best in x.path]
+    if not best:
+        return all_lines
+    inside = [k for k, x in enumerate(all_lines) if best in x.path]
+    first = inside[0]  # with the title right before it
+    return all_lines[first - 1:first] * (first > 0 and all_lines[first - 1].title) + [all_lines[k] for k in inside]
 
 
 def extract(page: str | None) -> str:

@@ -17,6 +17,8 @@ def test_article_and_container():
     assert extract(PAGE % f"<article>{BODY}</article>") == WANT
     assert extract(PAGE % f"<main>{BODY}</main>") == WANT
     assert extract(PAGE % f"<div class='post-body'>{BODY}</div>") == WANT
+    title, rest = BODY.split("</h1>")
+    assert extract(PAGE % f"<div><div class='post-header'>{title}</h1></div><div>{rest}</div></div>") == WANT
 
 
 def test_unclosed_and_odd_markup():
