@@ -23,7 +23,7 @@ from shelfwise.operators import risk as F
 from shelfwise.operators import seasonal as W
 from shelfwise.operators import suppliers as V
 from shelfwise.session import scratch_path
-from shelfwise.sources.inventory import load_enriched, normalise_missing, save_enriched
+from shelfwise.sources.inventory import load_enriched, normalise_missing, read_inventory, save_enriched
 from shelfwise.sources.star import star_schema_inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,27 @@ def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf.sum("l_quantity").alias("quantity"))
 
 
+def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory table written as the dashboard's CSV, with month/day/year
+    dates, read back, validated and enriched; its stock health and the span of its rows."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CSV:
+        inv = star_schema_inventory(spark, sf_dir)
+        text = {c: sf.col(c).cast("string") for c in S.CSV_HEADERS.values()}
+        text[S.OBS_DATE] = sf.date_format(S.OBS_DATE, "MM/dd/yyyy")
+        path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+        inv.select(*[text[c].alias(h) for h, c in S.CSV_HEADERS.items()]).write.option("header", True).csv(path)
+        _CSV[key] = path
+    df = M.enrich(read_inventory(spark, _CSV[key]))
+    span = df.agg(sf.min(S.OBS_DATE).alias("first_date"), sf.max(S.OBS_DATE).alias("last_date"),
+                  sf.count_distinct(S.ROW_SEQ).alias("row_numbers"))
+    health = H.stock_health(df)
+    return health.join(span, sf.col("total_rows") == sf.col("row_numbers"), "left")
+
+
+_CSV: dict[tuple[str, str], str] = {}
+
+QUERIES["s1_csv_ingest"] = csv_ingest
 QUERIES["s5_missing_values"] = missing_values
 
 # Reports whose result has no SQL oracle (a fitted model).

@@ -653,3 +653,8 @@ SELECT CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN ' NA ' ELSE l_returnfl
  CAST(count(*) AS BIGINT) AS row_count, CAST(count(CASE WHEN l_quantity <> 13 THEN 1 END) AS BIGINT) AS with_quantity,
  SUM(CASE WHEN l_quantity <> 13 THEN CAST(l_quantity AS DOUBLE) END) AS quantity
 FROM lineitem GROUP BY 1"""
+
+SQL["s1_csv_ingest"] = SQL["h1_stock_health"].replace(
+    "AS total_rows\nFROM enr", """AS total_rows,
+ min(obs_date) AS first_date, max(obs_date) AS last_date, CAST(count(*) AS BIGINT) AS row_numbers
+FROM enr""")
