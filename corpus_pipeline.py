@@ -1,9 +1,9 @@
 """A training corpus from ``documents``: rules, near-dedup, substring dedup, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-it as Parquet to the shared checkpoint folder and hands it to the next.  All but
-the last return the columns of ``documents``.  Nulls, empty texts and empty
-tables follow the rules in each operator's docstring.
+it as Parquet to the shared checkpoint folder, hands it to the next and removes
+what is no longer read.  All but the last return the columns of ``documents``.
+Nulls, empty texts and empty tables follow the rules in each operator's docstring.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import level_dedup, mixing, packing, quality_rules, setsketch
-from shelfwise.llm.common import cut, table
+from shelfwise.llm.common import cut, release, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,18 +48,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each whole copy of a document and one for each span that the mix takes of it.
-
-    Ids are unique from the near-dedup on, but for nulls, which join nothing and aren't taken.
-    """
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "size", "passes", "spans")
-    rows = docs.join(cut(taken, "taken"), F.col("doc_id") == F.col("id"))
+    """The mix: a row for each whole copy of a document and one for each span that the mix takes of it."""
+    taken = mixing.mix(docs.select(*COLUMNS), carry=COLUMNS).where("taken > 0")
     whole = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest("passes", F.lit(1))), lambda i: F.struct(
         F.lit(0).cast("long").alias("from"), F.col("size").alias("to")))
     parts = F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.array().cast(
         "array<struct<from:bigint,to:bigint>>")), F.col("spans"))
-    rows = rows.select(*COLUMNS, "size", F.explode(parts).alias("part"))
+    rows = taken.select("row.*", "size", F.explode(parts).alias("part"))
     words = F.filter(F.split("text", quality_rules.BLANKS), lambda w: w != "")
     span = F.concat_ws(" ", F.slice(words, (F.col("part.from") + 1).cast("int"),
                                     (F.col("part.to") - F.col("part.from")).cast("int")))
@@ -82,7 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, keep=docs, since=before)  # the stage's input and what it wrote on the way
     return docs

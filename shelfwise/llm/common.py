@@ -15,6 +15,29 @@ BATCH_BYTES = "4m"
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: Tables that ``cut`` has written and ``release`` has not removed, oldest first.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, keep: DataFrame, since: int = 0) -> None:
+    """Remove the tables written since ``since`` (a count of them) that ``keep`` does not read.
+
+    For a job that runs several operators: once the result of one is written, what
+    it wrote on the way is of no more use.
+    """
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    used = {hadoop(f).getParent().getName() for f in keep.inputFiles()}  # the names hold a random part
+    for path in _WRITTEN[since:]:
+        at = hadoop(path)
+        if at.getName() not in used:
+            at.getFileSystem(conf).delete(at, True)
+            _WRITTEN.remove(path)
+
+
+def written() -> int:
+    return len(_WRITTEN)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared checkpoint folder and read it back.
 
@@ -24,6 +47,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
     before = spark.conf.get(_BATCH_KEY, None)
     spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+    _WRITTEN.append(path)
     try:
         df.write.parquet(path)
     finally:

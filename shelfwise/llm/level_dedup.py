@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.llm.common import cut, table
-from shelfwise.llm.text import mix, scan, window_hashes
+from shelfwise.llm.text import scan, window_hashes
 
 WINDOW = 50
 
@@ -123,12 +123,17 @@ def _full_windows(texts: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hits = batch.column(3)
-            for w in scan(batch.column(2)):
+            hits = batch.column(2)
+            for w in scan(batch.column(1)):
                 h = w.hashes()
                 at, hs, gs = [], [], []
                 for i in range(w.n_texts):
                     own = h[w.at[i]:w.at[i + 1]]
+                    if len(own) < window:  # another row of a repeated id
+                        at.append(np.empty(0, np.int32))
+                        hs.append(np.empty(0, np.int64))
+                        gs.append(np.empty(0, np.int64))
+                        continue
                     hit = np.sort(np.asarray(hits[w.first + i].as_py(), np.int64).view(np.uint64))
                     low, anchor = _anchors(own, window)
                     found = np.searchsorted(hit, low)
@@ -138,10 +143,10 @@ def _full_windows(texts: DataFrame, window: int) -> DataFrame:
                     hs.append(window_hashes(own, window)[starts].view(np.int64))
                     gs.append(window_hashes(own, window, kind=2)[starts].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.n_texts), batch.column(1).slice(w.first, w.n_texts),
+                    [batch.column(0).slice(w.first, w.n_texts), pa.array(_row_key(w)),
                      _lists(at, np.int32), _lists(hs, np.int64), _lists(gs, np.int64)], names=schema.names)
 
-    packed = texts.select("doc_id", "fp", "text", "hits").mapInArrow(run, schema)
+    packed = texts.select("doc_id", "text", "hits").mapInArrow(run, schema)
     return packed.select("doc_id", "fp", F.inline(F.arrays_zip("at", "h", "g"))) \
         .toDF("doc_id", "fp", "start", "h", "g")
 
@@ -155,6 +160,7 @@ def _cover(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def _last_pass(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """What is left of each text; the starts of another row of a repeated id are passed over."""
     ids = texts.schema["doc_id"].dataType
     fields = [T.StructField("doc_id", ids), T.StructField("fp", T.LongType()),
               T.StructField("cut_removed", T.LongType()), T.StructField("cut_sha", T.StringType())]
@@ -167,7 +173,8 @@ def _last_pass(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
             starts = batch.column(3)
             for w in scan(batch.column(2)):
                 removed, sha, kept = [], [], []
-                for i in range(w.n_texts):
+                own = np.flatnonzero(_row_key(w) == batch.column(1).to_numpy()[w.first:w.first + w.n_texts])
+                for i in own.tolist():
                     n = int(w.at[i + 1] - w.at[i])
                     gone = _cover(np.asarray(starts[w.first + i].as_py(), np.int64), n, window)
                     joined = _joined(w, i, ~gone)
@@ -175,7 +182,8 @@ def _last_pass(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                     sha.append(hashlib.sha256(joined).hexdigest())
                     if with_text:
                         kept.append(_kept_text(w, i, ~gone))
-                arrays = [batch.column(0).slice(w.first, w.n_texts), batch.column(1).slice(w.first, w.n_texts),
+                rows = pa.array(own + w.first)
+                arrays = [batch.column(0).take(rows), batch.column(1).take(rows),
                           pa.array(removed, pa.int64()), pa.array(sha)]
                 if with_text:
                     arrays.append(pa.array(kept, pa.string()))
@@ -203,33 +211,15 @@ def _repeated(docs: DataFrame, window: int):
     classes = cut(long_.groupBy("sha", "n_words").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("c"))
                   .where("c > 1").select("sha", "n_words", "smallest"), "classes")
     own = long_.join(classes, ["sha", "n_words"], "left") \
-        .select("doc_id", "fp", "anchors", F.coalesce("smallest", "doc_id").alias("smallest")) \
-        .where(F.col("doc_id") == F.col("smallest"))
-    marks = cut(own.select("doc_id", "fp", F.explode("anchors").alias("h")), "marks")
+        .where(F.col("doc_id") == F.coalesce("smallest", "doc_id"))
+    marks = own.select("doc_id", F.explode("anchors").alias("h"))
     shared = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    hits = marks.join(cut(shared.select("h"), "shared"), "h") \
-        .groupBy("doc_id", "fp").agg(F.collect_set("h").alias("hits"))
-    hits = cut(hits, "hits")
-    # a row of this id whose own words give another fp is a different row: told apart in the last join
-    texts = cut(docs.where("doc_id is not null").join(hits, "doc_id").select("doc_id", "fp", "text", "hits"), "texts")
-    texts = _same_row(texts)
+    hits = marks.join(cut(shared.select("h"), "shared"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
+    # the rows of a repeated id share their hits; each looks for them in its own text
+    texts = cut(docs.where("doc_id is not null").join(cut(hits, "hits"), "doc_id").select("doc_id", "text", "hits"), "texts")
     return first, classes, texts
 
 
-def _same_row(texts: DataFrame) -> DataFrame:
-    """Drops pairings of one row's text with another row's fp, where an id is repeated."""
-    schema = texts.schema
-
-    def run(batches):
-        for batch in batches:
-            fp = batch.column(1).to_numpy(zero_copy_only=False)
-            for w in scan(batch.column(2)):
-                ok = _row_key(w) == fp[w.first:w.first + w.n_texts]
-                yield batch.slice(w.first, w.n_texts).filter(pa.array(ok))
-
-    return texts.mapInArrow(run, schema)
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text",
                     with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, on request, ``kept_text``.
@@ -243,7 +233,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         .where("lo < hi").select("h", "g", "lo")
     starts = wide.join(cut(found, "found"), ["h", "g"]).where("lo < doc_id") \
         .groupBy("doc_id", "fp").agg(F.collect_set("start").alias("starts"))
-    hit = texts.drop("hits").join(cut(starts, "starts"), ["doc_id", "fp"])
+    hit = texts.drop("hits").join(cut(starts, "starts"), "doc_id")
     done = cut(_last_pass(hit.select("doc_id", "fp", "text", "starts"), window, with_text)
                .dropDuplicates(["doc_id", "fp"]), "done")
     rows = first.drop("anchors").join(classes, ["sha", "n_words"], "left").join(done, ["doc_id", "fp"], "left")

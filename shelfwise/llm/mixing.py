@@ -55,7 +55,8 @@ def targets(sources: DataFrame, max_repeat: float = MAX_REPEAT) -> DataFrame:
     rate = 0.0
     while True:  # the rate only grows, and each round stops at least one more source
         over = F.col("weight") * rate >= cap
-        spent, weight = s.agg(F.sum(F.when(over, cap).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        spent, weight = s.agg(F.sum(F.when(over, cap).otherwise(0.0)),
+                              F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
         fresh = (total - spent) / weight if weight else rate
         if fresh <= rate:
             return s.withColumn("target", F.least(cap, F.col("weight") * rate))
@@ -97,21 +98,28 @@ def apportion(units: DataFrame, seats: int, vote: str = "target", key: str = "un
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_repeat: int = MAX_REPEAT,
         cycle: tuple[int, ...] = (1, 2, 3), seed: int = SEED, id_col: str = "doc_id", text: str = "text",
-        source: str = "source") -> DataFrame:
+        source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken, and how: ``passes`` whole
-    copies and the word spans ``spans`` (from, to) of the partial one."""
+    copies and the word spans ``spans`` (from, to) of the partial one.
+
+    ``carry`` names columns, such as the text, that go along with their row to its
+    shard, as a struct ``row``; no join by id is needed then.
+    """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))  # null is a source of its own
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"),
-                            name.alias("name"), size.alias("size")), "sizes")
+    columns = [F.col(id_col).alias("doc_id"), F.col(source).alias("source"), name.alias("name"), size.alias("size")]
+    sized = cut(docs.select(*columns), "sizes")
     per = sized.groupBy("name").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = targets(source_weights(per, cycle), max_repeat) \
         .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     goal = cut(goal.select("name", "source_size", "target", "shards"), "goal")
-    rows = sized.select("doc_id", "name", "size").join(goal, "name") \
-        .withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))) \
-        .withColumn("unit", F.concat_ws("/", F.pmod(F.xxhash64("order"), F.col("shards")).cast("string"), "name"))
-    rows = cut(rows.select("doc_id", "unit", "size", "order", "source_size", "target"), "rows")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(goal, "name").withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))) \
+            .withColumn("unit", F.concat_ws("/", F.pmod(F.xxhash64("order"), F.col("shards")).cast("string"), "name")) \
+            .drop("name", "source", "shards")
+
+    rows = cut(dealt(sized), "rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     units = rows.groupBy("unit").agg(F.sum("size").alias("unit_size"), F.first("source_size").alias("s"),
                                      F.first("target").alias("t"))
@@ -121,9 +129,12 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     blocks = F.greatest(F.lit(1), F.ceil(F.col("unit_size") / block)).cast("long")
     units = apportion(units, round(total / block)).withColumn("quota", quota).select(
         "unit", "unit_size",
-        F.coalesce(F.expr("try_divide(quota - mod(quota, greatest(unit_size, 1)), unit_size)"), F.lit(0)).cast("long").alias("passes"),
+        F.coalesce(F.expr("try_divide(quota - mod(quota, greatest(unit_size, 1)), unit_size)"), F.lit(0))
+        .cast("long").alias("passes"),
         F.expr("mod(quota, greatest(unit_size, 1))").alias("rest"),
         (F.pmod(F.xxhash64("unit", F.lit(seed)), blocks) * block).alias("run"))
+    if carry:
+        rows = dealt(docs.select(*columns, F.struct(*carry).alias("row")))
     placed = rows.join(cut(units, "quotas"), "unit")
     w = Window.partitionBy("unit").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("off", F.coalesce(F.sum("size").over(w), F.lit(0)))
@@ -135,7 +146,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     placed = placed.withColumn("spans", F.filter(spans, lambda s: s["to"] > s["from"]))
     partial = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
     return placed.select("doc_id", "size", "source_size", "target",
-                         (F.col("passes") * F.col("size") + partial).alias("taken"), "passes", "spans")
+                         (F.col("passes") * F.col("size") + partial).alias("taken"), "passes", "spans",
+                         *(["row"] if carry else []))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -155,7 +155,8 @@ def pack(parts: DataFrame, length: int = LENGTH, shard_tokens: int = SHARD_TOKEN
     tokens = short.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-tokens // shard_tokens))
     whole = parts.where(F.col("length") >= length) \
-        .select("*", F.lit("w").alias("group"), F.monotonically_increasing_id().alias("seq"), F.lit(0).cast("long").alias("offset"))
+        .select("*", F.lit("w").alias("group"), F.monotonically_increasing_id().alias("seq"),
+                F.lit(0).cast("long").alias("offset"))
     todo = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
     done, level = [whole], 0
     while True:

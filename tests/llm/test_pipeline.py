@@ -1,6 +1,6 @@
 import corpus_pipeline as c
 from helpers_llm import doc, frame, prose, words
-from shelfwise.llm import quality_rules
+from shelfwise.llm import common, quality_rules
 
 
 def small():
@@ -57,5 +57,7 @@ def test_empty_and_extra_columns(spark):
 
 
 def test_run(spark):
+    before = list(common._WRITTEN)
     out = c.run(spark, "/root/testdata/sf0.001")
+    assert common._WRITTEN[:len(before)] == before and len(common._WRITTEN) == len(before) + 1
     assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
