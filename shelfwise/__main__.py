@@ -17,7 +17,7 @@ from shelfwise.operators import overview as H
 from shelfwise.operators import products as P
 from shelfwise.operators import seasonal as W
 from shelfwise.operators.metrics import enrich
-from shelfwise.plans.catalog import MODEL_REPORTS, REPORTS
+from shelfwise.plans.catalog import REPORTS
 from shelfwise.session import build_session, scratch_path
 from shelfwise.sources.inventory import load_enriched, read_inventory, save_enriched
 
