@@ -10,6 +10,8 @@ without re-reading processed files.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,11 +43,12 @@ def start_stock_health(spark: SparkSession, source_dir: str, query_name: str,
                        max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Run H1/H2/H4 continuously; the sink holds the latest complete result.
 
-    The checkpoint is found by the query's name, so a restart under the same
-    name goes on where the last run stopped.
+    The checkpoint is found by the query's name and its source, so a restart
+    under the same name goes on where the last run stopped.
     """
     health = stock_health(enriched_stream(spark, source_dir,
                                           max_files_per_trigger=max_files_per_trigger))
-    checkpoint = checkpoint or scratch_path(spark, f"stream-{query_name}")
+    source = hashlib.sha256(source_dir.encode()).hexdigest()[:16]
+    checkpoint = checkpoint or scratch_path(spark, f"stream-{query_name}-{source}")
     return (health.writeStream.outputMode("complete").format(sink).queryName(query_name)
             .option("checkpointLocation", checkpoint).start())

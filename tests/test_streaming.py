@@ -52,3 +52,21 @@ def test_csv_stream_health_equals_batch(spark):
     finally:
         q.stop()
     assert streamed.asDict() == stock_health(enrich(inv)).first().asDict()
+
+
+def test_restart_goes_on_where_it_stopped(spark):
+    src = os.path.join(tempfile.mkdtemp(prefix="shelfwise-stream-"), "in")
+    inv = star_schema_inventory(spark, sf_dir("0.001"))
+    inv = inv.withColumn("row_seq", inv["row_seq"].cast("bigint")).select(*[f.name for f in INVENTORY_SCHEMA.fields])
+    first, second = inv.where("row_seq % 3 <> 0"), inv.where("row_seq % 3 = 0")
+    read = []
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(src)
+        q = start_stock_health(spark, src, "health_restart")
+        try:
+            q.processAllAvailable()
+            read.append(sum(p.numInputRows for p in q.recentProgress))
+            total = spark.sql("SELECT total_rows FROM health_restart").first()[0]
+        finally:
+            q.stop()
+    assert read == [first.count(), second.count()] and total == inv.count()
