@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,25 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def trim() -> None:
+    """Give the memory that this process has freed back to the system, where its C library can."""
+    import pyarrow
+    pyarrow.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if back:
+        back(0)
+
+
+def lean(run):
+    """A function over batches whose worker, kept for later tasks, holds no freed memory after it."""
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+    return trimmed
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 
@@ -72,6 +92,9 @@ def let(value: Column, body) -> Column:
 
 
 
+EDGES_A_FILE = 1 << 18
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b).
 
@@ -82,18 +105,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             .where("a <> b").distinct(), "edges")
+    # few edges are written as few files; the tables of a round have no more rows than edges
+    files = max(1, -(-e.count() // EDGES_A_FILE))
     labels = None
     while labels is None or not e.isEmpty():
         hop = cut(e.groupBy("a").agg(F.min("b").alias("low"))
-                  .select(F.col("a").alias("from"), F.least("a", "low").alias("to")), "hop")
+                  .select(F.col("a").alias("from"), F.least("a", "low").alias("to")).coalesce(files), "hop")
         if labels is None:
             labels = hop.select(F.col("from").alias("node"), F.col("to").alias("component"))
         else:
             labels = cut(labels.join(hop, labels["component"] == hop["from"], "left")
-                         .select("node", F.coalesce("to", "component").alias("component")), "labels")
+                         .select("node", F.coalesce("to", "component").alias("component")).coalesce(files), "labels")
         ha = hop.select(F.col("from").alias("a"), F.col("to").alias("pa"))
         hb = hop.select(F.col("from").alias("b"), F.col("to").alias("pb"))
         half = e.join(ha, "a").select("b", "pa")
         e = cut(half.join(hb, "b").where("pa <> pb")
-                .select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+                .select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct().coalesce(files), "edges")
     return labels

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import cut, table
+from shelfwise.llm.common import cut, lean, table
 from shelfwise.llm.text import scan, window_hashes
 
 WINDOW = 50
@@ -110,7 +110,7 @@ def _first_pass(docs: DataFrame, window: int) -> DataFrame:
                     [batch.column(0).slice(w.first, w.n_texts), pa.array(np.diff(w.at).astype(np.int64)),
                      pa.array(sha), pa.array(fps, pa.int64()), _lists(anchors, np.int64)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _full_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _full_windows(texts: DataFrame, window: int) -> DataFrame:
                     [batch.column(0).slice(w.first, w.n_texts), pa.array(_row_key(w)),
                      _lists(at, np.int32), _lists(hs, np.int64), _lists(gs, np.int64)], names=schema.names)
 
-    packed = texts.select("doc_id", "text", "hits").mapInArrow(run, schema)
+    packed = texts.select("doc_id", "text", "hits").mapInArrow(lean(run), schema)
     return packed.select("doc_id", "fp", F.inline(F.arrays_zip("at", "h", "g"))) \
         .toDF("doc_id", "fp", "start", "h", "g")
 
@@ -189,7 +189,7 @@ def _last_pass(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                     arrays.append(pa.array(kept, pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return texts.select("doc_id", "fp", "text", "starts").mapInArrow(run, schema)
+    return texts.select("doc_id", "fp", "text", "starts").mapInArrow(lean(run), schema)
 
 
 def _kept_text(w, i: int, keep: np.ndarray) -> str:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import components, cut, table
+from shelfwise.llm.common import components, cut, lean, table, trim
 from shelfwise.llm.text import mix, runs, scan, window_hashes
 
 M = 128
@@ -162,7 +162,7 @@ def sketch(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "text
                     [batch.column(0).slice(w.first, w.n_texts), pa.array(n), pa.array(fps[0]),
                      pa.array(fps[1]), lists], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, bound: float) -> DataFrame:
@@ -182,7 +182,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, bound: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]) \
                     .filter(pa.array(ok))
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lean(run), schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]) \
                     .filter(pa.array(ok))
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lean(run), schema)
 
 
 def _open(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
@@ -291,6 +291,8 @@ def _partners(rows: DataFrame, reps: DataFrame, bound: float) -> DataFrame:
         at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
         flat = rep.take(pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
         out = group.select([*TASK, "rep", "component"]).take(pa.array(kept))
+        if len(key) >= BLOCK:
+            trim()
         return out.append_column("partners", pa.ListArray.from_arrays(pa.array(at), flat))
 
     return rows.groupBy(*TASK).applyInArrow(run, schema)
@@ -320,14 +322,17 @@ def _joined(partners: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                 found[rep[w.first + k]] = s[at[k]:at[k + 1]]
         of = dict(zip(rep, component))
         a, b = [], []
-        for x, partners in zip(rep, group.column("partners").to_pylist()):
-            for y in partners:
+        for x, partners in zip(rep, group.column("partners")):
+            for y in partners.as_py():  # one row's at a time
                 cx, cy = top(of[x]), top(of[y])
                 if cx != cy and _near(found[x], found[y], percent):
                     root[cx] = cy
                     a.append(x)
                     b.append(y)
         kind = group.schema.field("rep").type
+        found.clear()
+        if len(rep) >= BLOCK:
+            trim()
         return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
     return rows.groupBy(*TASK).applyInArrow(run, schema)
@@ -350,19 +355,19 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80,
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1")
     members = cut(banded.join(cut(shared, "buckets"), ["band", "value"]), "members")
     share = members.groupBy("rep").agg(F.sum("c").alias("share"))
-    scored = members.join(cut(share, "share"), "rep")
+    scored = members.join(share, "rep")
     hubs = cut(scored.groupBy("band", "value").agg(
         F.max_by("rep", F.struct("share", F.xxhash64("rep"))).alias("hub")), "hubs")
     star = members.join(hubs, ["band", "value"]).where("rep <> hub") \
         .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    near = cut(_estimated(cut(star, "star"), reps, bound), "near")
-    ids = cut(members.select("rep").distinct(), "ids")
+    near = _estimated(star, reps, bound)
+    ids = members.select("rep").distinct()
     texts = cut(docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"))
                 .join(ids, "rep"), "texts")
     links = cut(_verified(near, texts, size, percent), "links")
     labels = components(links)
     rest = _open(members, reps, labels)
-    few = cut(_estimated(cut(_small(rest), "few"), reps, bound), "few-near")
+    few = _estimated(_small(rest), reps, bound)
     more = _verified(few, texts, size, percent) \
         .union(_joined(cut(_partners(rest, reps, bound), "partners"), texts, size, percent))
     more = cut(more, "more")
