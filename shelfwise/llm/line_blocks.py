@@ -5,10 +5,11 @@ names itself as no article text (menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles, comments, hidden parts) leaves an
 empty line, and link text does not count towards a line's length.  The lines are
 those of the page's articles if it marks any, else those of the smallest
-container with most of the text and the title right before it.  Over these lines the lengths are summed in
-sliding windows; a run of lines begins where the sums surge from zero and ends
-where they dive to zero again, and the text between is kept if the surge is
-strong enough, measured against the page's strongest.
+container with all of the text that is no link, and the title right before it.
+Over these lines the lengths are summed in sliding windows; a run of lines begins
+where the sums surge from zero and ends where they dive to zero again, and the
+text between is kept if the surge is strong enough, measured against the page's
+strongest.
 
 Edge cases: a null or empty page, and one without text, give the empty text;
 character references are decoded once; tags may be unclosed, wrongly nested or
@@ -19,6 +20,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import html
+import os.path
 import re
 
 import pyarrow as pa
@@ -33,8 +35,6 @@ SPAN = 3
 #: a run is kept if its largest window reaches this, or this share of the page's largest
 SURGE = 60
 SHARE = 0.3
-#: share of the text that the container of a page without articles has to hold
-MOST = 0.7
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -62,7 +62,8 @@ _NAMES = (r"ads?|alerts?|adverts?|advertisements?|advertising|adsense|adsbygoogl
           r"navigation|navi|newsletter|notice|notices|notification|notifications|outbrain|pager|pagination|popup|popover|"
           r"privacy|promo|promos|promoted|promotion|recommended|recommendations|related|replies|reply|respond|"
           r"responses|search|share|sharing|shares|sidebar|sidenav|signup|skip|social|sponsor|sponsored|sponsors|"
-          r"subscribe|subscription|taboola|tags|toolbar|topbar|topnav|warning|widget|widgets")
+          r"subscribe|subscription|taboola|tags|toolbar|topbar|topnav|warning|widget|widgets|"
+          r"(?:cookies?|consent|gdpr|privacy)[-_]*(?:alert|banner|consent|disclaimer|modal|notice|notification|popup|warning)")
 _HINT = re.compile(
     rf"(?:(?:site|page|global|top|bottom|main|left|right|user|reader|post|article|blog|web|mobile|sticky|fixed|inline|"
     rf"primary|secondary|js|google)[-_]*)?(?:{_NAMES}){_EDGE}", re.I)
@@ -96,10 +97,10 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "text", "size", "path", "article", "title")
+    __slots__ = ("parts", "linked", "text", "size", "own", "path", "article", "title")
 
     def __init__(self, path: tuple[int, ...], article: bool, title: bool = False):
-        self.parts, self.linked, self.text, self.size = [], [], "", 0
+        self.parts, self.linked, self.text, self.size, self.own = [], [], "", 0, False
         self.path, self.article, self.title = path, article, title
 
 
@@ -117,6 +118,8 @@ def lines(page: str) -> list[_Line]:
             line.text = _SPACES.sub(" ", html.unescape("".join(line.parts))).strip()
             linked = _SPACES.sub(" ", html.unescape("".join(line.linked))).strip()
             line.size = max(0, len(line.text) - len(linked))
+            # what stands between links, such as bars and dots, is no text of its own
+            line.own = line.size > 0 and (line.own or not linked)
             if line.text:
                 out.append(line)
         if gap and (not out or out[-1].text):
@@ -140,6 +143,8 @@ def lines(page: str) -> list[_Line]:
             line.parts.append(text)
             if links:
                 line.linked.append(text)
+            elif not line.own:
+                line.own = any(map(str.isalnum, html.unescape(text)))
         if not m:
             break
         at = m.end()
@@ -205,21 +210,14 @@ def lines(page: str) -> list[_Line]:
 
 
 def _content(all_lines: list[_Line]) -> list[_Line]:
-    """The lines of the articles, else of the smallest container with most of the text."""
+    """The lines of the articles, else of the smallest container that leaves only links outside."""
     if any(x.article and x.text for x in all_lines):
         return [x for x in all_lines if x.article]
-    total = sum(x.size for x in all_lines)
-    held: dict[int, int] = {}
-    for x in all_lines:
-        for c in x.path:
-            held[c] = held.get(c, 0) + x.size
-    best = 0  # containers are numbered in page order, so an inner one comes after its outer ones
-    for c, size in held.items():
-        if size and size >= MOST * total and c > best:
-            best = c
-    if not best:
+    paths = [x.path for x in all_lines if x.own]
+    shared = os.path.commonprefix(paths)
+    if not shared:
         return all_lines
-    inside = [k for k, x in enumerate(all_lines) if best in x.path]
+    inside = [k for k, x in enumerate(all_lines) if shared[-1] in x.path]
     first = inside[0]  # with the title right before it
     return all_lines[first - 1:first] * (first > 0 and all_lines[first - 1].title) + [all_lines[k] for k in inside]
 

@@ -21,6 +21,18 @@ def test_article_and_container():
     assert extract(PAGE % f"<div><div class='post-header'>{title}</h1></div><div>{rest}</div></div>") == WANT
 
 
+def test_container_holds_all_of_the_text():
+    first, second = "one two three. " * 50, "four five six. " * 17
+    want = f"{first.strip()}\n\n{second.strip()}"
+    links = "<div class=list><a href=x>Home</a> <a href=y>News</a></div>"
+    assert extract(f"<div class=story><div class=part1>{first}</div><div class=part2>{second}</div></div>") == want
+    assert extract(f"<body>{links}<div class=story><section>{first}</section><p>{second}</p></div>{links}</body>") == want
+    assert extract(f"<table><tr><td>{first}</td><td>{second}</td></tr></table>") == want
+    intro, closing = "An intro of some words.", "A closing line."
+    assert extract(f"<div><div>{intro}</div><div>{first}</div><div>{closing}</div></div>") \
+        == f"{intro}\n\n{first.strip()}\n\n{closing}"
+
+
 def test_unclosed_and_odd_markup():
     assert extract("<article><p><b>Head.<br><p>Text of it") == "Head.\n\nText of it"
     assert extract("a &amp;lt; b") == "a &lt; b"
