@@ -4,12 +4,13 @@ The markup is stripped into lines, one per block element, in page order.  What
 names itself as no article text (menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles, comments, hidden parts) leaves an
 empty line, and link text does not count towards a line's length.  The lines are
-those of the page's articles if it marks any, else those of the smallest
-container with all of the text that is no link, and the title right before it.
-Over these lines the lengths are summed in sliding windows; a run of lines begins
-where the sums surge from zero and ends where they dive to zero again, and the
-text between is kept if the surge is strong enough, measured against the page's
-strongest.
+those of the page's articles if it marks any, and all of these are kept, else
+those of the smallest container with all of the text that is no link, and the
+title right before it.  Over the latter the lengths are summed in sliding windows;
+a run of lines begins where the sums surge from zero and ends where they dive to
+zero again, and the text between is kept if the surge is strong enough, measured
+against the page's strongest.  Kept runs are completed by the lines that belong
+to them, those of links included.
 
 Edge cases: a null or empty page, and one without text, give the empty text;
 character references are decoded once; tags may be unclosed, wrongly nested or
@@ -49,7 +50,8 @@ _BLOCK = {
     "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
     "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-_CONTAINER = {"article", "body", "center", "div", "main", "section", "table", "td"}
+_CONTAINER = {"article", "center", "div", "main", "section", "table", "td"}
+_PARA = {"blockquote", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "p", "pre"}
 _DROP = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "svg", "canvas", "audio", "video",
          "object", "applet", "head", "search", "datalist", "label", "fieldset"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog",
@@ -97,11 +99,11 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "text", "size", "own", "path", "article", "title")
+    __slots__ = ("parts", "linked", "text", "size", "own", "path", "article", "title", "para")
 
-    def __init__(self, path: tuple[int, ...], article: bool, title: bool = False):
+    def __init__(self, path: tuple[int, ...], article: bool, tag: str = ""):
         self.parts, self.linked, self.text, self.size, self.own = [], [], "", 0, False
-        self.path, self.article, self.title = path, article, title
+        self.path, self.article, self.title, self.para = path, article, tag in ("h1", "h2"), tag in _PARA
 
 
 def lines(page: str) -> list[_Line]:
@@ -204,7 +206,7 @@ def lines(page: str) -> list[_Line]:
                 articles += 1
             dropped += unwanted
             stack.append((tag, unwanted, container))
-            line = _Line(path, articles > 0, tag in ("h1", "h2")) if block else line
+            line = _Line(path, articles > 0, tag) if block else line
     close_line()
     return out
 
@@ -222,17 +224,41 @@ def _content(all_lines: list[_Line]) -> list[_Line]:
     return all_lines[first - 1:first] * (first > 0 and all_lines[first - 1].title) + [all_lines[k] for k in inside]
 
 
+def _completed(found: list[_Line], kept: list[bool]) -> list[bool]:
+    """``kept`` and the lines that belong to what is kept.
+
+    Lines with text of their own belong to it if they stand in one container with a
+    kept one.  Lines of links do so too, except right in the page's body, where they
+    may be its menu; so do those between kept lines, and the paragraphs and headings
+    right beside one.
+    """
+    held = {x.path[-1:] for x, k in zip(found, kept) if k and x.own}
+    kept = [k or bool(x.text) and x.path[-1:] in held and (x.own or bool(x.path)) for x, k in zip(found, kept)]
+    at = [i for i, k in enumerate(kept) if k]
+    if at:
+        kept[at[0]:at[-1]] = [k or bool(x.text) and not x.own
+                              for x, k in zip(found[at[0]:at[-1]], kept[at[0]:at[-1]])]
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        beside = False
+        for i in order:
+            if found[i].text:  # a gap doesn't part a paragraph from the text
+                beside = kept[i] = kept[i] or beside and not found[i].own and found[i].para
+    return kept
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
     found = _content(lines(page))
+    if any(x.article for x in found):  # what the page marks is text, linked or not
+        return "\n\n".join(x.text for x in found if x.text)
     sizes = [x.size for x in found]
     sums = [sum(sizes[i:i + SPAN]) for i in range(len(sizes))]
     if not sums or not max(sums):
         return ""
     enough = min(SURGE, SHARE * max(sums))
-    kept, i = [], 0
+    kept, i = [False] * len(found), 0
     while i < len(found):
         if not sums[i]:
             i += 1
@@ -241,9 +267,9 @@ def extract(page: str | None) -> str:
         while end < len(found) and sums[end]:  # from the surge to the dive
             end += 1
         if max(sums[i:end]) >= enough:
-            kept += [x.text for x in found[i:end] if x.text]
+            kept[i:end] = [bool(x.text) for x in found[i:end]]
         i = end
-    return "\n\n".join(kept)
+    return "\n\n".join(x.text for x, k in zip(found, _completed(found, kept)) if k)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -33,6 +33,22 @@ def test_container_holds_all_of_the_text():
         == f"{intro}\n\n{first.strip()}\n\n{closing}"
 
 
+def test_links_in_the_text_stay():
+    text, items = "one two three. " * 50, "".join(f"<li><a href=x>item {k}</a>" for k in range(4))
+    report, closing = "<p><a href=x>The full report</a></p>", "<p>So long.</p>"
+    parts = [text.strip(), "item 0", "item 1", "item 2", "item 3", "So long.", "The full report"]
+    body = f"<p>{text}</p><ul>{items}</ul>{closing}{report}"
+    for tag in ("article", "main", "div", "body"):
+        assert extract(f"<{tag}>{body}</{tag}>") == "\n\n".join(parts)
+    assert extract(f"<article><p>{text}</p>{report}</article>") == f"{text.strip()}\n\nThe full report"
+    assert extract("<article><a href=x><b>All</b> of it</a></article>") == "All of it"
+    both = f"<div><section>{text}</section><ul>{items}</ul><section>{text}</section></div>"
+    assert extract(both) == "\n\n".join([*parts[:5], parts[0]])
+    # a menu right in the body is none of the text
+    assert "item 0" not in extract(f"<body><ul>{items}</ul><p>{text}</p></body>")
+    assert extract(f"<div><ul>{items}</ul></div><div><p>{text}</p></div>") == text.strip()
+
+
 def test_unclosed_and_odd_markup():
     assert extract("<article><p><b>Head.<br><p>Text of it") == "Head.\n\nText of it"
     assert extract("a &amp;lt; b") == "a &lt; b"
