@@ -26,20 +26,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8), the smallest id.
 
-    Rows that repeat an id become one; rows without an id all stay.
+    Rows that share an id are told apart by all of their columns: equal ones become one,
+    others are documents of their own.  Rows without an id all stay.
     """
     docs = docs.select(*COLUMNS)
-    kept = setsketch.near_dedup(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").withColumn("row", F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]))
+    # a number per distinct row, ascending with the id: the smallest number has the smallest id
+    numbers = named.select("doc_id", "row").distinct().orderBy("doc_id", "row") \
+        .withColumn("key", F.monotonically_increasing_id())
+    keyed = cut(named.join(cut(numbers, "numbers"), ["doc_id", "row"]).select("key", *COLUMNS), "keyed")
+    kept = setsketch.near_dedup(keyed, size=5, percent=80, id_col="key").where("kept") \
+        .select(F.col("doc_id").alias("key")).distinct()
+    one = keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words or more that a smaller id has; texts left empty go."""
+    """Texts without the passages of 50 words or more that a smaller id has; texts left empty go.
+
+    Rows that share an id each get what is left of their own text.
+    """
     docs = docs.select(*COLUMNS)
     changed = level_dedup.substring_dedup(docs, with_text=True).where("n_removed > 0") \
-        .select(F.col("doc_id").alias("id"), F.col("kept_text"))
-    out = docs.join(cut(changed, "changed"), F.col("doc_id") == F.col("id"), "left") \
+        .select(F.col("doc_id").alias("id"), F.col("row").alias("of"), F.col("kept_text")).dropDuplicates(["id", "of"])
+    out = docs.join(cut(changed, "changed"), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("of")), "left") \
         .where("id is null or kept_text <> ''")
     text = F.when(F.col("id").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumn("n_chars", F.when(F.col("id").isNotNull(), F.length("kept_text").cast("long"))

@@ -87,9 +87,10 @@ def _row_key(w) -> np.ndarray:
 
 def _first_pass(docs: DataFrame, window: int) -> DataFrame:
     ids = docs.schema["doc_id"].dataType
+    others = docs.schema.fields[2:]
     schema = T.StructType([T.StructField("doc_id", ids), T.StructField("n_words", T.LongType()),
                            T.StructField("sha", T.StringType()), T.StructField("fp", T.LongType()),
-                           T.StructField("anchors", T.ArrayType(T.LongType()))])
+                           T.StructField("anchors", T.ArrayType(T.LongType())), *others])
 
     def run(batches):
         for batch in batches:
@@ -108,7 +109,8 @@ def _first_pass(docs: DataFrame, window: int) -> DataFrame:
                         anchors.append(np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(w.first, w.n_texts), pa.array(np.diff(w.at).astype(np.int64)),
-                     pa.array(sha), pa.array(fps, pa.int64()), _lists(anchors, np.int64)], names=schema.names)
+                     pa.array(sha), pa.array(fps, pa.int64()), _lists(anchors, np.int64),
+                     *[batch.column(2 + k).slice(w.first, w.n_texts) for k in range(len(others))]], names=schema.names)
 
     return docs.mapInArrow(lean(run), schema)
 
@@ -165,7 +167,7 @@ def _last_pass(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
     fields = [T.StructField("doc_id", ids), T.StructField("fp", T.LongType()),
               T.StructField("cut_removed", T.LongType()), T.StructField("cut_sha", T.StringType())]
     if with_text:
-        fields.append(T.StructField("cut_text", T.StringType()))
+        fields += [T.StructField("row", T.LongType()), T.StructField("cut_text", T.StringType())]
     schema = T.StructType(fields)
 
     def run(batches):
@@ -186,10 +188,10 @@ def _last_pass(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                 arrays = [batch.column(0).take(rows), batch.column(1).take(rows),
                           pa.array(removed, pa.int64()), pa.array(sha)]
                 if with_text:
-                    arrays.append(pa.array(kept, pa.string()))
+                    arrays += [batch.column(4).take(rows), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return texts.select("doc_id", "fp", "text", "starts").mapInArrow(lean(run), schema)
+    return texts.select("doc_id", "fp", "text", "starts", *(["row"] if with_text else [])).mapInArrow(lean(run), schema)
 
 
 def _kept_text(w, i: int, keep: np.ndarray) -> str:
@@ -216,7 +218,7 @@ def _repeated(docs: DataFrame, window: int):
     shared = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     hits = marks.join(cut(shared.select("h"), "shared"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     # the rows of a repeated id share their hits; each looks for them in its own text
-    texts = cut(docs.where("doc_id is not null").join(cut(hits, "hits"), "doc_id").select("doc_id", "text", "hits"), "texts")
+    texts = cut(docs.where("doc_id is not null").join(cut(hits, "hits"), "doc_id").select(*docs.columns, "hits"), "texts")
     return first, classes, texts
 
 
@@ -224,9 +226,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                     with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, on request, ``kept_text``.
 
-    ``kept_text`` is null for rows that lose nothing, so that their texts need no shuffle.
+    ``kept_text`` is null for rows that lose nothing, so that their texts need no shuffle;
+    with it goes ``row``, the xxhash64 of the text, which tells rows with one id apart.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    row = [F.xxhash64(F.col(text)).alias("row")] if with_text else []
+    key = ["doc_id", "fp", *(["row"] if with_text else [])]
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *row)
     first, classes, texts = _repeated(docs, window)
     wide = cut(_full_windows(texts, window), "windows")
     found = wide.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")) \
@@ -234,16 +239,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     starts = wide.join(cut(found, "found"), ["h", "g"]).where("lo < doc_id") \
         .groupBy("doc_id", "fp").agg(F.collect_set("start").alias("starts"))
     hit = texts.drop("hits").join(cut(starts, "starts"), "doc_id")
-    done = cut(_last_pass(hit.select("doc_id", "fp", "text", "starts"), window, with_text)
-               .dropDuplicates(["doc_id", "fp"]), "done")
-    rows = first.drop("anchors").join(classes, ["sha", "n_words"], "left").join(done, ["doc_id", "fp"], "left")
+    done = cut(_last_pass(hit, window, with_text).dropDuplicates(key), "done")
+    rows = first.drop("anchors").join(classes, ["sha", "n_words"], "left").join(done, key, "left")
     whole = F.coalesce(F.col("smallest") < F.col("doc_id"), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()
     out = [F.col("doc_id"), F.col("n_words"),
            F.when(whole, F.col("n_words")).otherwise(F.coalesce("cut_removed", F.lit(0).cast("long"))).alias("n_removed"),
            F.when(whole, F.lit(empty)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256")]
     if with_text:
-        out += [F.col("fp"), F.when(whole, F.lit("")).otherwise(F.col("cut_text")).alias("kept_text")]
+        out += [F.col("fp"), F.col("row"), F.when(whole, F.lit("")).otherwise(F.col("cut_text")).alias("kept_text")]
     return rows.select(*out)
 
 

@@ -45,6 +45,20 @@ def test_rejected_are_those_of_the_rules(spark):
     assert kept == {r["doc_id"] for r in led if r["kept"]}
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, d, passage = prose(201, 200), prose(202, 200), prose(203, 200), prose(204, 90)
+    near = lambda t: t.replace(t.split()[7], "other", 1)
+    rows = [doc(1, a), doc(1, b), doc(1, a), doc(2, near(a)), doc(3, d), doc(3, near(b)), doc(0, d[:90]), doc(None, a)]
+    got = c.near_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted(
+        [("1", a), ("1", b), ("3", d), ("0", d[:90]), ("None", a)])
+    x, y = prose(205, 80), prose(206, 80)
+    rows = [doc(4, f"{d} {passage}")] + [doc(5, f"{passage} {x}")] * 3 \
+        + [doc(5, f"{y} {passage}"), doc(5, f"{passage}\n{x}  end"), doc(5, b)]
+    got = c.substring_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted(r["text"] for r in got) == sorted([f"{d} {passage}", x, x, x, y, f"{x}  end", b])
+
+
 def test_empty_and_extra_columns(spark):
     docs = frame(spark, [])
     for _, stage in c.STAGES:
