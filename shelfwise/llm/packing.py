@@ -6,8 +6,8 @@ shorter than a sequence are dealt to shards of bounded size; within one, longest
 first, each goes where the sum over gaps g of N(g) squared, N(g) being the open
 sequences with g places left, becomes smallest (a tie: the smaller gap); a new
 sequence is begun only if no open one has room.  Then the sequences that stayed
-far from full are opened again and packed together, many shards at a time, until
-one group is left.
+far from full are opened again and dealt, as they are, to as many shards of that
+size as their tokens need, until one shard is left or a round saves too few.
 
 Only (id, piece, length) reach the packing; the tokens stay behind, told apart
 by their checksum.  ``sequences`` brings pieces and tokens together.
@@ -33,9 +33,12 @@ from shelfwise.llm.common import cut, table
 LENGTH = 2048
 CLOSING = 0
 SHARD_TOKENS = 1 << 20
-MERGE = 64
 #: sequences with more of their places empty than this are packed again
 SLACK = 0.01
+#: share of its sequences that a round has to save if there is to be another one
+SAVED = 0.001
+#: rounds have numbers below this
+ROUNDS = 32
 
 
 def vocabulary() -> str:
@@ -158,29 +161,40 @@ def pack(parts: DataFrame, length: int = LENGTH, shard_tokens: int = SHARD_TOKEN
         .select("*", F.lit("w").alias("group"), F.monotonically_increasing_id().alias("seq"),
                 F.lit(0).cast("long").alias("offset"))
     todo = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
-    done, level = [whole], 0
+    done, level, opened, before = [whole], 0, None, None
     while True:
         packed = cut(_packed(todo, length), "packed")
         group = F.concat(F.lit(f"{level}/"), F.col("shard").cast("string"))
-        good = F.col("fill") >= length * (1 - SLACK) if shards > 1 else F.lit(True)
-        done.append(packed.where(good).select(*parts.columns, group.alias("group"), "seq", "offset"))
-        if shards == 1:
+        good = F.col("fill") >= length * (1 - SLACK)
+        columns = [*parts.columns, group.alias("group"), "seq", "offset"]
+        begins, loose = (F.col("offset") == 0).cast("long"), (~good).cast("long")
+        made, left, tokens = [n or 0 for n in packed.agg(
+            F.sum(begins), F.sum(begins * loose), F.sum(F.col("length") * loose)).first()]
+        if before is not None and made >= opened:  # nothing saved: they stay as they were
+            done.append(before)
             break
-        shards, level = -(-shards // MERGE), level + 1
-        todo = packed.where(~good).select(*parts.columns, F.pmod("shard", F.lit(shards)).cast("long").alias("shard"))
+        few = opened is not None and opened - made < SAVED * opened
+        if shards == 1 or not left or few or level == ROUNDS - 1:
+            done.append(packed.select(*columns))
+            break
+        done.append(packed.where(good).select(*columns))
+        before, opened = packed.where(~good).select(*columns), left
+        deal = F.xxhash64("shard", "seq", F.lit(level))
+        shards, level = max(1, -(-tokens // shard_tokens)), level + 1
+        todo = packed.where(~good).select(*parts.columns, F.pmod(deal, F.lit(shards)).cast("long").alias("shard"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     # group and number within it, as one long: a hash of 63 bits could collide, a rank would sort everything
-    return out.select(*parts.columns, _sequence_id(out, level, length).alias("sequence_id"), "offset")
+    return out.select(*parts.columns, _sequence_id().alias("sequence_id"), "offset")
 
 
-def _sequence_id(out: DataFrame, levels: int, length: int):
+def _sequence_id():
     """Whole sequences get odd numbers; packed ones (seq, shard, level) as even mixed-radix numbers."""
     level = F.split("group", "/")[0]
     shard = F.split("group", "/")[1].cast("long")
     # a shard holds fewer than 2**25 sequences, a level fewer than 2**32 shards
-    packed = (shard * (1 << 25) + F.col("seq")) * 8 + level.try_cast("long") * 2
+    packed = (shard * (1 << 25) + F.col("seq")) * (2 * ROUNDS) + level.try_cast("long") * 2
     return F.when(F.col("group") == "w", F.col("seq") * 2 + 1).otherwise(packed).cast("long")
 
 

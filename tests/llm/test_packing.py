@@ -71,6 +71,31 @@ def test_sum_of_squares_rule():
         assert total(gaps) == min(choices)
 
 
+def test_shards_stay_bounded(spark, monkeypatch):
+    rng, groups, packed = np.random.default_rng(1), [], p._packed
+
+    def spied(rows, capacity):
+        groups.extend(r["sum(length)"] for r in rows.groupBy("shard").sum("length").collect())
+        return packed(rows, capacity)
+
+    monkeypatch.setattr(p, "_packed", spied)
+    for lengths, most in (([33 + k % 30 for k in range(3000)], 3000),  # no two fit together
+                          ([35] * 1500 + [40 + k % 23 for k in range(1400)] + [3] * 100, 2900),
+                          (rng.integers(1, 64, 3000).tolist(), 1600)):
+        rows = [(k, 0, 0, n, k) for k, n in enumerate(lengths)]
+        parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        groups.clear()
+        got = p.pack(parts, 64, shard_tokens=4000).collect()
+        assert max(groups) <= 2 * 4000
+        by = {}
+        for r in got:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for places in by.values():
+            ends = np.cumsum([0] + [n for _, n in sorted(places)])
+            assert [o for o, _ in sorted(places)] == ends[:-1].tolist() and ends[-1] <= 64
+        assert sorted(r["doc_id"] for r in got) == list(range(len(lengths))) and len(by) <= most
+
+
 def test_sequences_round_trip(spark, tokenizer):
     rows = [doc(k, prose(k, 30 + k)) for k in range(20)]
     got = p.sequences(frame(spark, rows), 256).collect()
