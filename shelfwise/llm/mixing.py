@@ -107,7 +107,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))  # null is a source of its own
-    columns = [F.col(id_col).alias("doc_id"), F.col(source).alias("source"), name.alias("name"), size.alias("size")]
+    columns = [F.col(id_col).alias("doc_id"), F.col(source).alias("source"), name.alias("name"), size.alias("size"),
+               F.xxhash64(F.col(text)).alias("hash")]
     sized = cut(docs.select(*columns), "sizes")
     per = sized.groupBy("name").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = targets(source_weights(per, cycle), max_repeat) \
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     goal = cut(goal.select("name", "source_size", "target", "shards"), "goal")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.join(goal, "name").withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))) \
+        return rows.join(goal, "name").withColumn("order", F.xxhash64("doc_id", "size", "hash", F.lit(seed))) \
             .withColumn("unit", F.concat_ws("/", F.pmod(F.xxhash64("order"), F.col("shards")).cast("string"), "name")) \
             .drop("name", "source", "shards")
 
@@ -133,11 +134,15 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
         .cast("long").alias("passes"),
         F.expr("mod(quota, greatest(unit_size, 1))").alias("rest"),
         (F.pmod(F.xxhash64("unit", F.lit(seed)), blocks) * block).alias("run"))
+    some, none = rows.where("size > 0"), rows.where("size = 0")
     if carry:
-        rows = dealt(docs.select(*columns, F.struct(*carry).alias("row")))
-    placed = rows.join(cut(units, "quotas"), "unit")
-    w = Window.partitionBy("unit").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("off", F.coalesce(F.sum("size").over(w), F.lit(0)))
+        blank = F.col(text).isNull() | ~F.col(text).rlike(WORD)
+        some, none = (dealt(docs.where(c).select(*columns, F.struct(*carry).alias("row"))) for c in (~blank, blank))
+    quotas = cut(units, "quotas")
+    w = Window.partitionBy("unit").orderBy("order", "doc_id", "size", "hash") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    placed = some.join(quotas, "unit").withColumn("off", F.coalesce(F.sum("size").over(w), F.lit(0))) \
+        .unionByName(none.join(quotas, "unit").withColumn("off", F.lit(0).cast("long")))  # a shard has any number of these
     # the run, and what of it goes on from the shard's beginning, in words of this document
     clip = lambda x: F.least(F.greatest(x - F.col("off"), F.lit(0)), F.col("size"))
     end = F.col("run") + F.col("rest")

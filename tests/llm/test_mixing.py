@@ -76,3 +76,24 @@ def test_empty(spark):
     assert m.mix(frame(spark, [])).collect() == []
     got = m.mix(frame(spark, [doc(1, None), doc(2, "", source=None)])).collect()
     assert [r["taken"] for r in got] == [0, 0]
+
+
+def test_shards_stay_bounded(spark, monkeypatch):
+    seen, apportion = [], m.apportion
+
+    def spied(units, seats, *args, **kwargs):
+        seen.extend(r["unit_size"] for r in units.collect())
+        return apportion(units, seats, *args, **kwargs)
+
+    monkeypatch.setattr(m, "apportion", spied)
+    rows = [doc(None, prose(k, 20)) for k in range(400)] + [doc(k, (None, "", " \n")[k % 3], source="blank") for k in range(90)]
+    for carry in ((), ("text",)):
+        seen.clear()
+        out = m.mix(frame(spark, rows), shard_words=1000, carry=carry)
+        assert max(seen) <= 4000 and sum(seen) == 8000
+        # rows without words don't go through the window
+        assert "size#" in (under := out._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1])
+        assert "> 0)" in under.split("Union")[0] or "RLIKE" in under.split("Union")[0]
+        got = out.collect()
+        assert len(got) == 490 and sum(r["taken"] for r in got) == 8000
+        assert sum(r["size"] == 0 and r["taken"] == 0 and not r["spans"] for r in got) == 90
