@@ -206,14 +206,19 @@ def _kept_text(w, i: int, keep: np.ndarray) -> str:
     return b"".join(pieces).decode("utf-8", "replace").strip(" \t\n\x0b\x0c\r")
 
 
-def _repeated(docs: DataFrame, window: int):
-    """First pass with each row's class, and the texts with the starts of their repeated windows."""
+def _repeated(docs: DataFrame, window: int, fold: bool = True):
+    """First pass with each row's class, and the texts with the starts of their repeated windows.
+
+    With ``fold`` a class counts as its smallest id alone, else all of its copies count.
+    """
     first = cut(_first_pass(docs, window), "first")
     long_ = first.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     classes = cut(long_.groupBy("sha", "n_words").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("c"))
                   .where("c > 1").select("sha", "n_words", "smallest"), "classes")
-    own = long_.join(classes, ["sha", "n_words"], "left") \
-        .where(F.col("doc_id") == F.coalesce("smallest", "doc_id"))
+    own = long_
+    if fold:
+        own = long_.join(classes, ["sha", "n_words"], "left") \
+            .where(F.col("doc_id") == F.coalesce("smallest", "doc_id"))
     marks = own.select("doc_id", F.explode("anchors").alias("h"))
     shared = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     hits = marks.join(cut(shared.select("h"), "shared"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
@@ -259,7 +264,7 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     drop out, and the loop ends when none survive.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    _, _, texts = _repeated(docs, window)
+    _, _, texts = _repeated(docs, window, fold=False)
     level, length, done = cut(_full_windows(texts, window), "windows"), window, None
     while True:
         shared = level.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")

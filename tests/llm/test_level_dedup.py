@@ -78,3 +78,10 @@ def test_longest_repeats(spark):
         for k in range(230 - 50 + 1):
             want[i, at + k] = max(n for n in (50, 100, 200) if k + n <= 230)
     assert got == want
+
+
+def test_longest_repeats_of_exact_copies(spark):
+    text = prose(301, 230)
+    rows = [doc(1, text), doc(2, text), doc(3, prose(302, 230)), doc(4, prose(303, 60)), doc(4, prose(303, 60))]
+    got = sorted((r["doc_id"], r["start"], r["length"]) for r in s.longest_repeats(frame(spark, rows)).collect())
+    assert got == [(i, k, 200 if k <= 30 else 100 if k <= 130 else 50) for i in (1, 2) for k in range(181)]
