@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import (collisions, count_viterbi, language_cnn, level_dedup, line_blocks, mixing, packing,
-                           quality_rules, quotations, setsketch)
+from shelfwise.llm import (collisions, count_viterbi, dim_lloyd, language_cnn, level_dedup, line_blocks, mixing, packing,
+                           pii, quality_rules, quotations, setsketch, turn_repair)
 
 QUERIES = {
     "op1_main_text": line_blocks.op1_main_text,
@@ -16,6 +16,10 @@ QUERIES = {
     "op8_embedding_dedup": collisions.op8_embedding_dedup,
     "op9_near_dedup": setsketch.op9_near_dedup,
     "op10_language": language_cnn.op10_language,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
+    "op12_personal_data": pii.op12_personal_data,
+    "op13_centroids": dim_lloyd.op13_centroids,
 }
 
-SQL = {**quality_rules.ORACLE_SQL, **level_dedup.ORACLE_SQL, **collisions.ORACLE_SQL, **setsketch.ORACLE_SQL}
+SQL = {**quality_rules.ORACLE_SQL, **level_dedup.ORACLE_SQL, **collisions.ORACLE_SQL, **setsketch.ORACLE_SQL,
+       **dim_lloyd.ORACLE_SQL}
