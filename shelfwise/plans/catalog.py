@@ -3,7 +3,7 @@
 ``REPORTS`` maps a name to an operator over the enriched inventory table;
 ``QUERIES`` wraps each one as ``(spark, sf_dir) -> DataFrame`` over the
 inventory table that is derived from the star-schema tables under ``sf_dir``,
-enriched and stored once per session.
+enriched and stored once per session and state of its sources.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as sf
 
 from shelfwise import schema as S
@@ -23,8 +23,10 @@ from shelfwise.operators import risk as F
 from shelfwise.operators import seasonal as W
 from shelfwise.operators import suppliers as V
 from shelfwise.session import scratch_path
+from shelfwise.sources.guard import guarded_inventory, problem_counts
 from shelfwise.sources.inventory import load_enriched, normalise_missing, read_inventory, save_enriched
 from shelfwise.sources.star import star_schema_inventory
+from shelfwise.sources.stored import stored_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,20 +36,24 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.enrich(star_schema_inventory(spark, sf_dir))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+#: the star-schema tables that the inventory table is derived from
+SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The path of a table derived from the star-schema tables, for this session and as they are now."""
+    app = spark.sparkContext.applicationId
+    tables = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCES]
+    return stored_table(spark, scratch_path(spark, f"{name}-{app}"), tables, write)
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched table, written once per session and folder under the shared checkpoint folder.
+    """The enriched table, written once per session and state of its sources to the shared checkpoint folder.
 
     Clustered by date, so that the latest snapshot is found by the files' statistics.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        path = scratch_path(spark, f"enriched-{uuid.uuid4().hex}")
-        save_enriched(enriched(spark, sf_dir), path, files=0)
-        _STORED[key] = path
-    return load_enriched(spark, _STORED[key])
+    return load_enriched(spark, _kept(spark, sf_dir, "enriched",
+                                      lambda path: save_enriched(enriched(spark, sf_dir), path, files=0)))
 
 
 Report = Callable[[DataFrame], DataFrame]
@@ -137,27 +143,77 @@ def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf.sum("l_quantity").alias("quantity"))
 
 
+def _csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory table as texts under the engine's names, with month/day/year dates, and its row_seq."""
+    inv = star_schema_inventory(spark, sf_dir)
+    text = {c: sf.col(c).cast("string") for c in S.CSV_HEADERS.values()}
+    text[S.OBS_DATE] = sf.date_format(S.OBS_DATE, "MM/dd/yyyy")
+    return inv.select(*[text[c].alias(c) for c in text], S.ROW_SEQ)
+
+
+def _write_csv(texts: DataFrame, path: str) -> None:
+    texts.select(*[sf.col(c).alias(h) for h, c in S.CSV_HEADERS.items()]) \
+        .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory table written as the dashboard's CSV, with month/day/year
     dates, read back, validated and enriched; its stock health and the span of its rows."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CSV:
-        inv = star_schema_inventory(spark, sf_dir)
-        text = {c: sf.col(c).cast("string") for c in S.CSV_HEADERS.values()}
-        text[S.OBS_DATE] = sf.date_format(S.OBS_DATE, "MM/dd/yyyy")
-        path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
-        inv.select(*[text[c].alias(h) for h, c in S.CSV_HEADERS.items()]).write.option("header", True).csv(path)
-        _CSV[key] = path
-    df = M.enrich(read_inventory(spark, _CSV[key]))
+    path = _kept(spark, sf_dir, "csv", lambda at: _write_csv(_csv_texts(spark, sf_dir), at))
+    df = M.enrich(read_inventory(spark, path))
     span = df.agg(sf.min(S.OBS_DATE).alias("first_date"), sf.max(S.OBS_DATE).alias("last_date"),
                   sf.count_distinct(S.ROW_SEQ).alias("row_numbers"))
     health = H.stock_health(df)
     return health.join(span, sf.col("total_rows") == sf.col("row_numbers"), "left")
 
 
-_CSV: dict[tuple[str, str], str] = {}
+#: vendors' names in the awkward file: quotes and commas, line breaks, or as they are, by product
+AWKWARD = {0: ' "The, Best" Co', 1: ",\nof two lines"}
+
+
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a CSV in file order, with quotes, commas and line breaks in its vendors,
+    day/month/year dates with a time, and the stock of the product's row before it in the file."""
+    def write(path: str) -> None:
+        texts = _csv_texts(spark, sf_dir)
+        kind = sf.pmod(sf.col(S.PRODUCT).cast("bigint"), sf.lit(3))
+        odd = sf.create_map(*[sf.lit(x) for k in AWKWARD for x in (k, AWKWARD[k])])
+        vendor = sf.concat(S.VENDOR, sf.coalesce(odd[kind.cast("int")], sf.lit("")))
+        date = sf.date_format(sf.to_date(S.OBS_DATE, "MM/dd/yyyy"), "dd/MM/yyyy 08:30")
+        sorted_ = texts.withColumns({S.VENDOR: vendor, "_day": sf.to_date(S.OBS_DATE, "MM/dd/yyyy"), S.OBS_DATE: date,
+                                     "_sold": sf.col(S.SOLD).cast("double")})
+        _write_csv(sorted_.repartitionByRange(8, S.ROW_SEQ, "_day", "_sold")
+                   .sortWithinPartitions(S.ROW_SEQ, "_day", "_sold"), path)
+
+    path = _kept(spark, sf_dir, "csv-awkward", write)
+    df = read_inventory(spark, path, multiline=True)
+    before = Window.partitionBy(S.PRODUCT).orderBy(S.ROW_SEQ)
+    return df.select(*S.CSV_HEADERS.values(), sf.lag(S.INV).over(before).alias("stock_before"))
+
+
+#: what is put into the damaged file, by remainders of its row numbers: column, text, divisor
+DAMAGE = ((S.OBS_DATE, "soon", 101), (S.INV, "lots", 103), (S.PRICE, "12,50", 107), (S.DELIVERY, "NA", 109))
+
+
+def load_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the inventory table as a CSV with dates and numbers that are none, loaded by the guard: the rows of
+    each combination of problems and, of the sound ones (``none``), what was loaded."""
+    def write(path: str) -> None:
+        texts = _csv_texts(spark, sf_dir)
+        hit = lambda n: sf.col(S.ROW_SEQ) % sf.lit(n).cast(texts.schema[S.ROW_SEQ].dataType) == 0
+        _write_csv(texts.withColumns({c: sf.when(hit(n), sf.lit(t)).otherwise(sf.col(c)) for c, t, n in DAMAGE}), path)
+
+    path = _kept(spark, sf_dir, "csv-damaged", write)
+    out = scratch_path(spark, f"guarded-{uuid.uuid4().hex}")
+    found = guarded_inventory(spark, path, out)
+    loaded = found.accepted.agg(sf.sum(S.INV).alias("stock"), sf.count(S.DELIVERY).alias("with_delivery"),
+                                sf.max(S.OBS_DATE).alias("last_date")).select("*", sf.lit("none").alias("problem"))
+    return problem_counts(found).join(loaded, "problem", "left")
+
 
 QUERIES["s1_csv_ingest"] = csv_ingest
+QUERIES["s1_csv_rows"] = csv_rows
+QUERIES["s3_load_guard"] = load_guard
 QUERIES["s5_missing_values"] = missing_values
 
 # Reports whose result has no SQL oracle (a fitted model).

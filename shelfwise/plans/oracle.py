@@ -658,3 +658,21 @@ SQL["s1_csv_ingest"] = SQL["h1_stock_health"].replace(
     "AS total_rows\nFROM enr", """AS total_rows,
  min(obs_date) AS first_date, max(obs_date) AS last_date, CAST(count(*) AS BIGINT) AS row_numbers
 FROM enr""")
+
+SQL["s1_csv_rows"] = _with("""
+SELECT obs_date, store_id, CAST(product_id AS VARCHAR) AS product_id, category, inventory_level, units_sold,
+ units_ordered, demand_forecast, price, vendor || CASE product_id % 3 WHEN 0 THEN ' "The, Best" Co'
+  WHEN 1 THEN ',' || chr(10) || 'of two lines' ELSE '' END AS vendor, vendor_avg_delivery_days,
+ lag(inventory_level) OVER (PARTITION BY product_id ORDER BY row_seq, obs_date, units_sold) AS stock_before
+FROM enr""")
+
+SQL["s3_load_guard"] = _with("""
+SELECT problem, CAST(count(*) AS BIGINT) AS row_count,
+ CASE WHEN problem = 'none' THEN sum(inventory_level) END AS stock,
+ CASE WHEN problem = 'none' THEN CAST(count(CASE WHEN row_seq % 109 <> 0 THEN 1 END) AS BIGINT) END AS with_delivery,
+ CASE WHEN problem = 'none' THEN max(obs_date) END AS last_date
+FROM (SELECT *, CASE WHEN bad = '' THEN 'none' ELSE bad END AS problem FROM (
+ SELECT *, concat_ws('; ', CASE WHEN row_seq % 101 = 0 THEN 'obs_date: not a date' END,
+  CASE WHEN row_seq % 103 = 0 THEN 'inventory_level: not a number' END,
+  CASE WHEN row_seq % 107 = 0 THEN 'price: not a number' END) AS bad FROM enr))
+GROUP BY problem""")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise import schema as S
+from shelfwise.sources import dates
 
 # Text that pandas' CSV reader takes as a missing value by
 # default.
@@ -42,20 +43,16 @@ def _rename_headers(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
-def _date(c: str, date_format: str | None, strict: bool):
-    """A date from ISO text or month/day/year, or only from ``date_format``."""
-    formats = (date_format,) if date_format else ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy")
-    found = [F.try_to_timestamp(F.col(c), F.lit(f)).cast("date") for f in formats]
-    if not date_format:
-        found.insert(0, F.expr(f"try_cast(`{c}` AS date)"))
-    parsed = F.coalesce(*found)
+def _date(c: str, date_format: str, strict: bool):
+    """A date from text in one format."""
+    found = dates.parsed(F.col(c), date_format)
     if strict:
         bad = F.raise_error(F.concat(F.lit("not a date: "), F.col(c))).cast("date")
-        parsed = F.when(F.col(c).isNotNull() & parsed.isNull(), bad).otherwise(parsed)
-    return parsed
+        found = F.when(F.col(c).isNotNull() & found.isNull(), bad).otherwise(found)
+    return found
 
 
-def _typed(df: DataFrame, strict: bool, date_format: str | None = None) -> DataFrame:
+def _typed(df: DataFrame, strict: bool, date_format: str) -> DataFrame:
     """Cast text columns to the inventory types; other columns are dropped.
 
     A row number made at the read is no text and stays as it is.
@@ -87,8 +84,21 @@ def _typed(df: DataFrame, strict: bool, date_format: str | None = None) -> DataF
 _FILE_PLACE, _SPLIT_PLACE = 10 ** 22, 10 ** 10
 
 
-def _in_file_order(df: DataFrame, files: Sequence[str], number_from: int = 0) -> DataFrame:
-    """Adds ``row_seq``: files in the order given, then the rows' order in each file.
+def _numbered(rows: DataFrame, files: Sequence[str], number_from: int, place: Column) -> DataFrame:
+    """Adds ``row_seq``: files in the order given, then ``place``; ``_file`` names a row's file."""
+    scale = F.expr(f"CAST('{_FILE_PLACE}' AS DECIMAL(38,0))")
+    if len(files) == 1:
+        return rows.withColumn(S.ROW_SEQ, (F.lit(number_from).cast("decimal(38,0)") * scale + place)
+                               .cast("decimal(38,0)"))
+    numbers = rows.sparkSession.createDataFrame(
+        list(enumerate(files, number_from)), "_number long, _file string")
+    known = F.coalesce("_number", F.raise_error(F.concat(F.lit("not in the listing: "), F.col("_file"))).cast("long"))
+    seq = (known.cast("decimal(38,0)") * scale + place).cast("decimal(38,0)")
+    return rows.join(numbers, "_file", "left").withColumn(S.ROW_SEQ, seq)
+
+
+def in_file_order(df: DataFrame, files: Sequence[str], number_from: int = 0) -> DataFrame:
+    """Adds ``row_seq`` to the rows of text files: files in the order given, then the order in each.
 
     A task may read its splits in any order, but it reads each from start to
     end, so the split's offset in its file and the running number of the row
@@ -97,49 +107,70 @@ def _in_file_order(df: DataFrame, files: Sequence[str], number_from: int = 0) ->
     rows = df.select("*", F.input_file_name().alias("_file"),
                      F.col("_metadata.file_block_start").cast("decimal(38,0)").alias("_at"),
                      F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
-    numbers = df.sparkSession.createDataFrame(
-        list(enumerate(files, number_from)), "_number long, _file string")
-    known = F.coalesce("_number", F.raise_error(F.concat(F.lit("not in the listing: "), F.col("_file"))).cast("long"))
-    seq = (known.cast("decimal(38,0)") * F.expr(f"CAST('{_FILE_PLACE}' AS DECIMAL(38,0))")
-           + F.col("_at") * F.expr(f"CAST('{_SPLIT_PLACE}' AS DECIMAL(38,0))") + F.col("_row"))
-    return rows.join(numbers, "_file", "left").withColumn(S.ROW_SEQ, seq.cast("decimal(38,0)")) \
-        .drop("_file", "_at", "_row", "_number")
+    place = F.col("_at") * F.expr(f"CAST('{_SPLIT_PLACE}' AS DECIMAL(38,0))") + F.col("_row")
+    return _numbered(rows, files, number_from, place).drop("_file", "_at", "_row", "_number")
+
+
+def _parquet_in_file_order(df: DataFrame, files: Sequence[str]) -> DataFrame:
+    """Adds ``row_seq`` to the rows of Parquet files, which know their own number.
+
+    That number is a value like any other, so filters on the rows still reach the scan.
+    """
+    # a path without a host is written with one slash or with three
+    names = [f.replace(":///", ":/", 1) for f in files]
+    name = F.regexp_replace(F.col("_metadata.file_path"), "^([^:/]+):///", "$1:/")
+    rows = df.select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return _numbered(rows, names, 0, F.col("_row").cast("decimal(38,0)")).drop("_file", "_row", "_number")
+
+
+def csv_reader(spark: SparkSession, multiline: bool = False) -> DataFrameReader:
+    """Quoted fields may hold separators and, doubled, quotes; with ``multiline`` line breaks as well.
+
+    A file with line breaks in fields can't be split, so a task reads it whole.
+    """
+    return (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+            .option("quote", '"').option("escape", '"').option("multiLine", multiline))
 
 
-def _read_csv(spark: SparkSession, path: str, number_from: int) -> tuple[DataFrame, int]:
+def _read_csv(spark: SparkSession, path: str, number_from: int, multiline: bool) -> tuple[DataFrame, int]:
     """The rows of one path as text, numbered if they bring no numbers, and the files counted so far."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("enforceSchema", False).option("mode", "FAILFAST").csv(path))
+    raw = csv_reader(spark, multiline).option("mode", "FAILFAST").csv(path)
     if S.ROW_SEQ in raw.columns:
         return raw, number_from
     files = sorted(raw.inputFiles())
-    return _in_file_order(raw, files, number_from), number_from + len(files)
+    return in_file_order(raw, files, number_from), number_from + len(files)
 
 
-def read_inventory(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
-                   strict: bool = True, date_format: str | None = None) -> DataFrame:
+def read_inventory(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv", strict: bool = True,
+                   date_format: str | None = None, multiline: bool = False) -> DataFrame:
     """Read an inventory table; returns the typed, validated DataFrame.
 
     CSV is read with every column as text (no schema inference pass over the
     data), missing-value text is normalised, then columns are cast.  The files
     of one path must share one header, or the read fails; several paths may
-    have their columns in different order.  Dates are ISO or month/day/year,
-    or as ``date_format`` (a Spark pattern) says.  Parquet is read with its own
-    types.  A ``row_seq`` column in the file is kept as the file order; without
-    one, rows are numbered by path, file name and place in the file.  Other
+    have their columns in different order.  Quoted fields may hold commas and
+    doubled quotes; with ``multiline`` line breaks too.  The dates of a path have
+    one format, elected in a pass over that column (``sources.dates``), or the
+    Spark pattern ``date_format``, and then there is no such pass.  Parquet is read
+    with its own types.  A ``row_seq`` column in the file is kept as the file order;
+    without one, rows are numbered by path, file name and place in the file.  Other
     extra columns are dropped from CSV.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "csv":
         df, files = None, 0
         for p in paths:
-            raw, files = _read_csv(spark, p, files)
-            part = _typed(normalise_missing(_rename_headers(raw), text=True), strict, date_format)
+            raw, files = _read_csv(spark, p, files, multiline)
+            texts = normalise_missing(_rename_headers(raw), text=True)
+            form = date_format
+            if not form and S.OBS_DATE in texts.columns:
+                form = dates.elect(texts.select(S.OBS_DATE), S.OBS_DATE, strict=strict)
+            part = _typed(texts, strict, form or dates.ISO)
             df = part if df is None else df.unionByName(part)
     elif fmt == "parquet":
         raw = spark.read.parquet(*paths)
         if S.ROW_SEQ not in raw.columns:
-            raw = _in_file_order(raw, sorted(raw.inputFiles()))
+            raw = _parquet_in_file_order(raw, sorted(raw.inputFiles()))
         df = normalise_missing(_rename_headers(raw))
     else:
         raise ValueError(f"unsupported inventory format: {fmt}")

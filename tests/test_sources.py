@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.metrics import enrich
 from shelfwise.schema import InventorySchemaError, validate_schema
+from shelfwise.sources.dates import DateFormatError
+from shelfwise.sources.guard import STRUCTURE, guarded_inventory
 from shelfwise.sources.inventory import load_enriched, read_inventory, save_enriched
+from shelfwise.sources.stored import read_stored, stored_table
 
 HEADER = ("Date,Store ID,Product ID,Category,Inventory Level,Units Sold,Units Ordered,"
           "Demand Forecast,Price,Vendor,Vendor Avg Delivery Days\n")
@@ -124,15 +127,136 @@ def test_row_numbers_follow_files_and_lines(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_date_formats(spark):
-    rest = ",S1,P1,Toys,1,1,1,1,1,V,1"
-    got = [r.obs_date.isoformat() for r in read_inventory(
-        spark, _csv(["01/02/2024" + rest, "2024-01-02" + rest, "2024-01-02 10:00:00" + rest])).collect()]
-    assert got == ["2024-01-02"] * 3
-    one = read_inventory(spark, _csv(["02.01.2024" + rest]), date_format="dd.MM.yyyy").first()
-    assert one.obs_date.isoformat() == "2024-01-02"
+REST = ",S1,P1,Toys,1,1,1,1,1,V,1"
+
+
+def _dates(spark, texts, **how):
+    lines = [('"%s"' % t if "," in t else t) + REST for t in texts]
+    return [r.obs_date.isoformat() for r in read_inventory(spark, _csv(lines), **how).orderBy("row_seq").collect()]
+
+
+def test_one_date_format_is_elected(spark):
+    for texts in (["2024/01/02", "2024/1/31"], ["20240102", "20240131"], ["Jan 2, 2024", "Jan 31, 2024"],
+                  ["02/01/2024", "31/01/2024"], ["01/02/2024", "1/31/2024"], ["2024-01-02T10:00:00", "2024-01-31 9:00"],
+                  ["01/02/2024 10:30", "01/31/2024"], ["2 January 2024", "31 January 2024"], ["2-Jan-2024", "31-Jan-2024"],
+                  ["02.01.2024", "31.01.2024"], ["01-02-2024", "01-31-2024"]):
+        assert _dates(spark, texts) == ["2024-01-02", "2024-01-31"], texts
+    assert _dates(spark, ["1/1/2024", "NA", "3/3/2024"][::2]) == ["2024-01-01", "2024-03-03"]  # day or month first: the same
+    assert _dates(spark, ["02/01/2024"], date_format="dd/MM/yyyy") == ["2024-01-02"]
     with pytest.raises(Exception):
-        read_inventory(spark, _csv(["2024-01-02" + rest]), date_format="dd.MM.yyyy").collect()
+        _dates(spark, ["2024-01-02"], date_format="dd.MM.yyyy")
+
+
+def test_mixed_and_ambiguous_dates_are_refused(spark):
+    with pytest.raises(DateFormatError, match="fits 2 and not the other 1, such as '01/02/2024'"):
+        _dates(spark, ["2024-01-02", "2024-01-03", "01/02/2024"])
+    with pytest.raises(DateFormatError, match="differ on 1 of them"):
+        _dates(spark, ["01/02/2024", "03/03/2024"])
+    lenient = read_inventory(spark, _csv([d + REST for d in ("2024-01-02", "2024-01-03", "01/02/2024")]), strict=False)
+    assert [r.obs_date and r.obs_date.isoformat() for r in lenient.orderBy("row_seq").collect()] == \
+        ["2024-01-02", "2024-01-03", None]
+
+
+def test_quoted_fields_load_as_pandas_loads_them(spark):
+    import pandas as pd
+    vendors = ['Smith "The, Best" Co', "Two\nlines", '"', "a,b", ' "x" ', "plain"]
+    lines = ['2024-01-02,S1,P%d,Toys,1,1,1,1,1,"%s",%d' % (k, v.replace('"', '""'), k) for k, v in enumerate(vendors)]
+    p = _csv(lines)
+    got = read_inventory(spark, p, multiline=True).orderBy("row_seq").collect()
+    frame = pd.read_csv(p)
+    assert [r.vendor for r in got] == vendors == list(frame["Vendor"])
+    assert [r.vendor_avg_delivery_days for r in got] == list(frame["Vendor Avg Delivery Days"])
+    single = read_inventory(spark, _csv([x for x in lines if "Two" not in x])).orderBy("row_seq").collect()
+    assert [r.vendor for r in single] == [v for v in vendors if "Two" not in v]
+
+
+def test_file_order_with_line_breaks_in_fields(spark):
+    line = '2024-01-01,S1,{0},Toys,10,2,3,4,5,"V\nW",6\n'
+    d = _files({f"{name}.csv": HEADER + "".join(line.format(f"{name}{k:04d}") for k in range(n))
+                for name, n in (("1", 10), ("2", 700), ("3", 5))})
+    ids = [r.product_id for r in read_inventory(spark, d, multiline=True).orderBy("row_seq").collect()]
+    assert ids == sorted(ids) and len(ids) == 715
+
+
+def test_parquet_without_row_numbers_is_filtered_at_the_scan(spark):
+    rest = read_inventory(spark, _csv([f"2024-01-{1 + k // 40:02d},S1,{k:04d},Toys,{k},1,1,1,1,V,1" for k in range(900)]))
+    out = os.path.join(tempfile.mkdtemp(prefix="shelfwise pq %20-"), "t")
+    rest.repartitionByRange(3, "product_id").sortWithinPartitions("product_id").drop("row_seq").write.parquet(out)
+    for path in (out, [os.path.join(out, f) for f in sorted(os.listdir(out)) if f.endswith("parquet")][:1]):
+        df = read_inventory(spark, path, fmt="parquet")
+        ids = [r.product_id for r in df.orderBy("row_seq").collect()]
+        assert ids == sorted(ids) and len(ids) > 250
+        few = df.where("obs_date = DATE'2024-01-03'")
+        assert "EqualTo(obs_date,2024-01-03)" in few._jdf.queryExecution().executedPlan().toString()
+        assert {r.obs_date.day for r in few.collect()} <= {3}
+
+
+def test_guard_puts_bad_rows_aside_and_counts_them(spark):
+    ok = "2024-01-02,S1,P1,Toys,1,1,1,1,1,V,1"
+    p = _csv([ok, "soon,S1,P2,Toys,lots,1,1,1,1,V,1", "2024-01-02,S1,P3,Toys,NA,,nan,1,1,,1", "2024-01-02,S1,P4",
+              ok + ",9", "2024-01-05,S1,P5,Toys,1,1,1,1,1e400x,V,1", '2024-01-05,S1,P6,Toys,1,1,1,1,1,"a ""b"", c",1'])
+    found = guarded_inventory(spark, p, os.path.join(tempfile.mkdtemp(prefix="shelfwise-guard-"), "t"))
+    assert found.counts == {"rows": 7, "accepted": 3, "wrong number of fields": 2, "obs_date: not a date": 1,
+                            "inventory_level: not a number": 1, "price: not a number": 1}
+    assert [(r.product_id, r.vendor) for r in found.accepted.orderBy("row_seq").collect()] == \
+        [("P1", "V"), ("P3", None), ("P6", 'a "b", c')]
+    bad = found.rejected.orderBy("row_seq").collect()
+    assert [r.problems for r in bad] == [["obs_date: not a date", "inventory_level: not a number"], [STRUCTURE], [STRUCTURE],
+                                         ["price: not a number"]]
+    assert [r.row_seq for r in bad] == [1, 3, 4, 5] and '"Inventory Level":"lots"' in bad[0].record
+    assert '"line":"2024-01-02,S1,P4"' in bad[1].record
+    assert enrich(found.accepted).count() == 3
+    with pytest.raises(InventorySchemaError, match="4 of 7 rows are bad: wrong number of fields \\(2\\)"):
+        found.check()
+    assert found.check(most=0.6) is found
+
+
+def test_guard_of_a_sound_and_of_an_incomplete_file(spark):
+    d = tempfile.mkdtemp(prefix="shelfwise-guard-")
+    found = guarded_inventory(spark, _csv(["2024-01-02,S1,P1,Toys,1,1,1,1,1,V,1"]), os.path.join(d, "a"))
+    assert found.counts == {"rows": 1, "accepted": 1} and found.rejected.count() == 0 and found.check().accepted.count() == 1
+    folder = _files({"1.csv": "Date,Store ID\n2024-01-02,S1\n"})
+    with pytest.raises(InventorySchemaError, match="lacks columns"):
+        guarded_inventory(spark, folder, os.path.join(d, "b"))
+
+
+def test_a_stored_table_follows_its_source(spark):
+    d = tempfile.mkdtemp(prefix="shelfwise-stored-")
+    source, built = os.path.join(d, "source"), []
+
+    def report():
+        def build():
+            built.append(1)
+            return spark.read.parquet(source).groupBy().agg(F.sum("id").alias("total"))
+        return read_stored(spark, os.path.join(d, "store"), source, build).first().total
+
+    spark.range(10).write.parquet(source)
+    assert report() == report() == 45 and len(built) == 1
+    spark.range(11).write.mode("overwrite").parquet(source)
+    assert report() == 55 and len(built) == 2
+    spark.range(100, 101).write.mode("append").parquet(source)
+    assert report() == 155 and report() == 155 and len(built) == 3
+    now = stored_table(spark, os.path.join(d, "store"), source, lambda path: None)
+    os.remove(os.path.join(now, "_SUCCESS"))  # a build that was cut short
+    assert report() == 155 and len(built) == 4
+
+
+def test_reports_follow_the_tables(spark):
+    """A rewritten folder of tables changes the reports of the same session."""
+    import shutil
+
+    from conftest import sf_dir
+    from shelfwise.plans.catalog import QUERIES, SOURCES
+    d = tempfile.mkdtemp(prefix="shelfwise-tables-")
+    for t in SOURCES:
+        shutil.copy(os.path.join(sf_dir("0.001"), f"{t}.parquet"), d)
+    before = QUERIES["h1_stock_health"](spark, d).first().total_rows
+    half = spark.read.parquet(os.path.join(d, "lineitem.parquet")).where("l_orderkey % 2 = 0")
+    kept = half.count()
+    half.coalesce(1).write.parquet(os.path.join(d, "half"))
+    part = next(f for f in os.listdir(os.path.join(d, "half")) if f.endswith(".parquet"))
+    shutil.copy(os.path.join(d, "half", part), os.path.join(d, "lineitem.parquet"))
+    assert before == 6000 and QUERIES["h1_stock_health"](spark, d).first().total_rows == kept < 6000
 
 
 def test_missing_text_is_exact_and_only_in_csv(spark):
