@@ -52,6 +52,24 @@ def bounded_rank(df: DataFrame, score: str, rank_col: str, descending: bool = Tr
     return df.join(ranks, on=score, how="left")
 
 
+def ranked(df: DataFrame, keys: Sequence[Column], rank_col: str) -> DataFrame:
+    """Adds the 1-based position of every row by ``keys``, which no two rows should share.
+
+    A window without partitions would bring all rows into one task.  Here a
+    sort by range gives each partition its place, rows are numbered where
+    they lie, and a row's position is its own number and the rows of the partitions
+    before.  Only those counts, a row for each partition, meet in a window.
+    The sorted rows are persisted: numbers and counts must come from one sort.
+    """
+    at, part, place = "_at", F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = shared(df.orderBy(*keys).withColumn(at, F.monotonically_increasing_id()))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(before, "_part") \
+        .select(*df.columns, (F.col("_before") + place + F.lit(1)).cast("bigint").alias(rank_col))
+
+
 def order_position(order_cols: Sequence[str] = ORDER_COLS) -> Column:
     """The file-order position as one value: packed for the default columns, else a struct."""
     return order_number(*ORDER_COLS) if tuple(order_cols) == ORDER_COLS else order_struct(order_cols)

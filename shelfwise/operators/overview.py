@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions import dims
 from shelfwise.functions.exprs import MONEY, money_sum, order_keys, round_half_even, with_order_cols
 from shelfwise.operators import metrics as M
-from shelfwise.operators.common import DEFAULT_AS_OF, as_of_season, order_position, shared, top_n
+from shelfwise.operators.common import DEFAULT_AS_OF, as_of_season, order_position, ranked, shared, top_n
 
 
 def stock_health(df: DataFrame, critical: float = 7, warning: float = 14) -> DataFrame:
@@ -184,6 +184,5 @@ def category_share(df: DataFrame, by: str = "units") -> DataFrame:
         .alias("value_share_pct"),
     )
     for name, key in (("unit_rank", "total_units"), ("value_rank", "total_value")):
-        order = Window.orderBy(F.col(key).desc(), F.col(S.CATEGORY))
-        out = out.withColumn(name, F.row_number().over(order).cast("bigint"))
+        out = ranked(out, [F.col(key).desc(), F.col(S.CATEGORY)], name)
     return out.orderBy("value_rank" if by == "value" else "unit_rank")

@@ -1,41 +1,88 @@
 """Stockout-risk model and order advice F1-F11.
 
-The model is a Spark ML pipeline (assembler -> scaler -> random forest) fit
-on the whole table by distributed histogram split search; scoring runs for
-every product in one ``transform`` pass.
+The model is a Spark ML pipeline (assembler -> scaler -> random forest) fit by
+distributed histogram split search on the complete rows, at most
+``MAX_TRAIN_ROWS`` of them; scoring runs for every product in one ``transform`` pass.
+The fitted forest is also a table, a row for each node, which scores rows without
+the model: in Spark by walking it, or in any engine that reads it.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
+from fractions import Fraction
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import StandardScalerModel, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise import schema as S
 from shelfwise.functions.exprs import round_half_even, trunc_to_long
 from shelfwise.operators import metrics as M
 from shelfwise.operators.common import end_rows
-from shelfwise.session import ensure_checkpoint_dir
+from shelfwise.session import ensure_checkpoint_dir, scratch_path
 
 FEATURES = (S.INV, S.SOLD, S.PRICE, S.DELIVERY)
 SCORE = "risk_score"
 CURRENT_NUMBERS = (S.OBS_DATE, S.INV, S.SOLD, S.PRICE, S.DELIVERY, S.FORECAST, M.DAYS)
 CURRENT_TEXTS = (S.CATEGORY, S.STORE)
 #: Bound of the labelled rows the forest is fitted on, and their partitions.  The rows
-#: are chosen, dealt and sorted by a hash of their values, so neither the input's
+#: are chosen, dealt and sorted by a hash of their key, so neither the input's
 #: layout nor the number of cores changes the model.
 MAX_TRAIN_ROWS = 600_000
 TRAIN_PARTITIONS = 16
+#: a forest table up to this size is broadcast to the rows it scores
+BROADCAST_BYTES = 64 << 20
 
 
-def risk_pipeline(trees: int = 100, seed: int = 42, max_depth: int = 12,
+class Scaling(NamedTuple):
+    """what the model's standardiser subtracts and divides by, per feature of ``FEATURES``."""
+    rows: int
+    mean: tuple[float, ...]
+    deviation: tuple[float, ...]  # of the population
+
+
+def fit_scaling(df: DataFrame) -> Scaling:
+    """mean and population deviation of the features over the complete rows, from exact sums.
+
+    Values are summed and squared as decimals of six places, so the result does not
+    depend on the order of the rows; the division is done once, with fractions.
+    """
+    exact = {c: F.col(c).cast("decimal(18,6)") for c in FEATURES}
+    one = df.select(*FEATURES).dropna().agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(exact[c]).alias(f"s_{c}") for c in FEATURES],
+        *[F.sum(exact[c] * exact[c]).alias(f"q_{c}") for c in FEATURES]).first()
+    n = one["n"]
+    if not n:
+        return Scaling(0, (0.0,) * len(FEATURES), (0.0,) * len(FEATURES))
+    mean = {c: Fraction(one[f"s_{c}"]) / n for c in FEATURES}
+    spread = {c: Fraction(one[f"q_{c}"]) / n - mean[c] ** 2 for c in FEATURES}
+    return Scaling(n, tuple(float(mean[c]) for c in FEATURES), tuple(math.sqrt(spread[c]) for c in FEATURES))
+
+
+def scaler_stage(spark: SparkSession, scaling: Scaling) -> StandardScalerModel:
+    """The fitted standardiser, as a pipeline stage, that has these moments."""
+    vector = lambda x: _py2java(spark.sparkContext, Vectors.dense(x))
+    java = spark.sparkContext._jvm.org.apache.spark.ml.feature.StandardScalerModel(
+        "risk_scaler", vector(scaling.deviation), vector(scaling.mean))
+    for name, value in (("withMean", True), ("withStd", True), ("inputCol", "_features_raw"), ("outputCol", "_features")):
+        java.set(java.getParam(name), value)
+    stage = StandardScalerModel(java)
+    stage._transfer_params_from_java()
+    return stage
+
+
+def risk_pipeline(spark: SparkSession, scaling: Scaling, trees: int = 100, seed: int = 42, max_depth: int = 12,
                   max_bins: int = 64) -> Pipeline:
-    """F1-F3 as an unfitted pipeline.
+    """F1-F3 as an unfitted pipeline, but for the standardiser, which has its moments.
 
     The caller leaves out or fills rows with a missing feature.  The dashboard's
     trees grow without a limit; Spark's stop at depth 30 at most, and each level
@@ -47,33 +94,47 @@ def risk_pipeline(trees: int = 100, seed: int = 42, max_depth: int = 12,
     a lost executor recomputes from the last checkpoint, not from the start.
     """
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features_raw")
-    scaler = StandardScaler(inputCol="_features_raw", outputCol="_features",
-                            withMean=True, withStd=True)
     forest = RandomForestRegressor(featuresCol="_features", labelCol=M.RISK, predictionCol=SCORE,
                                    numTrees=trees, maxDepth=max_depth, maxBins=max_bins,
                                    seed=seed, featureSubsetStrategy="all",
                                    cacheNodeIds=True, checkpointInterval=10)
-    return Pipeline(stages=[assembler, scaler, forest])
+    return Pipeline(stages=[assembler, scaler_stage(spark, scaling), forest])
 
 
 _MODELS: list[tuple] = []
 _KEPT_MODELS = 4
 
 
-def training_rows(df: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
-                  partitions: int = TRAIN_PARTITIONS, seed: int = 42) -> DataFrame:
-    """the complete labelled rows, at most about ``max_rows`` of them.
+def training_sample(df: DataFrame, max_rows: int = MAX_TRAIN_ROWS, seed: int = 42) -> DataFrame:
+    """the complete labelled rows, or exactly ``max_rows`` of them: those with the least hashes of their key.
 
-    The share that is kept follows from one count; a row is in it by a hash of
-    its key, and its partition and place in it by the same hash.
+    The hash is the first 60 bits of the MD5 of seed, product, date, store and row
+    sequence, so any layout of the table, and any engine, gives the same rows.  Rows with
+    equal hashes follow their values.  The hashes are counted by their first 16 bits;
+    all rows of the buckets before the bound are in, and only its own bucket is sorted.
     """
-    rows = df.select(S.PRODUCT, S.OBS_DATE, S.STORE, S.ROW_SEQ, *FEATURES, F.col(M.RISK).cast("double").alias(M.RISK)) \
+    key = [S.PRODUCT, S.OBS_DATE, S.STORE, S.ROW_SEQ]
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])
+    place = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    rows = df.select(*key, *FEATURES, F.col(M.RISK).cast("double").alias(M.RISK), place.alias("_place")) \
         .dropna(subset=[*FEATURES, M.RISK])
-    place = F.xxhash64(F.lit(seed), S.PRODUCT, S.OBS_DATE, S.STORE, F.col(S.ROW_SEQ).cast("decimal(38,0)"))
-    rows = rows.select(*FEATURES, M.RISK, place.alias("_place"))
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod("_place", F.lit(1 << 40)) < int(max_rows / n * (1 << 40)))
+    bucket = F.shiftright("_place", 44)
+    sizes = sorted(tuple(r) for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())  # 65536 at most
+    if sum(n for _, n in sizes) <= max_rows:
+        return rows
+    left = max_rows
+    for last, n in sizes:
+        if n > left:
+            break
+        left -= n
+    some = rows.where(bucket == last).orderBy("_place", *FEATURES, M.RISK, *key).limit(left)
+    return rows.where(bucket < last).unionByName(some)
+
+
+def training_rows(df: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
+                  partitions: int = TRAIN_PARTITIONS, seed: int = 42) -> DataFrame:
+    """the training sample, dealt and sorted by its rows' hashes."""
+    rows = training_sample(df, max_rows, seed)
     # pmod of the place, not a hash partitioner, so that equal counts of partitions mean equal contents
     part = F.pmod(F.shiftright("_place", 20), F.lit(partitions)).cast("int")
     return rows.withColumn("_part", part).repartitionById(partitions, "_part") \
@@ -97,7 +158,7 @@ def fit_risk_model(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: i
             return model
     train = training_rows(df, max_train_rows, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = risk_pipeline(trees, seed, max_depth).fit(train)
+        model = risk_pipeline(df.sparkSession, fit_scaling(df), trees, seed, max_depth).fit(train)
     finally:
         train.unpersist()
     _MODELS[:] = [*[m for m in _MODELS if m[0][0] == app], (asked, df, model)][-_KEPT_MODELS:]
@@ -105,14 +166,14 @@ def fit_risk_model(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: i
 
 
 def feature_scaling(df: DataFrame) -> DataFrame:
-    """mean and population deviation of each feature over the complete rows, and their number."""
-    rows = df.select(*FEATURES).dropna()
-    one = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in FEATURES
-                                                   for k, f in (("mean", F.avg), ("dev", F.stddev_pop))])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), round_half_even(F.col(f"mean_{c}"), 6).alias("mean"),
-                 round_half_even(F.col(f"dev_{c}"), 6).alias("deviation"), F.col("n").alias("row_count"))
-        for c in FEATURES])))
+    """mean and deviation of each feature as the model's standardiser has them, and the rows they are of."""
+    scaling = fit_scaling(df)
+    stage = scaler_stage(df.sparkSession, scaling)
+    rows = list(zip(FEATURES, stage.mean.toArray().tolist(), stage.std.toArray().tolist(), [scaling.rows] * len(FEATURES)))
+    # as SQL has them: no mean of no rows
+    moment = lambda c: F.when(F.col("row_count") > 0, round_half_even(F.col(c), 6)).alias(c)
+    return df.sparkSession.createDataFrame(rows, "feature string, mean double, deviation double, row_count bigint") \
+        .select("feature", moment("mean"), moment("deviation"), "row_count")
 
 
 def current_product_rows(df: DataFrame, which: str = "last", columns: Sequence[str] | None = None,
@@ -156,6 +217,79 @@ def risk_scores(df: DataFrame, trees: int = 100, seed: int = 42, max_depth: int
         S.PRODUCT, S.OBS_DATE, *FEATURES, SCORE, "risk_level")
 
 
+def forest_table(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """the fitted forest, a row for each node: (tree, node, feature, threshold, left, right, value).
+
+    A row goes left where its scaled feature (mean subtracted, divided by the
+    deviation) is at most the threshold; a leaf has no feature, and its value is the
+    tree's prediction.
+    """
+    path = scratch_path(spark, f"forest-{uuid.uuid4().hex}")
+    model.stages[-1].write().save(path)
+    names = F.array(*[F.lit(c) for c in FEATURES])
+    n = F.col("nodeData")
+    inner = n["leftChild"] >= 0
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"),
+        F.when(inner, F.get(names, n["split"]["featureIndex"])).alias("feature"),
+        F.when(inner, F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(inner, n["leftChild"]).alias("left"), F.when(inner, n["rightChild"]).alias("right"),
+        n["prediction"].alias("value"))
+
+
+def walk_forest(nodes: DataFrame, scaler: StandardScalerModel, rows: DataFrame, key: str = S.PRODUCT) -> DataFrame:
+    """(key, risk_score) of each row by walking the forest's table; rows without a feature have no score.
+
+    A row meets every tree in a join on the tree's number; a tree is one row of arrays.
+    Values are added in the order of the trees, as the model adds them.
+    """
+    count = nodes.count()
+    packed = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct(
+        "node", F.coalesce(F.array_position(F.array(*[F.lit(c) for c in FEATURES]), F.col("feature")).cast("int") - 1,
+                           F.lit(-1)).alias("f"), "threshold", "left", "right", "value"))).alias("n")) \
+        .select("tree", *[F.col(f"n.{c}").alias(f"t_{c}") for c in ("f", "threshold", "left", "right", "value")],
+                F.size("n").alias("t_size"))
+    if count * 48 <= BROADCAST_BYTES:
+        packed = F.broadcast(packed)
+    trees = nodes.select(F.max("tree")).first()[0] + 1
+    scaled = [(F.col(c) - F.lit(m)) * F.lit(1 / d if d else 0.0) for c, m, d in zip(
+        FEATURES, scaler.mean.toArray().tolist(), scaler.std.toArray().tolist())]
+    whole = F.lit(True)
+    for c in FEATURES:
+        whole = whole & F.col(c).isNotNull()
+    met = rows.where(whole).select(key, F.array(*scaled).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")) \
+        .join(packed, "tree")
+    depth = F.sequence(F.lit(1), F.least(F.col("t_size"), F.lit(31)))  # Spark's trees have 30 levels at most
+
+    def step(at, _):
+        low = F.get("x", F.get("t_f", at)) <= F.get("t_threshold", at)
+        return F.when(F.get("t_f", at) < 0, at).when(low, F.get("t_left", at)).otherwise(F.get("t_right", at))
+
+    leaf = F.get("t_value", F.aggregate(depth, F.lit(0), step))
+    value = met.select(key, "tree", leaf.alias("value")).groupBy(key) \
+        .agg(F.sort_array(F.collect_list(F.struct("tree", "value"))).alias("v"))  # a value for each tree
+    total = F.aggregate(F.col("v.value"), F.lit(0.0), lambda a, v: a + v)
+    return rows.select(key).join(value.select(key, (total / F.lit(float(trees))).alias(SCORE)), key, "left")
+
+
+def forest_nodes(df: DataFrame) -> DataFrame:
+    """the forest fitted on the table, as a table."""
+    return forest_table(fit_risk_model(df), df.sparkSession)
+
+
+def forest_scores(df: DataFrame) -> DataFrame:
+    """every product's score and level, from the forest's table alone."""
+    model = fit_risk_model(df)
+    rows = current_product_rows(df, columns=(S.OBS_DATE, *FEATURES))
+    return with_risk_level(walk_forest(forest_table(model, df.sparkSession), model.stages[1], rows))
+
+
+def training_report(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """a training sample of that size, its row sequence as text."""
+    return training_sample(df, max_rows).select(
+        S.PRODUCT, S.OBS_DATE, S.STORE, F.col(S.ROW_SEQ).cast("string").alias(S.ROW_SEQ), *FEATURES, M.RISK)
+
+
 def risk_inputs(df: DataFrame) -> DataFrame:
     """F5 without the fitted score: the rows it scores, and whether it can."""
     rows = current_product_rows(df, columns=(S.OBS_DATE, *FEATURES))

@@ -112,10 +112,13 @@ REPORTS: dict[str, Report] = {
     "w3_seasonal_exposure": W.seasonal_exposure,
     "w5_category_outlook": W.category_outlook,
     # risk model and order advice
+    "f1_training_rows": F.training_report,
     "f2_feature_scaling": F.feature_scaling,
+    "f3_forest_nodes": F.forest_nodes,
     "f4_current_product_rows": F.current_product_rows,
     "f5_risk_inputs": F.risk_inputs,
     "f5_risk_scores": F.risk_scores,
+    "f5_forest_scores": F.forest_scores,
     "f7_order_recommendation": F.order_recommendation,
     "f10_supply_scenarios": F.supply_scenarios,
 }
@@ -217,4 +220,4 @@ QUERIES["s3_load_guard"] = load_guard
 QUERIES["s5_missing_values"] = missing_values
 
 # Reports whose result has no SQL oracle (a fitted model).
-MODEL_REPORTS = ("f5_risk_scores",)
+MODEL_REPORTS = ("f3_forest_nodes", "f5_risk_scores", "f5_forest_scores")

@@ -632,6 +632,13 @@ SQL["f2_feature_scaling"] = _with(" UNION ALL ".join(f"""
 SELECT '{c}' AS feature, {round6(f'avg({c})')} AS mean, {round6(f'stddev_pop({c})')} AS deviation,
  CAST(count(*) AS BIGINT) AS row_count FROM enr WHERE {_WHOLE}""" for c in _FEATURES))
 
+SQL["f1_training_rows"] = _with(f"""
+SELECT product_id, obs_date, store_id, row_seq, {', '.join(_FEATURES)}, stockout_risk FROM (
+ SELECT * REPLACE (CAST(row_seq AS VARCHAR) AS row_seq, CAST(stockout_risk AS DOUBLE) AS stockout_risk), row_number() OVER (
+  ORDER BY substr(md5(concat_ws('|', '42', CAST(product_id AS VARCHAR), CAST(obs_date AS VARCHAR), store_id,
+   CAST(row_seq AS VARCHAR))), 1, 15), {', '.join(_FEATURES)}, stockout_risk) AS k
+ FROM enr WHERE {_WHOLE} AND stockout_risk IS NOT NULL) WHERE k <= 20000""")
+
 SQL["f5_risk_inputs"] = _with(
     f"SELECT product_id, obs_date, {', '.join(_FEATURES)}, {_WHOLE} AS scored FROM cur", CURRENT_CTE)
 
@@ -644,9 +651,18 @@ SELECT product_id, CAST(count(*) AS BIGINT) AS history_rows FROM enr
 WHERE category = 'Toys' AND store_id = 'EUROPE' AND product_id IS NOT NULL
 GROUP BY product_id HAVING count(*) >= 2""")
 
-SQL["p2_scoped_kpis"] = SQL["p4_snapshot_kpis"].replace("FROM snap", "FROM snap WHERE category = 'Toys'")
 
-SQL["p2_scoped_top_sellers"] = SQL["p6_top_sellers"].replace("FROM snap", "FROM snap WHERE store_id = 'EUROPE'")
+
+def _instead(sql: str, old: str, new: str) -> str:
+    """``sql`` with its one ``old`` text as ``new``; a changed base text is an error, not another query."""
+    if sql.count(old) != 1:
+        raise ValueError(f"{old!r} occurs {sql.count(old)} times in: {sql}")
+    return sql.replace(old, new)
+
+
+SQL["p2_scoped_kpis"] = _instead(SQL["p4_snapshot_kpis"], "FROM snap", "FROM snap WHERE category = 'Toys'")
+
+SQL["p2_scoped_top_sellers"] = _instead(SQL["p6_top_sellers"], "FROM snap", "FROM snap WHERE store_id = 'EUROPE'")
 
 SQL["s5_missing_values"] = """
 SELECT CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN ' NA ' ELSE l_returnflag END AS l_returnflag,
@@ -654,7 +670,7 @@ SELECT CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN ' NA ' ELSE l_returnfl
  SUM(CASE WHEN l_quantity <> 13 THEN CAST(l_quantity AS DOUBLE) END) AS quantity
 FROM lineitem GROUP BY 1"""
 
-SQL["s1_csv_ingest"] = SQL["h1_stock_health"].replace(
+SQL["s1_csv_ingest"] = _instead(SQL["h1_stock_health"],
     "AS total_rows\nFROM enr", """AS total_rows,
  min(obs_date) AS first_date, max(obs_date) AS last_date, CAST(count(*) AS BIGINT) AS row_numbers
 FROM enr""")

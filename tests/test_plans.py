@@ -131,3 +131,25 @@ def test_latest_snapshot_prunes_date_partitions(spark):
 def test_no_cross_join(table, name):
     p = plan(REPORTS[name](table))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_ranks_are_numbered_where_the_rows_lie(table, spark):
+    """A window only ever sees the counts of partitions."""
+    from pyspark.sql import functions as F
+
+    from shelfwise.operators.common import ranked
+    for name in ("h13_category_share", "h14_value_share"):
+        windows = [n for n, kind, _ in nodes(REPORTS[name](table)._jdf.queryExecution().executedPlan()) if kind == "Window"]
+        assert windows
+        for w in windows:
+            first = next(n for n, kind, _ in nodes(w) if "Aggregate" in kind)
+            assert "output=[_part" in first.toString().split("\n")[0]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # partitions aren't put together
+    try:
+        rows = spark.range(5000).select(((F.col("id") * 37) % 101).alias("v"), F.col("id").alias("k"))
+        out = ranked(rows, [F.col("v").desc(), F.col("k")], "r").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    want = sorted(out, key=lambda r: (-r["v"], r["k"]))
+    assert [r["r"] for r in want] == list(range(1, 5001))
