@@ -68,7 +68,7 @@ class Counter:
         self.length = np.array([len(p) for p, _ in vocab], np.int64)
         self.score = np.array([s for _, s in vocab], np.float64)
         self.unknown = (self.score.min() if len(vocab) else 0.0) - UNKNOWN_PENALTY
-        self.seen: dict[int, tuple[int, int]] = {}
+        self.seen: dict[tuple[int, int], tuple[int, int]] = {}  # by both hashes of a word
 
     def count(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, unknown pieces) of each word."""
@@ -128,10 +128,14 @@ class Counter:
 
     def of(self, w) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, unknown pieces) of every word of a run of texts."""
-        keys, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        one, two = w.hashes()
+        keys, first, which = np.unique(one, return_index=True, return_inverse=True)
+        if not (two[first][which] == two).all():  # words that differ share the first hash
+            keys, first, which = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_inverse=True)
+            which = which.reshape(-1)
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        hashes = keys.tolist()
+        hashes = list(zip(one[first].tolist(), two[first].tolist()))
         fresh = [i for i, h in enumerate(hashes) if h not in self.seen]
         if fresh:
             raw = w.data.tobytes()

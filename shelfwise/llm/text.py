@@ -1,5 +1,11 @@
 """Words, word hashes and window hashes of Arrow text columns, with numpy.
 
+A word has two 64-bit hashes.  Its bytes are taken eight at a time: a word of up to
+eight bytes is one number, and both hashes are bijections of it and the length, so no
+two such words share either; one of up to sixteen bytes is two numbers, mixed in
+different order; longer ones, which are rare, go through BLAKE2b.  None of it is linear
+in the bytes, so no regular pattern of letters makes two words equal.
+
 A word is a maximal run of bytes other than space and ``\\t``..``\\r``, which is
 ``[^\\x20\\x09-\\x0D]+`` on UTF-8.  Texts are scanned as whole byte buffers, a few
 hundred kilobytes at a time, so no Python object is made per word.
@@ -7,6 +13,7 @@ hundred kilobytes at a time, so no Python object is made per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,15 +21,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 18
-HASH_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: the low bytes of a little-endian number, by how many of them a word has
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LENGTH = np.uint64(0xA24BAED4963EE407)
+_OTHER = np.uint64(0x9FB21C651E98DF25)
 _MULT = {1: np.uint64(0x9E3779B97F4A7C15), 2: np.uint64(0xD1342543DE82EF95)}
 _INV = {k: np.uint64(pow(int(v), -1, 1 << 64)) for k, v in _MULT.items()}
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
@@ -67,33 +75,39 @@ class Words:
         self.at = np.searchsorted(self.starts, bounds)
         self._fold = _LOWER if fold else _SAME
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        out = np.empty(len(self.starts), np.uint64)
-        i, n = 0, len(self.starts)
-        while i < n:
-            lo = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, lo + HASH_BYTES, "right")))
-            part = _BYTE[self._fold[self.data[lo:self.ends[j - 1]]]]
-            run = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(part * _powers(len(part), 1, False), out=run[1:])
-            s, e = self.starts[i:j] - lo, self.ends[i:j] - lo
-            h = (run[e] - run[s]) * _powers(len(part), 1, True)[s]
-            out[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-            i = j
-        return out
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each word's bytes."""
+        n = self.ends - self.starts
+        data = np.zeros(len(self.data) + 16, np.uint8)
+        data[:len(self.data)] = self._fold[self.data]
+        at_byte = np.ndarray(len(self.data) + 9, "<u8", buffer=data, strides=(1,))  # the eight bytes from each place
+        one = at_byte[self.starts] & _LOW[np.minimum(n, 8)]
+        one += n.astype(np.uint64) * _LENGTH
+        first, second = mix(one), mix(one ^ _OTHER)
+        two = np.flatnonzero(n > 8)
+        if len(two):
+            rest = mix(at_byte[self.starts[two] + 8] & _LOW[np.minimum(n[two] - 8, 8)] ^ _LENGTH)
+            first[two] = mix(first[two] + rest)
+            second[two] = mix(rest * _OTHER ^ second[two])
+        for i in np.flatnonzero(n > 16).tolist():
+            digest = hashlib.blake2b(data[self.starts[i]:self.ends[i]], digest_size=16).digest()
+            first[i], second[i] = np.frombuffer(digest, "<u8")
+        return first, second
 
     def text(self, i: int) -> bytes:
         return self.data[self.bounds[i]:self.bounds[i + 1]].tobytes()
 
 
 def window_hashes(h: np.ndarray, length: int, kind: int = 1) -> np.ndarray:
-    """A 64-bit hash of each ``length`` consecutive words (of one text or across)."""
+    """A 64-bit hash of each ``length`` consecutive words (of one text or across), given their hashes.
+
+    Both kinds, each of its own hashes of the words, are one hash of 128 bits.
+    """
     n = len(h) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum((h if kind == 1 else mix(h)) * _powers(len(h), kind, False), out=run[1:])
+    np.cumsum(h * _powers(len(h), kind, False), out=run[1:])
     return mix((run[length:] - run[:n]) * _powers(n, kind, True))
 
 
