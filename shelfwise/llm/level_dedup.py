@@ -79,28 +79,20 @@ def _joined(w, i: int, keep: np.ndarray | None = None) -> bytes:
     return out[:-1].tobytes()
 
 
-def _row_key(w) -> np.ndarray:
-    """A hash of each text's word sequence, which tells rows with one id apart."""
-    return np.array([np.int64(int.from_bytes(hashlib.blake2b(_joined(w, i), digest_size=8).digest(),
-                                             "little", signed=True)) for i in range(w.n_texts)], np.int64)
-
-
 def _first_pass(docs: DataFrame, window: int) -> DataFrame:
     ids = docs.schema["doc_id"].dataType
     others = docs.schema.fields[2:]
     schema = T.StructType([T.StructField("doc_id", ids), T.StructField("n_words", T.LongType()),
-                           T.StructField("sha", T.StringType()), T.StructField("fp", T.LongType()),
+                           T.StructField("sha", T.StringType()),
                            T.StructField("anchors", T.ArrayType(T.LongType())), *others])
 
     def run(batches):
         for batch in batches:
             for w in scan(batch.column(1)):
-                h = w.hashes()
-                sha, anchors, fps = [], [], []
+                h, _ = w.hashes()
+                sha, anchors = [], []
                 for i in range(w.n_texts):
-                    joined = _joined(w, i)
-                    sha.append(hashlib.sha256(joined).hexdigest())
-                    fps.append(int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True))
+                    sha.append(hashlib.sha256(_joined(w, i)).hexdigest())
                     own = h[w.at[i]:w.at[i + 1]]
                     if len(own) >= window:
                         low, at = _anchors(own, window)
@@ -109,16 +101,16 @@ def _first_pass(docs: DataFrame, window: int) -> DataFrame:
                         anchors.append(np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(w.first, w.n_texts), pa.array(np.diff(w.at).astype(np.int64)),
-                     pa.array(sha), pa.array(fps, pa.int64()), _lists(anchors, np.int64),
+                     pa.array(sha), _lists(anchors, np.int64),
                      *[batch.column(2 + k).slice(w.first, w.n_texts) for k in range(len(others))]], names=schema.names)
 
     return docs.mapInArrow(lean(run), schema)
 
 
 def _full_windows(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, fp, start, h, g) of the full windows whose anchor is among the row's ``hits``."""
+    """(doc_id, row, start, h, g) of the full windows whose anchor is among the row's ``hits``."""
     ids = texts.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", ids), T.StructField("fp", T.LongType()),
+    schema = T.StructType([T.StructField("doc_id", ids), T.StructField("row", T.LongType()),
                            T.StructField("at", T.ArrayType(T.IntegerType())),
                            T.StructField("h", T.ArrayType(T.LongType())),
                            T.StructField("g", T.ArrayType(T.LongType()))])
@@ -127,7 +119,7 @@ def _full_windows(texts: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             hits = batch.column(2)
             for w in scan(batch.column(1)):
-                h = w.hashes()
+                h, other = w.hashes()
                 at, hs, gs = [], [], []
                 for i in range(w.n_texts):
                     own = h[w.at[i]:w.at[i + 1]]
@@ -143,14 +135,14 @@ def _full_windows(texts: DataFrame, window: int) -> DataFrame:
                     starts = np.flatnonzero(known[anchor])
                     at.append(starts.astype(np.int32))
                     hs.append(window_hashes(own, window)[starts].view(np.int64))
-                    gs.append(window_hashes(own, window, kind=2)[starts].view(np.int64))
+                    gs.append(window_hashes(other[w.at[i]:w.at[i + 1]], window, kind=2)[starts].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.n_texts), pa.array(_row_key(w)),
+                    [batch.column(0).slice(w.first, w.n_texts), batch.column(3).slice(w.first, w.n_texts),
                      _lists(at, np.int32), _lists(hs, np.int64), _lists(gs, np.int64)], names=schema.names)
 
-    packed = texts.select("doc_id", "text", "hits").mapInArrow(lean(run), schema)
-    return packed.select("doc_id", "fp", F.inline(F.arrays_zip("at", "h", "g"))) \
-        .toDF("doc_id", "fp", "start", "h", "g")
+    packed = texts.select("doc_id", "text", "hits", "row").mapInArrow(lean(run), schema)
+    return packed.select("doc_id", "row", F.inline(F.arrays_zip("at", "h", "g"))) \
+        .toDF("doc_id", "row", "start", "h", "g")
 
 
 def _cover(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -162,12 +154,12 @@ def _cover(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def _last_pass(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """What is left of each text; the starts of another row of a repeated id are passed over."""
+    """What is left of each text."""
     ids = texts.schema["doc_id"].dataType
-    fields = [T.StructField("doc_id", ids), T.StructField("fp", T.LongType()),
+    fields = [T.StructField("doc_id", ids), T.StructField("row", T.LongType()),
               T.StructField("cut_removed", T.LongType()), T.StructField("cut_sha", T.StringType())]
     if with_text:
-        fields += [T.StructField("row", T.LongType()), T.StructField("cut_text", T.StringType())]
+        fields += [T.StructField("cut_text", T.StringType())]
     schema = T.StructType(fields)
 
     def run(batches):
@@ -175,23 +167,20 @@ def _last_pass(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
             starts = batch.column(3)
             for w in scan(batch.column(2)):
                 removed, sha, kept = [], [], []
-                own = np.flatnonzero(_row_key(w) == batch.column(1).to_numpy()[w.first:w.first + w.n_texts])
-                for i in own.tolist():
+                for i in range(w.n_texts):
                     n = int(w.at[i + 1] - w.at[i])
                     gone = _cover(np.asarray(starts[w.first + i].as_py(), np.int64), n, window)
-                    joined = _joined(w, i, ~gone)
                     removed.append(int(gone.sum()))
-                    sha.append(hashlib.sha256(joined).hexdigest())
+                    sha.append(hashlib.sha256(_joined(w, i, ~gone)).hexdigest())
                     if with_text:
                         kept.append(_kept_text(w, i, ~gone))
-                rows = pa.array(own + w.first)
-                arrays = [batch.column(0).take(rows), batch.column(1).take(rows),
+                arrays = [batch.column(0).slice(w.first, w.n_texts), batch.column(1).slice(w.first, w.n_texts),
                           pa.array(removed, pa.int64()), pa.array(sha)]
                 if with_text:
-                    arrays += [batch.column(4).take(rows), pa.array(kept, pa.string())]
+                    arrays.append(pa.array(kept, pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return texts.select("doc_id", "fp", "text", "starts", *(["row"] if with_text else [])).mapInArrow(lean(run), schema)
+    return texts.select("doc_id", "row", "text", "starts").mapInArrow(lean(run), schema)
 
 
 def _kept_text(w, i: int, keep: np.ndarray) -> str:
@@ -223,7 +212,8 @@ def _repeated(docs: DataFrame, window: int, fold: bool = True):
     shared = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     hits = marks.join(cut(shared.select("h"), "shared"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     # the rows of a repeated id share their hits; each looks for them in its own text
-    texts = cut(docs.where("doc_id is not null").join(cut(hits, "hits"), "doc_id").select(*docs.columns, "hits"), "texts")
+    texts = cut(docs.where("doc_id is not null").join(cut(hits, "hits"), "doc_id")
+                .select("doc_id", "text", "row", "hits"), "texts")
     return first, classes, texts
 
 
@@ -232,18 +222,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, on request, ``kept_text``.
 
     ``kept_text`` is null for rows that lose nothing, so that their texts need no shuffle;
-    with it goes ``row``, the xxhash64 of the text, which tells rows with one id apart.
+    with it goes ``row``, a hash of the text, which tells rows with one id apart.
     """
-    row = [F.xxhash64(F.col(text)).alias("row")] if with_text else []
-    key = ["doc_id", "fp", *(["row"] if with_text else [])]
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *row)
+    key = ["doc_id", "row"]
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     first, classes, texts = _repeated(docs, window)
     wide = cut(_full_windows(texts, window), "windows")
     found = wide.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")) \
         .where("lo < hi").select("h", "g", "lo")
     starts = wide.join(cut(found, "found"), ["h", "g"]).where("lo < doc_id") \
-        .groupBy("doc_id", "fp").agg(F.collect_set("start").alias("starts"))
-    hit = texts.drop("hits").join(cut(starts, "starts"), "doc_id")
+        .groupBy(*key).agg(F.collect_set("start").alias("starts"))
+    hit = texts.drop("hits").join(cut(starts, "starts"), key)
     done = cut(_last_pass(hit, window, with_text).dropDuplicates(key), "done")
     rows = first.drop("anchors").join(classes, ["sha", "n_words"], "left").join(done, key, "left")
     whole = F.coalesce(F.col("smallest") < F.col("doc_id"), F.lit(False))
@@ -252,32 +241,32 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
            F.when(whole, F.col("n_words")).otherwise(F.coalesce("cut_removed", F.lit(0).cast("long"))).alias("n_removed"),
            F.when(whole, F.lit(empty)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256")]
     if with_text:
-        out += [F.col("fp"), F.col("row"), F.when(whole, F.lit("")).otherwise(F.col("cut_text")).alias("kept_text")]
+        out += [F.col("row"), F.when(whole, F.lit("")).otherwise(F.col("cut_text")).alias("kept_text")]
     return rows.select(*out)
 
 
 def longest_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, start, length): per start, the longest doubled length that repeats in another document.
+    """(doc_id, row, start, length): per start, the longest doubled length that repeats in another document.
 
     From the windows that repeat at ``window`` words, each level pairs a window
     with the one that begins where it ends; pairs seen in one document alone
     drop out, and the loop ends when none survive.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     _, _, texts = _repeated(docs, window, fold=False)
     level, length, done = cut(_full_windows(texts, window), "windows"), window, None
     while True:
         shared = level.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
         level = cut(level.join(cut(shared.select("h", "g"), "shared"), ["h", "g"]), "level")
         if level.isEmpty():
-            return done if done is not None else level.select("doc_id", "fp", "start", F.lit(length).alias("length"))
-        now = level.select("doc_id", "fp", "start", F.lit(length).alias("length"))
+            return done if done is not None else level.select("doc_id", "row", "start", F.lit(length).alias("length"))
+        now = level.select("doc_id", "row", "start", F.lit(length).alias("length"))
         done = now if done is None else cut(
-            done.union(now).groupBy("doc_id", "fp", "start").agg(F.max("length").alias("length")), "lengths")
-        after = level.select("doc_id", "fp", (F.col("start") - length).alias("start"),
+            done.union(now).groupBy("doc_id", "row", "start").agg(F.max("length").alias("length")), "lengths")
+        after = level.select("doc_id", "row", (F.col("start") - length).alias("start"),
                              F.col("h").alias("h2"), F.col("g").alias("g2"))
-        level = cut(level.join(after, ["doc_id", "fp", "start"]).select(
-            "doc_id", "fp", "start", F.xxhash64("h", "g", "h2", "g2").alias("h"),
+        level = cut(level.join(after, ["doc_id", "row", "start"]).select(
+            "doc_id", "row", "start", F.xxhash64("h", "g", "h2", "g2").alias("h"),
             F.xxhash64("g2", "h2", "g", "h").alias("g")), "pairs")
         length *= 2
 

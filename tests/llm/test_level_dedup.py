@@ -85,3 +85,11 @@ def test_longest_repeats_of_exact_copies(spark):
     rows = [doc(1, text), doc(2, text), doc(3, prose(302, 230)), doc(4, prose(303, 60)), doc(4, prose(303, 60))]
     got = sorted((r["doc_id"], r["start"], r["length"]) for r in s.longest_repeats(frame(spark, rows)).collect())
     assert got == [(i, k, 200 if k <= 30 else 100 if k <= 130 else 50) for i in (1, 2) for k in range(181)]
+
+
+def test_many_rows_of_one_id_are_read_once_each(spark, monkeypatch):
+    shared, seen, last = prose(1, 60), [], s._last_pass
+    monkeypatch.setattr(s, "_last_pass", lambda texts, *a: (seen.append(texts.count()), last(texts, *a))[1])
+    rows = [doc(1, shared)] + [doc(2, f"{prose(k, 20)} {shared}") for k in range(2, 42)] * 2
+    got = s.substring_dedup(frame(spark, rows)).where("doc_id = 2").collect()
+    assert seen == [80] and len(got) == 80 and all(r["n_removed"] == 60 for r in got)
