@@ -14,9 +14,10 @@ of at least their Jaccard similarity.  Steps:
 3. estimate the similarity jointly by likelihood from the registers, drop pairs
    far below the bound, and verify the rest on the full shingle sets;
 4. link up; buckets whose members are still in different components are then
-   compared completely, again estimate first: small buckets pair by pair, larger
-   ones in blocks of members, where a pair is verified only while its components
-   are apart, so a block returns fewer links than it has members.
+   compared completely: small buckets pair by pair, larger ones in blocks of members.
+   A block's task lists no pairs.  It looks up, for each member, those that share one
+   of its rarest shingles (an exact prefix filter), asks the estimate, and verifies a
+   pair only while its components are apart, so fewer edges leave it than it has members.
 
 At similarity 0.8 a pair shares none of the 32 bands with probability 5e-8, and
 the estimate drops it with 1e-5.
@@ -61,7 +62,7 @@ def _salt(k: int) -> np.uint64:
 
 def shingles(words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of the distinct shingles of a run of texts."""
-    h, at = words.hashes(), words.at
+    h, at = words.hashes()[0], words.at
     n = np.diff(at)
     full = window_hashes(h, size)
     text = runs(at)
@@ -242,12 +243,10 @@ def _small(rows: DataFrame) -> DataFrame:
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
-def _partners(rows: DataFrame, reps: DataFrame, bound: float) -> DataFrame:
-    """Of the larger buckets, in blocks: (band, value, b1, b2, rep, component, partners).
+def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """The larger buckets dealt to tasks (band, value, b1, b2) of two blocks, with sizes and registers.
 
-    A task holds two blocks of at most BLOCK members and BLOCK_SHINGLES shingles
-    on average.  Partners are members of other components whose estimate isn't far
-    below the bound, best first; a pair is taken in the first band it shares.
+    A block has at most BLOCK members and BLOCK_SHINGLES shingles on average.
     """
     n_blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     mine = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
@@ -255,83 +254,118 @@ def _partners(rows: DataFrame, reps: DataFrame, bound: float) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
         .select("band", "value", "rep", "component", "mine", F.least("mine", "other").alias("b1"),
                 F.greatest("mine", "other").alias("b2"))
-    rows = rows.join(reps.select("rep", "n", "regs"), "rep")
-    ids = reps.schema["rep"].dataType
-    schema = T.StructType([rows.schema[c] for c in (*TASK, "rep", "component")] + [
-        T.StructField("partners", T.ArrayType(ids))])
-    floor = _floor(bound)
+    return rows.join(reps.select("rep", "n", "regs"), "rep")
+
+
+class _Task:
+    """The members of two blocks, and which pairs of them a task has to look at."""
+
+    def __init__(self, group: pa.Table, bound: float):
+        self.band, self.b1, self.b2 = (group.column(c)[0].as_py() for c in ("band", "b1", "b2"))
+        self.key = group.column("rep").to_numpy()
+        self.mine = group.column("mine").to_numpy()
+        _, self.comp = np.unique(group.column("component").to_numpy(), return_inverse=True)
+        self.n = group.column("n").to_numpy().astype(float)
+        self.regs = np.concatenate([_unpack(c) for c in group.column("regs").chunks])
+        self.bands = self.regs.view(np.int64)
+        self.bound, self.floor = bound, _floor(bound)
+
+    def partners(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Of the members ``js``, those of other components whose similarity to ``i`` isn't estimated far below the bound.
+
+        A pair is looked at in the first band that it shares, by its smaller member
+        within a block and by the first block's between two.
+        """
+        js = js[self.comp[js] != self.comp[i]]
+        js = js[(self.key[js] > self.key[i]) if self.b1 == self.b2 else (self.mine[js] != self.mine[i])]
+        js = js[np.minimum(self.n[js], self.n[i]) >= self.bound * np.maximum(self.n[js], self.n[i]) - 1e-9]
+        if self.band:
+            js = js[~(self.bands[js, :self.band] == self.bands[i, :self.band]).any(axis=1)]
+        js = js[(self.regs[js] == self.regs[i]).mean(axis=1) >= self.floor - 0.02]  # cheaper than the likelihood
+        if len(js):
+            est = similarity(np.repeat(self.regs[i:i + 1], len(js), 0), self.regs[js], np.full(len(js), self.n[i]), self.n[js])
+            js = js[np.argsort(-est, kind="stable")][:int((est >= self.floor).sum())]
+        return js
+
+    def first(self) -> np.ndarray:
+        return np.flatnonzero(self.mine == self.b1)
+
+
+def _in_question(blocks: DataFrame, bound: float) -> DataFrame:
+    """The rows of members with a partner in their task: only their texts need to be looked at."""
+    schema = T.StructType([blocks.schema[c] for c in (*TASK, "rep")])
 
     def run(group: pa.Table) -> pa.Table:
-        band, b1, b2 = (group.column(c)[0].as_py() for c in ("band", "b1", "b2"))
-        rep = group.column("rep").combine_chunks()
-        mine = group.column("mine").to_numpy()
-        _, comp = np.unique(group.column("component").to_numpy(), return_inverse=True)
-        n = group.column("n").to_numpy().astype(float)
-        regs = np.concatenate([_unpack(c) for c in group.column("regs").chunks])
-        bands = regs.view(np.int64)
-        key = rep.to_numpy(zero_copy_only=False)
-        partners = [np.empty(0, np.int64)] * len(key)
-        used = np.zeros(len(key), bool)
-        cols = np.flatnonzero(mine == b2)
-        for i in np.flatnonzero(mine == b1):
-            js = cols[comp[cols] != comp[i]]
-            js = js[(key[js] > key[i]) if b1 == b2 else (key[js] != key[i])]
-            js = js[(np.minimum(n[js], n[i]) >= bound * np.maximum(n[js], n[i]) - 1e-9)]
-            if band:
-                js = js[~(bands[js, :band] == bands[i, :band]).any(axis=1)]
-            js = js[(regs[js] == regs[i]).mean(axis=1) >= floor - 0.02]  # cheaper than the likelihood
-            if len(js):
-                est = similarity(np.repeat(regs[i:i + 1], len(js), 0), regs[js], np.full(len(js), n[i]), n[js])
-                js = js[np.argsort(-est, kind="stable")][:int((est >= floor).sum())]
-                partners[i] = js
-                used[i] |= len(js) > 0
-                used[js] = True
-        kept = np.flatnonzero(used)
-        lists = [partners[i] for i in kept]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        flat = rep.take(pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
-        out = group.select([*TASK, "rep", "component"]).take(pa.array(kept))
-        if len(key) >= BLOCK:
+        task = _Task(group, bound)
+        used = np.zeros(len(task.key), bool)
+        others = np.flatnonzero(task.mine == task.b2)
+        for i in task.first():
+            js = task.partners(i, others)
+            used[i] |= len(js) > 0
+            used[js] = True
+        out = group.select([*TASK, "rep"]).filter(pa.array(used))
+        if len(used) >= BLOCK:
             trim()
-        return out.append_column("partners", pa.ListArray.from_arrays(pa.array(at), flat))
+        return out
 
-    return rows.groupBy(*TASK).applyInArrow(run, schema)
+    return blocks.groupBy(*TASK).applyInArrow(run, schema)
+
+
+def _prefixes(s: np.ndarray, o: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, member) of the rarest shingles of each set, as many as sets near enough must share one of.
+
+    Two sets of which one has n shingles and that are similar enough share at least
+    ``percent`` of these n, so with all shingles in one order, here by rarity, they
+    share one of the first n - percent * n + 1.
+    """
+    _, which, count = np.unique(s, return_inverse=True, return_counts=True)
+    order = np.lexsort((which, count[which], o))
+    s, o, count = s[order], o[order], count[which][order]
+    n = np.bincount(o)
+    at = np.concatenate([[0], np.cumsum(n)])[:-1]
+    keep = np.arange(len(s)) - at[o] < (n - (n * percent + 99) // 100 + 1)[o]
+    keep &= count > 1  # a shingle of one member is shared with none
+    return s[keep], o[keep]
 
 
-def _joined(partners: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _joined(asked: DataFrame, blocks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges (a, b) that join the components of a task's members whose full sets are near enough.
 
-    Members of one component, as found so far, aren't compared again.
+    A pair is verified if it shares a shingle of both prefixes, isn't estimated far below
+    the bound, and its members' components, as found so far, are apart.  Only the
+    edges leave the task: fewer than it has members.
     """
-    rows = partners.join(texts.select("rep", "text"), "rep").select(*TASK, "rep", "component", "partners", "text")
+    rows = asked.join(blocks, [*TASK, "rep"]).join(texts.select("rep", "text"), "rep") \
+        .select(*TASK, "rep", "component", "mine", "n", "regs", "text")
     schema = T.StructType([T.StructField("a", rows.schema["rep"].dataType), T.StructField("b", rows.schema["rep"].dataType)])
 
     def run(group: pa.Table) -> pa.Table:
-        rep, component = group.column("rep").to_pylist(), group.column("component").to_pylist()
-        found, root = {}, {c: c for c in component}
-
-        def top(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
+        task = _Task(group, percent / 100)
+        parts = []
         for w in scan(group.column("text"), fold=True):
             s, o = shingles(w, size)
-            at = np.searchsorted(o, np.arange(w.n_texts + 1))
-            for k in range(w.n_texts):
-                found[rep[w.first + k]] = s[at[k]:at[k + 1]]
-        of = dict(zip(rep, component))
+            parts.append((s, o + w.first))
+        s, o = (np.concatenate(x) for x in zip(*parts))
+        at = np.searchsorted(o, np.arange(len(task.key) + 1))
+        ps, po = _prefixes(s, o, percent)
+        by_member = np.searchsorted(po, np.arange(len(task.key) + 1))
+        order = np.argsort(ps, kind="stable")
+        shingle, member = ps[order], po[order]
+        second = task.mine == task.b2
         a, b = [], []
-        for x, partners in zip(rep, group.column("partners")):
-            for y in partners.as_py():  # one row's at a time
-                cx, cy = top(of[x]), top(of[y])
-                if cx != cy and _near(found[x], found[y], percent):
-                    root[cx] = cy
-                    a.append(x)
-                    b.append(y)
+        for i in task.first():
+            own = ps[by_member[i]:by_member[i + 1]]
+            lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+            if not len(own):
+                continue
+            js = np.unique(np.concatenate([member[x:y] for x, y in zip(lo.tolist(), hi.tolist())]))
+            for j in task.partners(i, js[second[js]]):
+                if task.comp[i] != task.comp[j] and _near(s[at[i]:at[i + 1]], s[at[j]:at[j + 1]], percent):
+                    task.comp[task.comp == task.comp[j]] = task.comp[i]
+                    a.append(task.key[i])
+                    b.append(task.key[j])
         kind = group.schema.field("rep").type
-        found.clear()
-        if len(rep) >= BLOCK:
+        if len(task.key) >= BLOCK:
             trim()
         return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
@@ -368,8 +402,9 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80,
     labels = components(links)
     rest = _open(members, reps, labels)
     few = _estimated(_small(rest), reps, bound)
+    blocks = _blocks(rest, reps)
     more = _verified(few, texts, size, percent) \
-        .union(_joined(cut(_partners(rest, reps, bound), "partners"), texts, size, percent))
+        .union(_joined(cut(_in_question(blocks, bound), "asked"), blocks, texts, size, percent))
     more = cut(more, "more")
     if not more.isEmpty():
         labels = components(links.union(more))

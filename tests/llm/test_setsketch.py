@@ -90,3 +90,36 @@ def test_sketches_merge_and_estimate():
     assert (np.maximum(ra, rb) == s.registers(both, np.zeros(len(both), np.int64), 1)).all()
     est = s.similarity(ra, rb, np.array([3000.0]), np.array([3000.0]))[0]
     assert abs(est - 2400 / 3600) < 0.15
+
+
+def test_prefixes_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        base = rng.integers(0, 60, 40, dtype=np.uint64)
+        found = [np.unique(np.concatenate([base[rng.random(40) < 0.9], rng.integers(0, 90, 4, dtype=np.uint64)])) for _ in range(12)]
+        sh = np.concatenate(found)
+        owner = np.repeat(np.arange(12), [len(x) for x in found])
+        ps, po = s._prefixes(sh, owner, 80)
+        first = [set(ps[po == k].tolist()) for k in range(12)]
+        for a, b in itertools.combinations(range(12), 2):
+            common = len(np.intersect1d(found[a], found[b]))
+            if 100 * common >= 80 * (len(found[a]) + len(found[b]) - common):
+                assert first[a] & first[b]
+
+
+def test_template_pages_leave_no_pair_lists(spark, monkeypatch):
+    # pages of one template, alike in three quarters of their shingles, too little to be linked, and a few that are
+    template, rows = prose(5, 170).split(), []
+    for k in range(120):
+        own = prose(1000 + k, 26, 10 ** 6).split()
+        rows.append(doc(k, " ".join(template + own)))
+    rows += [doc(500 + k, rows[k][1] + " more") for k in range(5)]
+    monkeypatch.setattr(s, "BLOCK", 32)
+    written, cut = {}, s.cut
+    monkeypatch.setattr(s, "cut", lambda df, name: written.setdefault(name, cut(df, name)))
+    got = by_id(s.near_dedup(frame(spark, rows), size=4))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute(rows, 4, 80)
+    assert "partners" not in written
+    tasks = written["asked"].select(*s.TASK).distinct().count()
+    assert written["asked"].count() <= 64 * max(tasks, 1)  # members, not pairs, of each task
+    assert written["more"].count() <= len(rows)
