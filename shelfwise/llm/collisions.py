@@ -1,20 +1,23 @@
-"""Embedding near-dedup by collision counts over sorted projections.
-
-Vectors are compared by cosine.  A plain window on one projection holds a fixed
-share of all rows, so counting its collisions is quadratic; here every table
-first cuts the rows into cells by the signs of ``bits`` random projections and
-then sorts each cell along one more projection.  Two vectors collide in a table
-if they share the cell and lie in each other's window on that projection.  A
-pair that collides in at least ``need`` of the tables is verified in double
-precision.  ``bits`` grows with the logarithm of the rows, so cells keep their
-size; the number of tables and ``need`` follow from the collision probability
-of a pair exactly at the bound, so that such a pair passes with the recall
-asked for and closer pairs pass more often.
-
-Equal vectors form one class first.  A cell larger than a block is compared
-block by block, so no task holds more than two blocks.  A pair is counted in the
-first table in which it collides, and a task returns for each vector its number
-of links and one edge towards its component, never the pairs themselves.
+"""Embedding near-dedup by collision counts over projections.
+
+Vectors are compared by cosine.  A vector is represented by ``PROJECTIONS`` random
+one-dimensional projections, each kept in one byte.  Two vectors collide on a projection
+if they lie in each other's window on it; a pair that collides on at least ``need`` of
+them is verified in double precision, and every pair found near enough counts.
+
+Counting all pairs would be quadratic, so rows first meet in the cells of several
+tables, each made by the signs of ``bits`` more projections.  ``bits`` grows with the
+logarithm of the rows, so cells keep their size, and the number of tables and ``need``
+follow from what a pair exactly at the bound does: it shares a cell and passes the count
+with the recall asked for, closer pairs more often.
+
+Only bytes of projections are dealt to the cells.  A cell's task counts its pairs and
+names the rows that have a partner; their vectors then come to a second task of the
+same cell, which verifies the pairs that pass the count.  A cell larger than a block is
+compared block by block, so no task holds more than two blocks.  A pair is verified in
+the first table in which it shares a cell, and a task returns for each vector its number
+of links and one edge towards its component, never the pairs themselves.  Equal vectors
+form one class first.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths don't link; equal
@@ -37,29 +40,46 @@ from pyspark.sql import types as T
 
 from shelfwise.llm.common import components, cut, table
 
-CELL = 256  # rows a cell should hold
+CELL = 512  # rows a cell should hold
 BLOCK = 2048
 RECALL = 0.97
-WINDOW = 2.5  # half width, in standard deviations of the difference of a pair at the bound
+PROJECTIONS = 48
+WINDOW = 1.2  # half width, in standard deviations of the difference of a pair at the bound
+STEP = 1 / 28  # of a projection, in units of its standard deviation, that one byte tells apart
+MIDDLE, MOST = 100, 200  # bytes of the projections 0 and, at most, 100 steps
 SEED = 7
+STRIPE = 64
+TASK = ("t", "cell", "b1", "b2")
+
+
+def width(bound: float) -> int:
+    """Half the window, in steps; less than 56 of them, so that differences don't wrap around a byte."""
+    return min(55, max(1, round(WINDOW * math.sqrt(2 - 2 * bound) / STEP)))
+
+
+def _at_least(k: int, n: int, p: float) -> float:
+    """The probability of ``k`` or more of ``n``."""
+    return sum(math.comb(n, j) * p ** j * (1 - p) ** (n - j) for j in range(k, n + 1))
 
 
 def calibrate(rows: int, bound: float, recall: float = RECALL) -> tuple[int, int, int]:
     """(bits, tables, need) for so many rows."""
     bits = max(0, math.ceil(math.log2(max(rows, 1) / CELL)))
-    same = (1 - math.acos(bound) / math.pi) ** bits * math.erf(WINDOW / math.sqrt(2))
-    need = 2
-    tables = need
-    while True:
-        miss = sum(math.comb(tables, k) * same ** k * (1 - same) ** (tables - k) for k in range(need))
-        if 1 - miss >= recall:
-            return bits, tables, need
+    share = math.sqrt(recall)  # of the count and of the tables
+    apart = math.sqrt(max(2 - 2 * bound, 1e-12))
+    hit = math.erf(width(bound) * STEP / apart / math.sqrt(2))
+    need = max(k for k in range(1, PROJECTIONS + 1) if k == 1 or _at_least(k, PROJECTIONS, hit) >= share)
+    left = recall / _at_least(need, PROJECTIONS, hit)
+    same = (1 - math.acos(bound) / math.pi) ** bits
+    tables = 1
+    while 1 - (1 - same) ** tables < left:
         tables += 1
+    return bits, tables, need
 
 
-def directions(dim: int, bits: int, tables: int) -> np.ndarray:
-    """(dim, tables, bits + 1) random directions, the same on every executor."""
-    return np.random.default_rng([SEED, dim, bits, tables]).standard_normal((dim, tables, bits + 1))
+def directions(dim: int, count: int, kind: int) -> np.ndarray:
+    """(dim, count) random directions, the same on every executor."""
+    return np.random.default_rng([SEED, kind, dim, count]).standard_normal((dim, count))
 
 
 def _valid(docs: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -93,61 +113,102 @@ def _unit(v: pa.Array, dim: int) -> np.ndarray:
 
 
 def _coded(reps: DataFrame, bits: int, tables: int) -> DataFrame:
-    """Adds the cell and the sorting projection of every table."""
+    """Adds the cell in every table and the bytes of the projections."""
     schema = T.StructType(reps.schema.fields + [
-        T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("along", T.ArrayType(T.DoubleType()))])
+        T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("q", T.BinaryType())])
 
     def run(batches):
         for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
             dims = pc.divide(pc.binary_length(batch.column("v")), 8).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                p = np.einsum("nd,dtb->ntb", _unit(part.column("v"), int(dim)), directions(int(dim), bits, tables),
-                              optimize=True)
-                cells = (p[:, :, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) + (int(dim) << bits)
+                unit = _unit(part.column("v"), dim)
+                sides = (unit @ directions(dim, bits * tables, 1) > 0).reshape(len(unit), tables, bits)
+                cells = sides @ (1 << np.arange(bits, dtype=np.int64)) + (dim << bits)
+                steps = np.rint(unit @ directions(dim, PROJECTIONS, 2) / STEP) + MIDDLE
+                q = np.clip(steps, 0, MOST).astype(np.uint8)
                 at = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * tables)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(at, pa.array(cells.reshape(-1).astype(np.int64))),
-                     pa.ListArray.from_arrays(at, pa.array(p[:, :, bits].reshape(-1)))], names=schema.names)
+                     pa.array([x.tobytes() for x in q], pa.binary())], names=schema.names)
 
     return reps.mapInArrow(run, schema)
 
 
-def _linked(rows: DataFrame, bound: float, need: int) -> DataFrame:
-    """(rep, links, low): per block pair, the links of each member and its smallest linked neighbour group."""
+def passing(q: np.ndarray, half: int, need: int):
+    """Stripes (first row, mask) of the pairs of rows that collide on ``need`` projections or more.
+
+    ``q``: a row of bytes for each projection.  ``mask[i, j]`` is for the rows
+    first + i and first + j; each pair stands in one stripe, and no row with itself.
+    """
+    n = q.shape[1]
+    for lo in range(0, n, STRIPE):
+        hi = min(lo + STRIPE, n)
+        count = np.zeros((hi - lo, n - lo), np.uint8)
+        apart, close = np.empty_like(count), np.empty(count.shape, bool)
+        for p in q:
+            # a difference of -half to half, moved up by half, is the only one that is 2 half at most as a byte
+            np.subtract((p[lo:hi] + np.uint8(half))[:, None], p[None, lo:], out=apart)
+            np.less_equal(apart, 2 * half, out=close)
+            count += close.view(np.uint8)
+        mask = count >= need
+        mask &= np.arange(n - lo)[None, :] > np.arange(hi - lo)[:, None]
+        yield lo, mask
+
+
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """One row for each projection."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).T)
+
+
+def _in_question(rows: DataFrame, half: int, need: int) -> DataFrame:
+    """The rows of a cell's two blocks that have a pair which passes the count."""
+    schema = T.StructType([rows.schema[c] for c in (*TASK, "rep", "mine")])
+
+    def run(group: pa.Table) -> pa.Table:
+        mine = group.column("mine").to_numpy()
+        used = np.zeros(len(mine), bool)
+        for lo, mask in passing(_bytes(group.column("q")), half, need):
+            if group.column("b1")[0] != group.column("b2")[0]:
+                mask &= mine[lo:lo + len(mask), None] != mine[None, lo:]
+            used[lo:lo + len(mask)] |= mask.any(axis=1)
+            used[lo:] |= mask.any(axis=0)
+        return group.select([*TASK, "rep", "mine"]).filter(pa.array(used))
+
+    return rows.select(*TASK, "rep", "mine", "q").groupBy(*TASK).applyInArrow(run, schema)
+
+
+def _linked(rows: DataFrame, bound: float, half: int, need: int) -> DataFrame:
+    """(rep, links, low): per task, the links of each row and its smallest linked neighbour group."""
     ids = rows.schema["rep"].dataType
     schema = T.StructType([T.StructField("rep", ids), T.StructField("links", T.LongType()), T.StructField("low", ids)])
-    half = WINDOW * math.sqrt(2 - 2 * bound)
 
     def run(group: pa.Table) -> pa.Table:
         t, b1, b2 = (group.column(c)[0].as_py() for c in ("t", "b1", "b2"))
-        along = np.asarray(group.column("along").combine_chunks().flatten()).reshape(group.num_rows, -1)
-        order = np.argsort(along[:, t], kind="stable")
-        along = along[order]
-        cells = np.asarray(group.column("cells").combine_chunks().flatten()).reshape(group.num_rows, -1)[order]
-        v = group.column("v").combine_chunks().take(pa.array(order))
+        group = group.sort_by("rep")
+        n = group.num_rows
+        cells = np.asarray(group.column("cells").combine_chunks().flatten()).reshape(n, -1)
+        v = group.column("v").combine_chunks()
         unit = _unit(v, pc.binary_length(v)[0].as_py() // 8)
-        mine = group.column("mine").to_numpy()[order]
-        size = group.column("c").to_numpy()[order]
-        n, links, root = len(order), np.zeros(len(order), np.int64), np.arange(len(order))
+        mine, size = group.column("mine").to_numpy(), group.column("c").to_numpy()
+        links, root = np.zeros(n, np.int64), np.arange(n)
         pairs_a, pairs_b = [], []
-        for lo in range(0, n, 64):
-            hi = min(lo + 64, n)
-            end = int(np.searchsorted(along[:, t], along[hi - 1, t] + half, "right"))
-            i, j = slice(lo, hi), slice(lo, end)
-            cos = unit[i] @ unit[j].T
-            ok = (cos >= bound) & (np.arange(lo, end)[None, :] > np.arange(lo, hi)[:, None])
+        for lo, mask in passing(_bytes(group.column("q")), half, need):
+            hi = lo + len(mask)
             if b1 != b2:
-                ok &= mine[i][:, None] != mine[j][None, :]
-            a, b = np.nonzero(ok)
-            if not len(a):
+                mask &= mine[lo:hi, None] != mine[None, lo:]
+            for earlier in cells.T[:t]:
+                mask &= earlier[lo:hi, None] != earlier[None, lo:]
+            if not mask.any():
                 continue
+            a, b = np.nonzero(mask & (unit[lo:hi] @ unit[lo:].T >= bound))
             a, b = a + lo, b + lo
-            hit = (cells[a] == cells[b]) & (np.abs(along[a] - along[b]) <= half)
-            good = (hit.sum(axis=1) >= need) & (hit.argmax(axis=1) == t) & hit[:, t]
-            a, b = a[good], b[good]
             np.add.at(links, a, size[b])
             np.add.at(links, b, size[a])
+            # of a row's links those to the first row of its group so far are enough
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
             pairs_a.append(a)
             pairs_b.append(b)
         if pairs_a:
@@ -160,12 +221,12 @@ def _linked(rows: DataFrame, bound: float, need: int) -> DataFrame:
                 if (low == root).all():
                     break
                 root = low
-        rep = group.column("rep").combine_chunks().take(pa.array(order))
+        rep = group.column("rep").combine_chunks()
         some = pa.array(links > 0)
         return pa.table({"rep": rep.filter(some), "links": pa.array(links).filter(some),
                          "low": rep.take(pa.array(root)).filter(some)})
 
-    return rows.groupBy("t", "cell", "b1", "b2").applyInArrow(run, schema)
+    return rows.groupBy(*TASK).applyInArrow(run, schema)
 
 
 def near_vectors(vectors: DataFrame, bound: float = 0.9, recall: float = RECALL, id_col: str = "vec_id",
@@ -177,19 +238,20 @@ def near_vectors(vectors: DataFrame, bound: float = 0.9, recall: float = RECALL,
     classes = cut(classes, "classes")
     reps = classes.where("rep is not null")
     bits, tables, need = calibrate(reps.count(), bound, recall)
+    half = width(bound)
     coded = cut(_coded(reps.select("key", "rep", "c", "v"), bits, tables), "coded")
-    cells = coded.select("key", F.posexplode("cells").alias("t", "cell"))
+    cells = coded.select("rep", F.posexplode("cells").alias("t", "cell"))
     large = cells.groupBy("t", "cell").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
-    split = cells.join(cut(large, "large"), ["t", "cell"]).groupBy("key") \
+    split = cells.join(cut(large, "large"), ["t", "cell"]).groupBy("rep") \
         .agg(F.map_from_entries(F.collect_list(F.struct("t", F.ceil(F.col("m") / BLOCK).cast("int")))).alias("blocks"))
-    out = coded.join(cut(split, "split"), "key", "left").select(
-        "*", F.posexplode("cells").alias("t", "cell"))
+    dealt = coded.select("rep", "q", "cells").join(cut(split, "split"), "rep", "left") \
+        .select("rep", "q", "blocks", F.posexplode("cells").alias("t", "cell"))
     nb = F.coalesce(F.col("blocks")[F.col("t")], F.lit(1))
-    mine = F.pmod(F.xxhash64("key", "t"), nb).cast("int")
-    out = out.select("rep", "c", "v", "cells", "along", "t", "cell", mine.alias("mine"),
-                     F.explode(F.sequence(F.lit(0), nb - 1)).alias("other")) \
+    mine = F.pmod(F.xxhash64("rep", "t"), nb).cast("int")
+    dealt = dealt.select("rep", "q", "t", "cell", mine.alias("mine"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("other")) \
         .withColumn("b1", F.least("mine", "other")).withColumn("b2", F.greatest("mine", "other")).drop("other")
-    found = cut(_linked(out, bound, need), "found")
+    asked = cut(_in_question(dealt, half, need), "asked")
+    found = cut(_linked(asked.join(coded.select("rep", "c", "v", "cells", "q"), "rep"), bound, half, need), "found")
     labels = components(found.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of = classes.join(cut(links, "links"), "rep", "left").join(labels, F.col("rep") == F.col("node"), "left") \

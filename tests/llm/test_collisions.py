@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from shelfwise.llm import collisions as c
 
@@ -77,5 +80,42 @@ def test_repeated_rows_null_id_empty(spark):
 def test_calibration():
     for n in (10, 10_000, 10_000_000):
         bits, tables, need = c.calibrate(n, 0.9)
-        assert n / 2 ** bits <= 256 or bits == 0
-        assert need >= 2 and tables >= need
+        assert n / 2 ** bits <= c.CELL or bits == 0
+        assert 1 < need <= c.PROJECTIONS and tables >= 1
+    # bytes that a row is dealt with, per table its projections and keys: figures of the README
+    assert [c.calibrate(n, 0.9)[1] for n in (51_282, 5_000_000, 10 ** 9)] == [10, 32, 97]
+
+
+def test_counts_against_loops():
+    rng = np.random.default_rng(8)
+    q = rng.integers(0, c.MOST + 1, (20, 150)).astype(np.uint8)
+    q[:, 70:] = np.clip(q[:, :80].astype(int) + rng.integers(-20, 21, (20, 80)), 0, c.MOST)
+    for half, need in ((16, 12), (55, 15), (1, 2)):
+        got = {(lo + i, lo + j) for lo, mask in c.passing(q, half, need) for i, j in zip(*np.nonzero(mask))}
+        want = {(i, j) for i in range(150) for j in range(i + 1, 150)
+                if sum(abs(int(x) - int(y)) <= half for x, y in zip(q[:, i], q[:, j])) >= need}
+        assert got == want and want
+
+
+@pytest.mark.parametrize("n", [800, 3000, 9000])
+def test_recall_of_pairs_right_above_the_bound(spark, n):
+    """Links planted at cosine 0.9 to 0.91; those a pair fails by chance are the calibrated few."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for k in range(n // 2):
+        x, y = rng.standard_normal((2, 64))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        cos = rng.uniform(0.9002, 0.91)
+        rows += [(2 * k, x.tolist(), 0), (2 * k + 1, (cos * x + math.sqrt(1 - cos ** 2) * y / np.linalg.norm(y)).tolist(), 0)]
+    got = c.near_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).where("n_links > 0").count()
+    assert got / n >= 0.96
+
+
+def test_the_count_comes_before_vectors_and_drops_no_link(spark, monkeypatch):
+    rows, written, cut = corpus(300), {}, c.cut
+    monkeypatch.setattr(c, "cut", lambda df, name: written.setdefault(name, cut(df, name)))
+    calls = []
+    monkeypatch.setattr(c, "_linked", lambda df, bound, half, need, f=c._linked: (calls.append(need), f(df, bound, half, need))[1])
+    c.near_vectors(spark.createDataFrame(rows, SCHEMA)).count()
+    assert "v" not in written["asked"].columns and calls == [c.calibrate(written["classes"].count(), 0.9)[2]]
