@@ -12,9 +12,10 @@ size as their tokens need, until one shard is left or a round saves too few.
 Only (id, piece, length) reach the packing; the tokens stay behind, told apart
 by their checksum.  ``sequences`` brings pieces and tokens together.
 
-Edge cases: a null or empty text is one piece, the closing id alone; equal
-lengths are ordered by id and piece; repeated rows are packed as separate
-pieces; an empty table gives an empty result; other columns are ignored.
+Edge cases: a null or empty text is one piece, the closing id alone; strings that the
+tokenizer holds for special are one id each; equal lengths are ordered by id and piece;
+repeated rows are packed as separate pieces; a null id is a document like any other; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,14 +48,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
+def special_tokens() -> dict[str, int]:
+    """The strings that the tokenizer of byte_bpe_50k.json takes whole wherever they stand, and their ids."""
+    import json
+
+    import public_tokenizers
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str, special: dict[str, int] | None = None):
     import base64
 
     import public_tokenizers
     import tiktoken
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = special_tokens() if special is None else special
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, closing: int):
@@ -62,7 +73,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, closing: int):
     coder = encoder(path)
     for batch in batches:
         for row in range(batch.num_rows):
-            ids = coder.encode_ordinary(batch.column(1)[row].as_py() or "")
+            ids = coder.encode(batch.column(1)[row].as_py() or "", allowed_special="all")
             yield batch, row, np.array([*ids, closing], "<u4")
 
 
@@ -203,7 +214,10 @@ def sequences(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, pat
     docs = docs.select("doc_id", "text")
     parts = cut(pieces(docs, length, closing, path, with_ids=True), "ids")
     placed = pack(parts.drop("ids"), length).select("doc_id", "piece", "ids_crc32", "sequence_id", "offset")
-    rows = placed.join(parts.dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
+    known = parts.dropDuplicates(["doc_id", "piece", "ids_crc32"]).select(
+        F.col("doc_id").alias("id"), F.col("piece").alias("p"), F.col("ids_crc32").alias("crc"), "ids")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("piece") == F.col("p")) & (F.col("ids_crc32") == F.col("crc"))
+    rows = placed.join(known, same).select("sequence_id", "offset", "doc_id", "ids")
     # at most ``length`` pieces in a sequence
     return rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p")) \
         .select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"))

@@ -11,9 +11,7 @@ from shelfwise.llm import packing as p
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def corpus():
@@ -96,12 +94,41 @@ def test_shards_stay_bounded(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in got) == list(range(len(lengths))) and len(by) <= most
 
 
+def test_special_tokens_are_one_id(spark):
+    (special, number), = p.special_tokens().items()
+    docs = frame(spark, [doc(1, f"a {special}b"), doc(2, special * 3)])
+    got = {r["doc_id"]: list(r["ids"]) for r in p.pieces(docs.select("doc_id", "text"), with_ids=True).collect()}
+    assert got[1][1:3].count(number) == 1 and got[2] == [number] * 3 + [0]
+
+
 def test_sequences_round_trip(spark, tokenizer):
-    rows = [doc(k, prose(k, 30 + k)) for k in range(20)]
-    got = p.sequences(frame(spark, rows), 256).collect()
-    text = " ".join(sorted(t for r in got for t in tokenizer.decode(r["ids"], skip_special_tokens=False).split("!")))
-    assert sum(len(r["ids"]) for r in got) == sum(len(tokenizer.encode(x[1]).ids) + 1 for x in rows)
-    assert all(x[1] in text for x in rows) or len(got) > 1
+    """Every document's tokens stand whole, piece by piece, in the sequences; null and repeated ids as well."""
+    rows = [doc(k, prose(k, 30 + 9 * k)) for k in range(20)] + [doc(None, prose(77, 40)), doc(None, prose(78, 400)),
+                                                              doc(None, None), doc(3, prose(3, 57)), doc(3, "another")]
+    docs = frame(spark, rows)
+    parts = {(r["ids_crc32"], r["length"]) for r in p.pieces(docs.select("doc_id", "text"), 256).collect()}
+    found, seen = p.sequences(docs, 256).collect(), []
+    for r in found:
+        assert len(r["ids"]) <= 256
+        at = 0
+        for _ in r["doc_ids"]:  # the pieces lie end to end
+            n = next(n for n in range(1, 257) if (zlib.crc32(np.array(r["ids"][at:at + n], "<u4").tobytes()), n) in parts)
+            seen.append(tuple(r["ids"][at:at + n]))
+            at += n
+        assert at == len(r["ids"])
+    want = []
+    for _, text, *_ in rows:
+        full = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        want += [tuple(full[start:start + n]) for start, n in p.cuts(len(full), 256)]
+    assert sorted(seen) == sorted(want)
+    ids = [i for r in found for i in r["doc_ids"]]
+    assert ids.count(None) == sum(len(p.cuts(len(tokenizer.encode(t or "").ids) + 1, 256)) for i, t, *_ in rows if i is None)
+
+
+def test_columns_with_the_operators_names(spark):
+    rows = [(k, prose(k, 20), 7, "x", 1.5) for k in range(5)]
+    docs = frame(spark, rows, "doc_id long, text string, length int, sequence_id string, shard double")
+    assert p.pack_documents(docs).count() == 5 and len(p.sequences(docs, 256).collect()) >= 1
 
 
 def test_empty(spark):
