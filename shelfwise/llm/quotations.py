@@ -7,19 +7,24 @@ units of what earlier messages of the conversation wrote themselves.  A quoted
 unit points at the latest earlier message that has it, so text quoted from a
 quotation points past it to its author.  The message that most quoted text of
 the outermost level points at is the one replied to; ``thread`` is the message
-at the root of the replies.  Sorting by (conv_id, thread, turn) puts every reply
-behind what it answers; the quotes and the lines that announce them
+at the root of the replies.  ``conversations`` builds the conversations: their
+messages by (thread, turn), so every reply stands behind what it answers and the
+threads follow one another; the quotes and the lines that announce them
 ("... wrote:") are left out of the text.
 
 The latest earlier message is found per bucket of turns and carried from bucket
 to bucket, so a line that every message of a huge conversation has or quotes
-meets no single task.
+meets no single task.  A conversation is built in rows of at most ``PART`` messages,
+numbered from 0; its messages' places come from one sort by range of all messages, so
+that a conversation of any length is dealt over many tasks.
 
 Edge cases: a null or empty text is an empty message, and one that is all quotes
 keeps an empty text; equal lines point at the latest earlier one; repeated rows
 get equal results, and two different messages of one turn are told apart by
-their text; rows with a null conversation or turn are linked with nothing; an
-empty table gives an empty result; other columns are ignored.
+their text; rows with a null conversation or turn are linked with nothing; a
+message of no conversation is one of its own, one without a turn stands last in its
+conversation; equal messages are messages each; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import cut, let, table
 
 BUCKET = 1024  # turns
+PART = 256  # messages in a row of a conversation
 _MARKS = r"^(?:[ \t]*>)+"
 _SAYS = r"(?i)^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$"
 
@@ -111,8 +117,6 @@ def _threads(replies: DataFrame) -> DataFrame:
 def link_quotations(messages: DataFrame) -> DataFrame:
     """Per row: conv_id, turn, role, text without quotes, n_quotes, levels, quoted
     (level, turn) links, reply_to, thread and depth.
-
-    Sort by conv_id, thread, turn for the reply order.
     """
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text") \
         .withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
@@ -144,6 +148,38 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         F.when(mine, F.col("depth")).otherwise(F.lit(0)).cast("long").alias("depth"))
 
 
+def _places(messages: DataFrame) -> DataFrame:
+    """Adds ``place``, the number of a message within its conversation from 0, in reply order."""
+    # equal messages are interchangeable: the number of their row in the written table parts them
+    rows = cut(messages, "linked").withColumn("number", F.monotonically_increasing_id())
+    order = [F.col("conv_id").asc_nulls_first(), F.col("thread").asc_nulls_last(), F.col("turn").asc_nulls_last(),
+             F.xxhash64("role", "text"), F.col("number")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("number")
+    at = F.monotonically_increasing_id()
+    rows = cut(rows.withColumn("task", F.spark_partition_id()).withColumn("at", at.bitwiseAND(F.lit((1 << 33) - 1))), "placed")
+    # one row for each partition of the sort
+    counts = rows.groupBy("task").agg(F.count("*").alias("n"))
+    before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
+    rows = rows.join(F.broadcast(cut(before, "before")), "task").withColumn("at", F.col("at") + F.col("before"))
+    first = rows.where("conv_id is not null").groupBy(F.col("conv_id").alias("of")).agg(F.min("at").alias("first"))
+    place = F.col("at") - F.coalesce("first", "at")
+    return rows.join(cut(first, "first"), F.col("conv_id") == F.col("of"), "left") \
+        .withColumn("alone", F.when(F.col("conv_id").isNull(), F.col("at"))) \
+        .withColumn("place", place).drop("task", "before", "of", "first", "at")
+
+
+def conversations(messages: DataFrame, part: int = PART) -> DataFrame:
+    """Conversations in reply order: conv_id, part, n_messages and messages, of what ``link_quotations`` gives.
+
+    A message is (place, turn, role, text, n_quotes, levels, reply_to, thread, depth).
+    """
+    fields = ["place", "turn", "role", "text", "n_quotes", "levels", "reply_to", "thread", "depth"]
+    number = (F.col("place") - F.col("place") % part) / part
+    return _places(messages.select("conv_id", *fields[1:])) \
+        .groupBy("conv_id", "alone", number.cast("long").alias("part")) \
+        .agg(F.count("*").alias("n_messages"), F.sort_array(F.collect_list(F.struct(*fields))).alias("messages")) \
+        .drop("alone")
+
+
 def op2_quotations(spark, sf_dir: str) -> DataFrame:
-    return link_quotations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")).select(
-        "conv_id", "turn", "role", "text", "n_quotes", "levels", "reply_to", "thread", "depth")
+    return conversations(link_quotations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
