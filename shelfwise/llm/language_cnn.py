@@ -10,8 +10,9 @@ windows' probabilities, weighted by their bytes.
 Edge cases: a null text or one without a letter is ``und`` with score 0; a text
 shorter than a window is padded with zeros, which embed as zeros; equal
 probabilities go to the language first in code-point order; repeated rows get
-equal results; without any labelled row every prediction is ``und``; an empty
-table gives an empty result; other columns are ignored.
+equal results; without any labelled row every prediction is ``und``; a row without
+an id is predicted, but is neither held out nor learned from; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -197,10 +198,11 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    """Whether a row is kept from training by its id; false without one."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    network = train(docs.where(~held_out()))
+    network = train(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return identify(docs, network).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -3,9 +3,9 @@
 Targets: the sources share the total size by weight; a source's target stops at
 ``max_repeat`` times its size and the excess is shared out again until none is
 above.  Large sources are split into shards of bounded size by a seeded hash of
-the document.  Blocks of equally many words go to the shards by the highest
-quotients ``target / (2 k + 1)``, which gives each an integer quota.  A shard's
-documents lie end to end in a seeded order; its quota is spent on whole passes
+the document and, of equal rows, a running number, so that they spread as well.
+Blocks of equally many words go to the shards by the highest quotients
+``target / (2 k + 1)``, which gives each an integer quota.  A shard's documents lie end to end in a seeded order; its quota is spent on whole passes
 over the shard and, for the rest, on one cyclic run of blocks that begins at a
 seeded block.  So a document is taken whole or not at all in that run, except at
 its two ends, and a run of the program gives the same mix again.
@@ -96,6 +96,43 @@ def apportion(units: DataFrame, seats: int, vote: str = "target", key: str = "un
         .withColumn("seats", F.col("seats") + F.coalesce("one", F.lit(0))).drop("one")
 
 
+_KEY = ("doc_id", "source", "name", "size", "hash")
+_RUN = 1 << 16
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """A row for each of ``n``, with its number ``copy`` from ``begin``; no array is longer than _RUN."""
+    first = F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1, F.lit(_RUN).cast("long")))
+    last = F.least(F.col("from") + (_RUN - 1), F.col("begin") + F.col("n") - 1)
+    return rows.withColumn("from", first).withColumn("copy", F.explode(F.sequence(F.col("from"), last))) \
+        .drop("n", "begin", "from")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``copy``, a number from 0 for each of the rows that are equal; they are counted before they are shuffled."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    return _copies(counted.withColumn("begin", F.lit(0).cast("long")))
+
+
+def _carried(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """``_numbered`` for rows with texts: only those whose key occurs again are grouped.
+
+    Rows of one key that differ in another carried column are numbered together.
+    """
+    again = sized.where("size > 0").groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1")
+    again = cut(again.select(*[F.col(c).alias(f"k_{c}") for c in _KEY]), "again")
+    same = F.lit(True)
+    for c in _KEY:
+        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    several = rows.join(again, same, "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    # of one key: where the copies of each of its different rows begin
+    kinds = cut(several.withColumn("kind", F.xxhash64(F.to_json("row"))), "several")
+    w = Window.partitionBy(*_KEY).orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("n").over(w), F.lit(0))
+    numbered = _copies(kinds.withColumn("begin", begin).drop("kind"))
+    return rows.join(again, same, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(numbered)
+
+
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_repeat: int = MAX_REPEAT,
         cycle: tuple[int, ...] = (1, 2, 3), seed: int = SEED, id_col: str = "doc_id", text: str = "text",
         source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -116,11 +153,11 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     goal = cut(goal.select("name", "source_size", "target", "shards"), "goal")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.join(goal, "name").withColumn("order", F.xxhash64("doc_id", "size", "hash", F.lit(seed))) \
+        return rows.join(goal, "name").withColumn("order", F.xxhash64("doc_id", "size", "hash", "copy", F.lit(seed))) \
             .withColumn("unit", F.concat_ws("/", F.pmod(F.xxhash64("order"), F.col("shards")).cast("string"), "name")) \
-            .drop("name", "source", "shards")
+            .drop("name", "source", "shards", "copy")
 
-    rows = cut(dealt(sized), "rows")
+    rows = cut(dealt(_numbered(sized)), "rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     units = rows.groupBy("unit").agg(F.sum("size").alias("unit_size"), F.first("source_size").alias("s"),
                                      F.first("target").alias("t"))
@@ -137,7 +174,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     some, none = rows.where("size > 0"), rows.where("size = 0")
     if carry:
         blank = F.col(text).isNull() | ~F.col(text).rlike(WORD)
-        some, none = (dealt(docs.where(c).select(*columns, F.struct(*carry).alias("row"))) for c in (~blank, blank))
+        own = lambda c: docs.where(c).select(*columns, F.struct(*carry).alias("row"))
+        some, none = dealt(_carried(own(~blank), sized)), dealt(own(blank).withColumn("copy", F.lit(0).cast("long")))
     quotas = cut(units, "quotas")
     w = Window.partitionBy("unit").orderBy("order", "doc_id", "size", "hash") \
         .rowsBetween(Window.unboundedPreceding, -1)
