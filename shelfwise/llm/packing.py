@@ -9,8 +9,8 @@ sequence is begun only if no open one has room.  Then the sequences that stayed
 far from full are opened again and dealt, as they are, to as many shards of that
 size as their tokens need, until one shard is left or a round saves too few.
 
-Only (id, piece, length) reach the packing; the tokens stay behind, told apart
-by their checksum.  ``sequences`` brings pieces and tokens together.
+Only (id, piece, length) reach the packing; the tokens stay behind in a written table
+with a number for each piece.  ``packed_tokens`` and ``sequences`` bring them together.
 
 Edge cases: a null or empty text is one piece, the closing id alone; strings that the
 tokenizer holds for special are one id each; equal lengths are ordered by id and piece;
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, path:
     fields = [docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
               T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if with_ids:
-        fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     schema = T.StructType(fields)
 
     def run(batches):
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, path:
             out = [source[-1].column(0).take(pa.array([r[0] for r in rows])),
                    pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:]]]
             if with_ids:
-                out.append(pa.array(ids, pa.list_(pa.int64())))
+                out.append(pa.array(ids, pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(out, names=schema.names)
 
         for batch, row, found in _tokens(batches, path, closing):
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, path:
                 part = found[start:start + n]
                 rows.append((row, k, start, n, zlib.crc32(part.tobytes())))
                 if with_ids:
-                    ids.append(part.astype(np.int64))
+                    ids.append(part.astype(np.int32))
         if rows:
             yield flush()
 
@@ -209,17 +209,18 @@ def _sequence_id():
     return F.when(F.col("group") == "w", F.col("seq") * 2 + 1).otherwise(packed).cast("long")
 
 
+def packed_tokens(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, path: str | None = None) -> DataFrame:
+    """Per piece what ``pack_documents`` gives, and its ``ids``: sequences by (sequence_id, offset)."""
+    found = pieces(docs.select("doc_id", "text"), length, closing, path, with_ids=True)
+    parts = cut(found.withColumn("number", F.monotonically_increasing_id()), "ids")  # the number is fixed with the table
+    return pack(parts.drop("ids"), length).join(parts.select("number", "ids"), "number").drop("number")
+
+
 def sequences(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, path: str | None = None) -> DataFrame:
     """The packed training sequences: (sequence_id, ids, doc_ids)."""
-    docs = docs.select("doc_id", "text")
-    parts = cut(pieces(docs, length, closing, path, with_ids=True), "ids")
-    placed = pack(parts.drop("ids"), length).select("doc_id", "piece", "ids_crc32", "sequence_id", "offset")
-    known = parts.dropDuplicates(["doc_id", "piece", "ids_crc32"]).select(
-        F.col("doc_id").alias("id"), F.col("piece").alias("p"), F.col("ids_crc32").alias("crc"), "ids")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("piece") == F.col("p")) & (F.col("ids_crc32") == F.col("crc"))
-    rows = placed.join(known, same).select("sequence_id", "offset", "doc_id", "ids")
     # at most ``length`` pieces in a sequence
-    return rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p")) \
+    return packed_tokens(docs, length, closing, path).groupBy("sequence_id") \
+        .agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p")) \
         .select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"))
 
 

@@ -1,4 +1,7 @@
+import zlib
+
 import corpus_pipeline as c
+import numpy as np
 from helpers_llm import doc, frame, prose, words
 from shelfwise.llm import common, quality_rules
 
@@ -13,6 +16,19 @@ def small():
     return rows
 
 
+def whole_texts(rows):
+    """The texts of the documents in the sequences; repeated ones may take each other's equal pieces."""
+    from shelfwise.llm import packing
+    coder, out, open_ = packing.encoder(packing.vocabulary()), [], {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        ids = (open_[r["doc_id"], r["start"]].pop() if r["start"] else []) + r["ids"]
+        if ids[-1] == packing.CLOSING:
+            out.append(coder.decode(ids[:-1]))
+        else:
+            open_.setdefault((r["doc_id"], len(ids)), []).append(ids)
+    return out
+
+
 def test_stages(spark):
     docs, seen = frame(spark, small()), []
     for name, stage in c.STAGES:
@@ -35,6 +51,10 @@ def test_stages(spark):
             mixed = [r["text"] for r in rows]
         if name == "packing":
             assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and len(rows) >= len(mixed)
+            assert all(r["length"] == len(r["ids"]) for r in rows)
+            assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+            # the tokens of all sequences are those of the texts that the mix made
+            assert sorted(whole_texts(rows)) == sorted(mixed)
         docs = spark.createDataFrame(rows, out.schema)
 
 
