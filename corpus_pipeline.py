@@ -74,8 +74,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs)
+    """The pieces of the documents with their tokens and their places in sequences of 2048 tokens."""
+    return packing.packed_tokens(docs)
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
