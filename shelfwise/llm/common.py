@@ -20,15 +20,20 @@ _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession, keep: DataFrame, since: int = 0) -> None:
+def release(spark: SparkSession, keep: DataFrame, since: int = 0, only: list[str] | None = None) -> None:
     """Remove the tables written since ``since`` (a count of them) that ``keep`` does not read.
 
+    ``only``: the tables that may go; none goes if ``keep`` reads one of them.
+
     For a job that runs several operators: once the result of one is written, what
     it wrote on the way is of no more use.
     """
     conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     used = {hadoop(f).getParent().getName() for f in keep.inputFiles()}  # the names hold a random part
-    for path in _WRITTEN[since:]:
+    may = _WRITTEN[since:] if only is None else [p for p in only if p in _WRITTEN]
+    if only is not None and any(hadoop(p).getName() in used for p in may):
+        return
+    for path in may:
         at = hadoop(path)
         if at.getName() not in used:
             at.getFileSystem(conf).delete(at, True)
@@ -39,6 +44,10 @@ def written() -> int:
     return len(_WRITTEN)
 
 
+def written_since(before: int) -> list[str]:
+    return _WRITTEN[before:]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared checkpoint folder and read it back.
 

@@ -95,3 +95,17 @@ def test_run(spark):
     out = c.run(spark, "/root/testdata/sf0.001")
     assert common._WRITTEN[:len(before)] == before and len(common._WRITTEN) == len(before) + 1
     assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_a_stage_frees_what_the_stage_before_left(spark):
+    stages = dict(c.STAGES)
+    docs = frame(spark, small())
+    first = stages["near_dedup"](spark, docs, "")
+    left = c._LEFT[1]
+    assert left and set(left) <= set(common._WRITTEN)
+    lazy = stages["substring_dedup"](spark, first, "")  # reads them: nothing goes
+    assert set(left) <= set(common._WRITTEN) and lazy.count() > 0
+    again = common.cut(stages["near_dedup"](spark, docs, ""), "reread")
+    left = c._LEFT[1]
+    stages["substring_dedup"](spark, again, "").collect()
+    assert not set(left) & set(common._WRITTEN) and again.count() > 0
