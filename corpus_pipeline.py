@@ -8,11 +8,13 @@ Nulls, empty texts and empty tables follow the rules in each operator's docstrin
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import level_dedup, mixing, packing, quality_rules, setsketch
-from shelfwise.llm.common import cut, release, table, written
+from shelfwise.llm.common import cut, release, table, written, written_since
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -78,8 +80,29 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_tokens(docs)
 
 
-STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
-          ("mixing", mix), ("packing", pack)]
+#: By number of the stage that ran last: the tables that it wrote on the way to the shared folder.
+_LEFT: dict[int, list[str]] = {}
+
+
+def _freeing(number: int, stage):
+    """A stage that first removes what the stage before it has just left, if its docs were written and reread.
+
+    So the result of a stage has to be written before the next stage is called.
+    """
+    @functools.wraps(stage)
+    def freed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, keep=docs, only=_LEFT.get(number - 1, []))
+        before = written()
+        out = stage(spark, docs, sf_dir)
+        _LEFT.clear()
+        _LEFT[number] = written_since(before)
+        return out
+    return freed
+
+
+STAGES = [(name, _freeing(number, stage)) for number, (name, stage) in enumerate((
+    ("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
+    ("mixing", mix), ("packing", pack)))]
 
 #: The tokens of the last stage and the sketches of the second aren't expressible in SQL;
 #: tests/llm holds the stages against brute-force versions.
