@@ -22,10 +22,10 @@ from shelfwise.operators import products as P
 from shelfwise.operators import risk as F
 from shelfwise.operators import seasonal as W
 from shelfwise.operators import suppliers as V
-from shelfwise.session import scratch_path
+from shelfwise.session import scratch_path, shuffle_partitions
 from shelfwise.sources.guard import guarded_inventory, problem_counts
-from shelfwise.sources.inventory import load_enriched, normalise_missing, read_inventory, save_enriched
-from shelfwise.sources.star import star_schema_inventory
+from shelfwise.sources.inventory import ROWS_PER_FILE, load_enriched, normalise_missing, read_inventory, save_enriched
+from shelfwise.sources.star import file_order, inventory_of, observed_dates, star_schema_inventory, star_schema_rows
 from shelfwise.sources.stored import stored_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,16 +44,30 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
     """The path of a table derived from the star-schema tables, for this session and as they are now."""
     app = spark.sparkContext.applicationId
     tables = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCES]
-    return stored_table(spark, scratch_path(spark, f"{name}-{app}"), tables, write)
+
+    def build(path: str) -> None:
+        with shuffle_partitions(spark, _parts(spark, sf_dir)):
+            write(path)
+
+    return stored_table(spark, scratch_path(spark, f"{name}-{app}"), tables, build)
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of ``ROWS_PER_FILE`` rows that the observations make."""
+    return -(-observed_dates(spark, sf_dir).count() // ROWS_PER_FILE)
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched table, written once per session and state of its sources to the shared checkpoint folder.
 
-    Clustered by date, so that the latest snapshot is found by the files' statistics.
+    Clustered by date, so that the latest snapshot is found by the files' statistics.  The
+    joined keys are dealt and sorted; the table's columns are derived from them as they are written.
     """
-    return load_enriched(spark, _kept(spark, sf_dir, "enriched",
-                                      lambda path: save_enriched(enriched(spark, sf_dir), path, files=0)))
+    def write(path: str) -> None:
+        save_enriched(star_schema_rows(spark, sf_dir), path, dates=observed_dates(spark, sf_dir),
+                      order=file_order(), derive=lambda rows: M.enrich(inventory_of(rows)))
+
+    return load_enriched(spark, _kept(spark, sf_dir, "enriched", write))
 
 
 Report = Callable[[DataFrame], DataFrame]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -80,6 +82,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+@contextmanager
+def shuffle_partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """At least that many shuffle partitions for the jobs inside; adaptive execution joins small ones.
+
+    With a fixed number, a task's sorts grow with the input until they spill.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cluster_conf(input_bytes: int, total_cores: int,
                  target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Suggested sizes for a cluster run over ``input_bytes`` of Parquet.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise import schema as S
@@ -16,6 +16,9 @@ NA_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
             "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
             "nan", "null")
 
+#: rows of a file of the stored table, or of a CSV that can't be split
+ROWS_PER_FILE = 250_000
+
 
 def normalise_missing(df: DataFrame, text: bool = False) -> DataFrame:
     """NaN -> NULL on doubles and, with ``text`` (CSV), missing-value text -> NULL.
@@ -177,8 +180,31 @@ def read_inventory(spark: SparkSession, path: str | Sequence[str], fmt: str = "c
     return S.validate_schema(df)
 
 
+def by_date(rows: DataFrame, dates: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Deals ``rows`` into partitions of successive dates, of about ``rows_per_file`` rows each.
+
+    Spark's own range partitioning computes the rows twice, once for a sample of them.
+    Here the places come from ``dates``, a cheap table with about as many rows of each
+    date: a date starts in the partition that the rows of the dates before it fill, and one
+    of more rows than a partition holds is spread over several.  The window is over a
+    row for each distinct date.
+    """
+    total = dates.count()
+    parts = max(1, -(-total // rows_per_file))
+    filled = lambda n: F.floor(n * F.lit(parts) / F.lit(max(total, 1))).cast("int")
+    n = F.coalesce(F.sum("_n").over(Window.orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = dates.groupBy(F.col(S.OBS_DATE).alias("_date")).agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_date", F.least(filled(n), F.lit(parts - 1)).alias("_first"),
+                F.least(filled(n + F.col("_n") - 1), F.lit(parts - 1)).alias("_last"))
+    placed = rows.join(F.broadcast(places), F.col(S.OBS_DATE).eqNullSafe(F.col("_date")), "left")
+    spread = F.pmod(F.xxhash64(*rows.columns), F.col("_last") - F.col("_first") + 1).cast("int")
+    return placed.withColumn("_part", F.coalesce(F.col("_first") + spread, F.lit(0))) \
+        .repartitionById(parts, "_part").select(*rows.columns)
+
+
 def save_enriched(df: DataFrame, path: str, partition_by: Sequence[str] = (),
-                  files: int | None = None, mode: str = "overwrite") -> None:
+                  files: int | None = None, mode: str = "overwrite", dates: DataFrame | None = None,
+                  order: Sequence[Column] = (), derive: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Store an (enriched) inventory table as Parquet.
 
     ``files``: range-cluster the rows by date into that many files, or as many
@@ -188,13 +214,25 @@ def save_enriched(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     input partitioning is kept and no shuffle is added.  For a table of many
     days, ``partition_by=("obs_date",)`` adds directory pruning instead.
     Rows are sorted by date and file order inside each file.
+
+    ``dates`` deals the rows by date without the sampling pass (``by_date``).  ``derive``
+    makes the table to store of the rows of ``df``, row by row, after they are dealt
+    and sorted: ``df`` then has the date and whatever ``derive`` needs, and ``order`` is its
+    file order within a date.
     """
-    if files is not None:
+    if dates is not None:
+        df = by_date(df, dates)
+    elif files is not None:
         keys = [F.col(S.OBS_DATE), F.col(S.ROW_SEQ)]
         df = df.repartitionByRange(int(files), *keys) if files else df.repartitionByRange(*keys)
     elif partition_by:  # else each task writes a file for each of its dates
         df = df.repartition(*partition_by)
-    writer = df.sortWithinPartitions(S.OBS_DATE, S.ROW_SEQ).write.mode(mode)
+    if order:
+        keys = {f"_order{i}": c for i, c in enumerate(order)}
+        df = df.withColumns(keys).sortWithinPartitions(S.OBS_DATE, *keys).drop(*keys)
+    else:
+        df = df.sortWithinPartitions(S.OBS_DATE, S.ROW_SEQ)
+    writer = (derive(df) if derive else df).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
