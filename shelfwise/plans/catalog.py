@@ -162,7 +162,10 @@ def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory table as texts under the engine's names, with month/day/year dates, and its row_seq."""
-    inv = star_schema_inventory(spark, sf_dir)
+    return _texts(star_schema_inventory(spark, sf_dir))
+
+
+def _texts(inv: DataFrame) -> DataFrame:
     text = {c: sf.col(c).cast("string") for c in S.CSV_HEADERS.values()}
     text[S.OBS_DATE] = sf.date_format(S.OBS_DATE, "MM/dd/yyyy")
     return inv.select(*[text[c].alias(c) for c in text], S.ROW_SEQ)
@@ -191,19 +194,22 @@ AWKWARD = {0: ' "The, Best" Co', 1: ",\nof two lines"}
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of a CSV in file order, with quotes, commas and line breaks in its vendors,
     day/month/year dates with a time, and the stock of the product's row before it in the file."""
+    # a file with line breaks is sorted, written and read by one task: more rows make more files, not larger ones
+    files = max(8, _parts(spark, sf_dir))
+
     def write(path: str) -> None:
-        texts = _csv_texts(spark, sf_dir)
+        keys = dict(zip(("_high", "_low"), file_order()))
+        order = [*keys, S.OBS_DATE, "l_quantity"]
+        rows = star_schema_rows(spark, sf_dir).withColumns(keys).repartitionByRange(files, *order).sortWithinPartitions(*order)
+        texts = _texts(inventory_of(rows))
         kind = sf.pmod(sf.col(S.PRODUCT).cast("bigint"), sf.lit(3))
         odd = sf.create_map(*[sf.lit(x) for k in AWKWARD for x in (k, AWKWARD[k])])
         vendor = sf.concat(S.VENDOR, sf.coalesce(odd[kind.cast("int")], sf.lit("")))
         date = sf.date_format(sf.to_date(S.OBS_DATE, "MM/dd/yyyy"), "dd/MM/yyyy 08:30")
-        sorted_ = texts.withColumns({S.VENDOR: vendor, "_day": sf.to_date(S.OBS_DATE, "MM/dd/yyyy"), S.OBS_DATE: date,
-                                     "_sold": sf.col(S.SOLD).cast("double")})
-        _write_csv(sorted_.repartitionByRange(8, S.ROW_SEQ, "_day", "_sold")
-                   .sortWithinPartitions(S.ROW_SEQ, "_day", "_sold"), path)
+        _write_csv(texts.withColumns({S.VENDOR: vendor, S.OBS_DATE: date}), path)
 
     path = _kept(spark, sf_dir, "csv-awkward", write)
-    df = read_inventory(spark, path, multiline=True)
+    df = read_inventory(spark, path, multiline=True).repartition(files, S.PRODUCT)
     before = Window.partitionBy(S.PRODUCT).orderBy(S.ROW_SEQ)
     return df.select(*S.CSV_HEADERS.values(), sf.lag(S.INV).over(before).alias("stock_before"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +94,11 @@ def _numbered(rows: DataFrame, files: Sequence[str], number_from: int, place: Co
     if len(files) == 1:
         return rows.withColumn(S.ROW_SEQ, (F.lit(number_from).cast("decimal(38,0)") * scale + place)
                                .cast("decimal(38,0)"))
-    numbers = rows.sparkSession.createDataFrame(
-        list(enumerate(files, number_from)), "_number long, _file string")
+    # the listing is on the driver already; unless it is broadcast, all rows are dealt by their file
+    # and each task sorts files as a whole
+    numbers = F.broadcast(rows.sparkSession.createDataFrame(pa.table({
+        "_number": pa.array(range(number_from, number_from + len(files)), pa.int64()),
+        "_file": pa.array(files, pa.string())})))
     known = F.coalesce("_number", F.raise_error(F.concat(F.lit("not in the listing: "), F.col("_file"))).cast("long"))
     seq = (known.cast("decimal(38,0)") * scale + place).cast("decimal(38,0)")
     return rows.join(numbers, "_file", "left").withColumn(S.ROW_SEQ, seq)
