@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from shelfwise import schema as S
 from shelfwise.functions.exprs import round_half_even, trunc_to_long
 from shelfwise.operators import metrics as M
-from shelfwise.operators.common import end_rows
+from shelfwise.operators.common import end_rows, shared
 from shelfwise.session import ensure_checkpoint_dir, scratch_path
 
 FEATURES = (S.INV, S.SOLD, S.PRICE, S.DELIVERY)
@@ -41,6 +41,8 @@ CURRENT_TEXTS = (S.CATEGORY, S.STORE)
 #: layout nor the number of cores changes the model.
 MAX_TRAIN_ROWS = 600_000
 TRAIN_PARTITIONS = 16
+#: buckets of the hashes, by their first 16 bits
+BUCKETS = 1 << 16
 #: trees of a forest's table up to this size together are broadcast to the rows they score
 BROADCAST_BYTES = 64 << 20
 
@@ -112,25 +114,40 @@ def training_sample(df: DataFrame, max_rows: int = MAX_TRAIN_ROWS, seed: int = 4
 
     The hash is the first 60 bits of the MD5 of seed, product, date, store and row
     sequence, so any layout of the table, and any engine, gives the same rows.  Rows with
-    equal hashes follow their values.  The hashes are counted by their first 16 bits;
-    all rows of the buckets before the bound are in, and only its own bucket is sorted.
+    equal hashes follow their values.  The hashes are counted by their first 16 bits, the
+    bucket; all rows of the buckets before the bound are in, and only its own bucket is sorted.
+
+    Hashing is the costly part, so the table is hashed once: a plain count tells up to which
+    bucket the sample should reach, those rows are held, and what follows reads them.  If
+    that falls short, as many equal keys may make it, twice the buckets are taken.
     """
     key = [S.PRODUCT, S.OBS_DATE, S.STORE, S.ROW_SEQ]
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])
-    place = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-    rows = df.select(*key, *FEATURES, F.col(M.RISK).cast("double").alias(M.RISK), place.alias("_place")) \
-        .dropna(subset=[*FEATURES, M.RISK])
-    bucket = F.shiftright("_place", 44)
-    sizes = sorted(tuple(r) for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())  # 65536 at most
-    if sum(n for _, n in sizes) <= max_rows:
-        return rows
+    whole = df.select(*key, *FEATURES, F.col(M.RISK).cast("double").alias(M.RISK)).dropna(subset=[*FEATURES, M.RISK])
+    hashed = whole.withColumn("_hex", F.substring(F.md5(text), 1, 15))
+    place = F.conv("_hex", 16, 10).cast("bigint").alias("_place")
+    total = whole.count()
+    if total <= max_rows:
+        return hashed.select(*whole.columns, place)
+    reach = -(-BUCKETS * max_rows * 11 // (total * 10)) + 4
+    while True:
+        # as texts of equal length, hexadecimal numbers have their own order
+        near = hashed if reach >= BUCKETS else hashed.where(F.col("_hex") < F.lit(f"{reach:04x}"))
+        near = shared(near.select(*whole.columns, place))
+        bucket = F.shiftright("_place", 44)
+        sizes = sorted(tuple(r) for r in near.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if sum(n for _, n in sizes) >= max_rows or reach >= BUCKETS:
+            break
+        reach *= 2
     left = max_rows
     for last, n in sizes:
         if n > left:
             break
         left -= n
-    some = rows.where(bucket == last).orderBy("_place", *FEATURES, M.RISK, *key).limit(left)
-    return rows.where(bucket < last).unionByName(some)
+    else:
+        return near
+    some = near.where(bucket == last).orderBy("_place", *FEATURES, M.RISK, *key).limit(left)
+    return near.where(bucket < last).unionByName(some)
 
 
 def training_rows(df: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
